@@ -232,7 +232,7 @@ def criteria_table(spark: SparkSession, criteria: Criteria, qid: str | None = No
     for halogen in HALOGENS:
         values[f"{halogen.lower()}_state"] = criteria.halogens.get(halogen, "allowed")
     types = {**REQUEST_COLUMNS, "formula_enabled": "boolean", "qid": "string", "as_of_year": "int"}
-    return spark.range(1).select(*[F.lit(values[n]).cast(t).alias(n) for n, t in types.items()])
+    return spark.sql("SELECT 1").select(*[F.lit(values[n]).cast(t).alias(n) for n, t in types.items()])
 
 
 def share_map(url: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from occurra.session import cut_lineage
+from occurra.session import one_row, scratch_path
 
 MAX_LEVELS = 256
 
@@ -19,24 +19,35 @@ def descendants(edges: DataFrame, root: str | DataFrame, max_levels: int = MAX_L
 
     One level per step: children of the newest level that were not seen
     before. Several parents and cycles are fine. Only the convergence test
-    reaches the driver; each level is cut into the shared folder.
+    reaches the driver. Each level is a table in the shared folder: lineage
+    stays flat, lost executors cost nothing, and the planner knows the real
+    size of every level when it chooses between broadcast and shuffle.
     """
     spark = edges.sparkSession
+    folder = scratch_path(spark, "closure")
+    links = edges.select("child", "parent")
+
+    def store(level: DataFrame, number: int) -> int:
+        rows = Observation()
+        counted = level.observe(rows, F.count(F.lit(1)).alias("n"))
+        counted.write.mode("overwrite").parquet(f"{folder}/level-{number:03d}")
+        return rows.get["n"]
+
+    def stored(first: int, last: int) -> DataFrame:
+        paths = [f"{folder}/level-{n:03d}" for n in range(first, last + 1)]
+        return spark.read.schema("t string").parquet(*paths)
+
     if isinstance(root, str):
-        frontier = spark.createDataFrame([(root,)], "t string")
+        start = one_row(spark, t=root)
     else:
-        frontier = root.select("t").distinct()
-    links = edges.select("child", "parent")
-    seen = frontier
-    for _ in range(max_levels):
-        level = cut_lineage(
-            links.join(frontier, links["parent"] == frontier["t"], "left_semi")
-            .select(F.col("child").alias("t"))
-            .distinct()
-            .join(seen, "t", "left_anti")
-        )
-        if level.isEmpty():
+        store(root.select("t").distinct(), 0)
+        start = stored(0, 0)
+    seen = frontier = start
+    for number in range(1, max_levels + 1):
+        children = links.join(frontier, links["parent"] == frontier["t"], "left_semi")
+        level = children.select(F.col("child").alias("t")).join(seen, "t", "left_anti").distinct()
+        if store(level, number) == 0:
             return seen
-        seen = seen.unionByName(level)
-        frontier = level
+        frontier = stored(number, number)
+        seen = start.unionByName(stored(1, number))
     raise ClosureTooDeep(f"more than {max_levels} taxonomy levels")

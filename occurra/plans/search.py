@@ -14,6 +14,7 @@ from occurra.operators.occurrences import Occurrences, compound_table, result_ro
 from occurra.operators.requests import criteria_table, query_hash
 from occurra.operators.similarity import similar, substructure_screen
 from occurra.operators.taxonomy import descendants
+from occurra.session import one_row
 
 
 class TaxonNotFound(LookupError):
@@ -31,8 +32,7 @@ class TaxonChoice:
 def resolve_taxon(spark: SparkSession, graph: Graph, taxon: str) -> TaxonChoice:
     """H26, then a name lookup of which five hits at most reach the driver."""
     row = (
-        spark.range(1)
-        .select(F.lit(taxon).alias("raw"))
+        one_row(spark, raw=taxon)
         .select(
             tx.taxon_input(F.col("raw")).alias("kind"),
             tx.clean(F.col("raw")).alias("given"),

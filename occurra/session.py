@@ -60,6 +60,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def one_row(spark: SparkSession, **values: object) -> DataFrame:
+    """One row of constants, planned without a job."""
+    columns = ", ".join(f":{name} AS {name}" for name in values)
+    return spark.sql(f"SELECT {columns}", args=values)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably; survives the loss of executors."""
     shared_folder(df.sparkSession)

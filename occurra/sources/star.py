@@ -9,6 +9,7 @@ queries and their reference SQL.
 from __future__ import annotations
 
 from dataclasses import fields
+from functools import lru_cache
 from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +94,27 @@ k % 4 = 0 AS undefined_stereo,
 CASE WHEN seq % 50 = 0 THEN concat('conversion failed for "', ltrim(smiles), '"') END AS conversion_error,
 CASE WHEN doi IS NOT NULL AND seq % 7 = 0 THEN concat('CREATE|', upper(doi)) END AS reference_lines
 FROM (SELECT *, (seq * 7) % 2500 AS k FROM {{candidates}}) x""",
+    # spellings that the text functions must cope with
+    "texts": """
+SELECT event_id AS id,
+CASE event_id % 9 WHEN 0 THEN concat('http://www.wikidata.org/entity/Q', event_id)
+WHEN 1 THEN concat('"', event_id, '"^^<http://www.w3.org/2001/XMLSchema#integer>') WHEN 2 THEN concat('Q', event_id)
+WHEN 3 THEN 'not-a-qid' WHEN 4 THEN concat(' Q', event_id, chr(9)) WHEN 5 THEN ''
+WHEN 6 THEN concat('https://www.wikidata.org/entity/Q', event_id, 'x') WHEN 7 THEN cast(event_id AS string) END AS qid_raw,
+CASE event_id % 8 WHEN 0 THEN concat('https://doi.org/10.1000/AbC.', event_id) WHEN 1 THEN concat(' 10.1/x', event_id, chr(10))
+WHEN 2 THEN concat('HTTP://DX.DOI.ORG/10.2/é', event_id) WHEN 3 THEN 'https://doi.org/' WHEN 4 THEN '  '
+WHEN 5 THEN concat('doi.org/a/doi.org/B', event_id) WHEN 7 THEN '10.5/Z' END AS doi_raw,
+CASE event_id % 8 WHEN 0 THEN concat(1900 + event_id % 120, '-04-23T00:00:00Z') WHEN 1 THEN cast(1990 + event_id % 30 AS string)
+WHEN 2 THEN '-0044-03-15' WHEN 3 THEN '99999-01-01' WHEN 4 THEN 'T' WHEN 5 THEN ' 2001T10' WHEN 6 THEN 'abc-1' END AS year_raw,
+CASE event_id % 7 WHEN 0 THEN 'voacanga africana' WHEN 1 THEN concat('VOACANGA  Africana ', event_id) WHEN 2 THEN '__gentiana_lutea__'
+WHEN 3 THEN '  ' WHEN 4 THEN concat('éLAN Vital', chr(9), 'X') WHEN 5 THEN 'rosa' END AS name_raw,
+CASE event_id % 5 WHEN 0 THEN concat('http://www.wikidata.org/entity/statement/Q', event_id, '-ABC') WHEN 1 THEN concat(' Q', event_id, '-X ')
+WHEN 2 THEN 'http://www.wikidata.org/entity/statement/' WHEN 3 THEN '' END AS statement_raw,
+CASE event_id % 9 WHEN 0 THEN 'C[C@H](N)O' WHEN 1 THEN concat('C/C=C', chr(92), 'C') WHEN 2 THEN ' CCO ' WHEN 3 THEN ''
+WHEN 4 THEN concat(' x', chr(13), chr(10), 'v2000', chr(13), 'm  end ') WHEN 5 THEN concat('begin ctab', chr(10), 'M  END')
+WHEN 6 THEN concat('CC', chr(13), 'OC') WHEN 7 THEN 'C=O(*)~%' END AS smiles_raw,
+concat('K', event_id, '-MID-N') AS key_raw
+FROM {events}""",
     # free-form search requests with gaps, bad ranges and odd spellings
     "requests": """
 SELECT event_id AS req_id,
@@ -133,10 +155,13 @@ def inputs_of(sql: str) -> list[str]:
     return list(dict.fromkeys(name for _, name, _, _ in Formatter().parse(sql) if name))
 
 
+@lru_cache(maxsize=512)
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A source table; the plan is kept, so footers are read once per session."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@lru_cache(maxsize=512)
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One derived (or source) table as a DataFrame."""
     if name in SOURCE_TABLES:
