@@ -147,7 +147,7 @@ def _converted(spark, folder):
 
 
 def _resolved(spark, folder):
-    return plan.resolve_rows(plan.prepare(_converted(spark, folder)), star.graph(spark, folder))
+    return plan.resolve_rows(*plan.prepare(_converted(spark, folder)), star.graph(spark, folder))
 
 
 # ---- C9 - C12 ---------------------------------------------------------------
@@ -210,7 +210,7 @@ def new_occurrences(spark, folder):
     RUN,
 )
 def missing_statements(spark, folder):
-    rows = cu.with_known_compounds(plan.prepare(_converted(spark, folder)), star.graph(spark, folder))
+    rows = cu.with_known_compounds(plan.prepare(_converted(spark, folder))[0], star.graph(spark, folder))
     return rows.filter("known_c IS NOT NULL").select("seq", F.array_join(cu.missing_statements(), "\n").alias("lines"))
 
 
@@ -226,7 +226,7 @@ array_to_string(pend, '~') AS pending FROM {{lined}}""",
     RUN,
 )
 def dependencies(spark, folder):
-    rows = cu.resolve_dependencies(plan.prepare(_converted(spark, folder)), star.graph(spark, folder))
+    rows = cu.resolve_dependencies(plan.prepare(_converted(spark, folder))[0], star.graph(spark, folder))
     return rows.select(
         "seq",
         "t",
@@ -273,8 +273,8 @@ def pending_counts(spark, folder):
 
 
 def _bundle_sql(results: str) -> str:
-    return f"""SELECT 'dependencies' AS section, cast(split_part(at, ':', 1) AS bigint) AS seq, cast(split_part(at, ':', 2) AS int) - 1 AS pos, text FROM
-(SELECT text, arg_min(seq || ':' || pos, seq * 100 + pos) AS at FROM (SELECT seq, unnest(blocks) AS text, generate_subscripts(blocks, 1) AS pos FROM {{{results}}}) u
+    return f"""SELECT 'dependencies' AS section, cast(split_part(loc, ':', 1) AS bigint) AS seq, cast(split_part(loc, ':', 2) AS int) - 1 AS pos, text FROM
+(SELECT text, arg_min(seq || ':' || pos, seq * 100 + pos) AS loc FROM (SELECT seq, unnest(blocks) AS text, generate_subscripts(blocks, 1) AS pos FROM {{{results}}}) u
 WHERE {s_trim('text')} <> '' GROUP BY text) g
 UNION ALL SELECT 'main', seq, 0, array_to_string(lines, chr(10)) FROM {{{results}}} WHERE len(lines) > 0"""
 
@@ -430,6 +430,3 @@ def intake_stream_query(spark, folder):
 )
 def intake_log(spark, folder):
     return read_log(spark, _stream(spark, folder)).agg(F.sum("added").alias("added"), F.sum("skipped").alias("skipped"))
-
-
-__all__ = ["RUN", "s_doi_key"]

@@ -158,7 +158,7 @@ def query_hash(spark, folder):
     + f"CASE WHEN {_MASS} THEN mass_min ELSE 0 END AS mass_min, CASE WHEN {_MASS} THEN mass_max ELSE 10000 END AS mass_max, "
     + f"CASE WHEN {_YEARS} THEN year_min ELSE 1800 END AS year_min, CASE WHEN {_YEARS} THEN year_max ELSE {YEAR} END AS year_max, "
     + f"CASE WHEN formula_enabled AND {s_trim('formula_exact')} <> '' THEN formula_exact ELSE '' END AS formula_exact, "
-    + ", ".join(f"{s}_{e}" for s, _ in _BOUNDS for e in ("min", "max"))
+    + ", ".join(f"{s}_min, least({s}_max, {top}) AS {s}_max" for s, top in _BOUNDS)
     + ", " + ", ".join(_STATES)
     + ", formula_enabled FROM (SELECT * REPLACE (round(threshold * 4) / 4 + 0e0 AS threshold) FROM {filled}) f",
     CTES,
@@ -188,11 +188,11 @@ def share_params_pages(spark, folder):
     """Links of whole web pages: foreign parameters leave the defaults alone."""
     pages = star.table(spark, folder, "pages").select("page_id", "url")
     decoded = rq.decode_share_params(pages, "url", YEAR)
-    params = rq.share_map(F.col("url"))
-    shown = pages.select(
+    params = pages.select("page_id", rq.share_entries(F.col("url")).alias("p"))
+    shown = params.select(
         "page_id",
-        F.concat(F.lit("page="), params.getItem("page")).alias("page"),
-        F.concat(F.lit("utm_source="), params.getItem("utm_source")).alias("source"),
+        F.concat(F.lit("page="), rq.share_value(F.col("p"), "page")).alias("page"),
+        F.concat(F.lit("utm_source="), rq.share_value(F.col("p"), "utm_source")).alias("source"),
     )
     return shown.join(decoded.select("page_id", "taxon", "threshold"), "page_id")
 

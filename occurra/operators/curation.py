@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from occurra.functions import chemistry as ch
 from occurra.functions import text as tx
 from occurra.model import TAXON_CLASS, Graph
-from occurra.operators.resolve import resolve_references, resolve_taxa, resolve_taxa_fallback
+from occurra.operators.resolve import resolve_references, taxa_only
 from occurra.operators.skew import DEFAULT_POLICY, HeavyKeys, SkewPolicy, attach, heavy_keys, keep_first
+from occurra.session import cut_lineage
 
 # Classes and properties of the edit statements, status names.
 STEREOISOMER_GROUP = "Q59199015"
@@ -26,6 +27,7 @@ UPDATES = "existing_updates"
 NEW = "new_compound"
 PENDING = "pending_dependencies"
 ERROR = "error"
+UNIT = "\x1f"  # separates the ids of an occurrence key
 STATUS_ORDER = (COMPLETE, UPDATES, NEW, PENDING, ERROR)
 
 NOTES = {
@@ -48,12 +50,13 @@ def _quoted(subject: Column, prop: str, value: Column) -> Column:
 def match_compounds(inchikeys: DataFrame, graph: Graph) -> DataFrame:
     """``(inchikey)`` to one known compound with its five optional properties.
 
-    The graph side shrinks to the wanted keys before its properties are
-    joined; of several values the smallest is taken.
+    The graph side shrinks to the wanted compounds, stored once, before its
+    properties are read; of several values the smallest is taken.
     """
     wanted = inchikeys.select("inchikey").filter(F.col("inchikey").isNotNull()).distinct()
     ids = graph.compound_ids.join(wanted, "inchikey", "left_semi")
-    found = keep_first(ids, ["inchikey"], [F.length("c").asc(), F.col("c").asc(), F.col("smiles_conn").asc()])
+    order = [F.length("c").asc(), F.col("c").asc(), F.col("smiles_conn").asc()]
+    found = cut_lineage(keep_first(ids, ["inchikey"], order), "known")
 
     def smallest(df: DataFrame, name: str) -> DataFrame:
         kept = df.join(found.select("c"), "c", "left_semi")
@@ -125,17 +128,25 @@ def creation_block(taxon: Column) -> Column:
 
 
 def taxon_lookup(rows: DataFrame, graph: Graph) -> DataFrame:
-    """Distinct trimmed names ``(given, t)``: the batch lookup, then the fallback spelling."""
-    batch = resolve_taxa(rows, graph.taxon_names, graph.instance_of)
-    names = rows.select(tx.clean(F.col("taxon")).alias("given")).filter(F.col("given").isNotNull()).distinct()
-    first = names.withColumn("key", tx.taxon_key(F.col("given"))).join(batch, "key", "left")
-    missing = first.filter(F.col("t").isNull()).select(F.col("given").alias("taxon"))
-    second = resolve_taxa_fallback(missing, graph.taxon_names, graph.instance_of).select(
-        F.col("name").alias("given"), F.col("t").alias("t2")
-    )
-    return first.join(second, "given", "left").select("given", F.coalesce("t", "t2").alias("t")).filter(
-        F.col("t").isNotNull()
+    """Distinct trimmed names ``(given, t)``: C6, then C7, in one join.
+
+    Per name the spellings tried are the first one of its key in the batch,
+    the name as given and its canonical form; the earliest that hits wins, and
+    within it the smallest id.
+    """
+    names = (
+        rows.select("seq", tx.clean(F.col("taxon")).alias("given"))
+        .filter(F.col("given").isNotNull())
+        .groupBy("given")
+        .agg(F.min("seq").alias("seq"))
+        .withColumn("key", tx.taxon_key(F.col("given")))
     )
+    first = names.groupBy("key").agg(F.min_by("given", "seq").alias("first"))
+    spellings = F.array("first", "given", tx.canonical_taxon(F.col("given")))
+    tried = names.join(first, "key").select("given", F.posexplode(F.array_distinct(spellings)).alias("pref", "name"))
+    hits = tried.join(taxa_only(graph.taxon_names, graph.instance_of), "name")
+    best = F.min_by("t", F.struct("pref", F.length("t"), "t"))
+    return hits.groupBy("given").agg(best.alias("t"))
 
 
 def resolve_dependencies(rows: DataFrame, graph: Graph, heavy: HeavyKeys = HeavyKeys()) -> DataFrame:
@@ -214,18 +225,19 @@ def create_statements() -> Column:
 def occurrence_statement() -> Column:
     """K4: the occurrence statement of a row, NULL when none is due.
 
-    Needs ``known_c, t, r, doi_id, given, has_pair, has_triple``.
+    Needs ``known_c, t, r, doi_id, given, occurs``.
     """
     t, r, doi = F.col("t"), F.col("r"), F.col("doi_id")
     subject = F.coalesce("known_c", F.lit("LAST"))
     head = F.concat(subject, F.lit(f"|{FOUND_IN}|"), t)
     known = F.col("known_c").isNotNull()
+    due = ~known | ~F.col("occurs")
     return (
         F.when(F.col("given").isNull(), F.lit(None).cast("string"))
         .when(t.isNull(), F.when(~known, F.lit(f"LAST|{FOUND_IN}|{NEW_TAXON}")))
-        .when(r.isNotNull(), F.when(~known | ~F.col("has_triple"), F.concat(head, F.lit("|S248|"), r)))
+        .when(r.isNotNull(), F.when(due, F.concat(head, F.lit("|S248|"), r)))
         .when(doi.isNotNull(), F.lit(None).cast("string"))
-        .otherwise(F.when(~known | ~F.col("has_pair"), head))
+        .otherwise(F.when(due, head))
     )
 
 
@@ -257,30 +269,28 @@ def with_known_compounds(rows: DataFrame, graph: Graph, heavy: HeavyKeys = Heavy
 
 
 def with_occurrence_flags(
-    rows: DataFrame, statements: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, n_rows: int | None = None
+    rows: DataFrame, statements: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, n_rows: int = 0
 ) -> DataFrame:
-    """``has_pair`` and ``has_triple`` for rows with ``known_c``, ``t`` and ``r``."""
-    rows = rows.withColumn("_pair", F.concat_ws("\x1f", F.array("known_c", "t")))
-    rows = rows.withColumn("_pair", F.when(F.col("known_c").isNotNull() & F.col("t").isNotNull(), F.col("_pair")))
-    found = known_occurrences(rows.select(F.col("known_c").alias("c"), "t"), statements)
-    # references per pair and asked for, so that the list per pair is bounded
-    # by the rows of the pair, not by the graph
-    asked = rows.filter(F.col("_pair").isNotNull() & F.col("r").isNotNull()).select("_pair", "r").distinct()
-    keyed = found.select(F.concat_ws("\x1f", "c", "t").alias("_pair"), "r")
-    pairs = keyed.select("_pair").distinct().withColumn("_p", F.lit(True))
-    triples = (
-        keyed.join(asked, ["_pair", "r"], "left_semi")
-        .select(F.concat_ws("\x1f", "_pair", "r").alias("_triple"))
+    """``occurs`` for rows with ``known_c``, ``t`` and ``r``.
+
+    With a reference the triple must be in the graph, without one the pair.
+    The statements are read once: those of an asked pair give the keys of
+    their pair and of their triple, and a row looks up the key it needs.
+    ``rows`` is read twice and should be stored.
+    """
+    asked = F.col("known_c").isNotNull() & F.col("t").isNotNull()
+    rows = rows.withColumn("occurrence", F.when(asked, F.concat_ws(UNIT, "known_c", "t", "r")))
+    pairs = rows.filter(asked).select(F.col("known_c").alias("c"), "t")
+    keys = F.array(F.concat_ws(UNIT, "c", "t"), F.concat_ws(UNIT, "c", "t", "r"))
+    found = (
+        known_occurrences(pairs, statements)
+        .select(F.explode(keys).alias("occurrence"))
         .distinct()
-        .withColumn("_t", F.lit(True))
+        .withColumn("_hit", F.lit(True))
     )
-    rows = rows.withColumn("_triple", F.when(F.col("r").isNotNull(), F.concat(F.col("_pair"), F.lit("\x1f"), F.col("r"))))
-    heavy = heavy_keys(rows, ["_pair", "_triple"], policy, n_rows if n_rows is not None else 0)
-    rows = attach(rows, [(pairs, "left")], "_pair", heavy.of("_pair"), F.col("seq"))
-    rows = attach(rows, [(triples, "left")], "_triple", heavy.of("_triple"), F.col("seq"))
-    return rows.withColumns(
-        {"has_pair": F.col("_p").isNotNull(), "has_triple": F.col("_t").isNotNull()}
-    ).drop("_pair", "_triple", "_p", "_t")
+    heavy = heavy_keys(rows, ["occurrence"], policy, n_rows).of("occurrence")
+    flagged = attach(rows, [(found, "left")], "occurrence", heavy, F.col("seq"))
+    return flagged.withColumn("occurs", F.col("_hit").isNotNull()).drop("_hit", "occurrence")
 
 
 def status_counts(results: DataFrame) -> DataFrame:

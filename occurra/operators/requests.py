@@ -235,24 +235,23 @@ def criteria_table(spark: SparkSession, criteria: Criteria, qid: str | None = No
     return spark.sql("SELECT 1").select(*[F.lit(values[n]).cast(t).alias(n) for n, t in types.items()])
 
 
-def share_map(url: Column) -> Column:
-    """Decoded query parameters of a URL; the last value of a repeated key stays."""
+def share_entries(url: Column) -> Column:
+    """Decoded ``(key, value)`` parameters of a URL, in order."""
     query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
 
     def decoded(part: Column, index: int) -> Column:
         raw = F.coalesce(F.get(F.split(part, "=", 2), F.lit(index)), F.lit(""))
         return F.coalesce(F.try_url_decode(raw), raw)
 
-    entries = F.transform(
+    return F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
         lambda p: F.struct(decoded(p, 0).alias("key"), decoded(p, 1).alias("value")),
     )
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(
-        entries,
-        lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), e["key"]),
-    )
-    return F.map_from_entries(last)
+
+
+def share_value(entries: Column, key: str) -> Column:
+    """Value of a parameter, the last one when the key repeats."""
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1)).getField("value")
 
 
 def _flag(value: Column) -> Column:
@@ -272,10 +271,10 @@ def _count(value: Column) -> Column:
 def decode_share_params(df: DataFrame, url: str, as_of_year: int) -> DataFrame:
     """Criteria columns out of a URL column."""
     kept = [c for c in df.columns if c not in CRITERIA_COLUMNS]
-    mapped = df.select(*kept, share_map(F.col(url)).alias("_p"))
+    parsed = df.select(*kept, share_entries(F.col(url)).alias("_entries"))
 
     def p(key: str) -> Column:
-        return F.col("_p").getItem(key)
+        return share_value(F.col("_entries"), key)
 
     structure = F.coalesce(p("structure"), p("smiles"))
     kind = F.coalesce(p("structure_search_type"), p("smiles_search_type"))
@@ -302,7 +301,7 @@ def decode_share_params(df: DataFrame, url: str, as_of_year: int) -> DataFrame:
             columns[key] = F.coalesce(F.when(formula, _count(p(key))), F.lit(default))
     for state in _STATES:
         columns[state] = F.coalesce(F.when(formula, _state(p(state))), F.lit("allowed"))
-    return mapped.select(
+    return parsed.select(
         *kept, *[c.alias(n) for n, c in columns.items()], formula.alias("formula_enabled")
     )
 

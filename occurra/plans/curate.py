@@ -13,9 +13,9 @@ from occurra.functions import chemistry as ch
 from occurra.functions import text as tx
 from occurra.model import Graph
 from occurra.operators import curation as cu
-from occurra.operators.merging import dedup_candidates, merge_passes
+from occurra.operators.merging import dedup_candidates, merge_passes, with_row_key
 from occurra.operators.skew import DEFAULT_POLICY, SkewPolicy, heavy_keys
-from occurra.session import cut_lineage
+from occurra.session import counted_stage, cut_lineage
 
 CONVERTED = (
     "seq bigint, name string, smiles string, taxon string, doi string, "
@@ -41,17 +41,18 @@ def convert(rows: DataFrame, converter: Converter) -> DataFrame:
     return rows.mapInPandas(converter, CONVERTED)
 
 
-def prepare(rows: DataFrame, converter: Converter | None = None) -> DataFrame:
+def prepare(rows: DataFrame, converter: Converter | None = None) -> tuple[DataFrame, int]:
     """Candidates reduced to the first row per key, stored once for all lookups."""
     firsts = dedup_candidates(rows)
     if converter is not None:
-        firsts = dedup_candidates(convert(firsts.drop("key"), converter))
-    return cut_lineage(firsts)
+        firsts = with_row_key(convert(firsts.drop("key"), converter))
+    return counted_stage(firsts, "candidates")
 
 
-def resolve_rows(firsts: DataFrame, graph: Graph, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+def resolve_rows(
+    firsts: DataFrame, n_rows: int, graph: Graph, policy: SkewPolicy = DEFAULT_POLICY
+) -> DataFrame:
     """Every lookup of the batch: compound, taxon, reference, existing occurrence."""
-    n_rows = firsts.count()
     keyed = firsts.select(
         "inchikey",
         tx.clean(F.col("taxon")).alias("given"),
@@ -59,7 +60,7 @@ def resolve_rows(firsts: DataFrame, graph: Graph, policy: SkewPolicy = DEFAULT_P
     )
     heavy = heavy_keys(keyed, ["inchikey", "given", "doi_id"], policy, n_rows)
     rows = cu.with_known_compounds(firsts, graph, heavy)
-    rows = cu.resolve_dependencies(rows, graph, heavy)
+    rows = cut_lineage(cu.resolve_dependencies(rows, graph, heavy), "resolved")
     return cu.with_occurrence_flags(rows, graph.statements, policy, n_rows)
 
 
@@ -102,7 +103,8 @@ def curate(
     rows: DataFrame, graph: Graph, converter: Converter | None = None, policy: SkewPolicy = DEFAULT_POLICY
 ) -> Curation:
     """K6: candidates to results and edit statements."""
-    results = result_table(resolve_rows(prepare(rows, converter), graph, policy))
+    firsts, n_rows = prepare(rows, converter)
+    results = cut_lineage(result_table(resolve_rows(firsts, n_rows, graph, policy)), "curated")
     return Curation(results, cu.bundle(results))
 
 
@@ -113,7 +115,7 @@ def second_pass_inputs(results: DataFrame) -> DataFrame:
 
 def apply_second_pass(previous: DataFrame, updated: DataFrame) -> Curation:
     """K7: updated rows merged into the earlier results."""
-    merged = merge_passes(previous, updated)
+    merged = cut_lineage(merge_passes(previous, updated), "merged")
     return Curation(merged, cu.bundle(merged))
 
 

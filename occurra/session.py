@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings every job of this library assumes. They can be changed on a
 # live session, so `tune` also serves sessions made elsewhere.
@@ -66,7 +67,19 @@ def one_row(spark: SparkSession, **values: object) -> DataFrame:
     return spark.sql(f"SELECT {columns}", args=values)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably; survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Store ``df`` as a table in the shared folder and read it from there.
+
+    Survives the loss of executors, and gives the planner the real size of the
+    table, which a checkpointed RDD does not.
+    """
+    return counted_stage(df, label)[0]
+
+
+def counted_stage(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
+    """``cut_lineage`` plus the number of rows, counted while writing."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), rows.get["n"]

@@ -11,7 +11,7 @@ from occurra.operators.merging import append_unique
 from occurra.session import scratch_path
 
 QUEUE_SCHEMA = "seq bigint, name string, smiles string, taxon string, doi string, key string"
-LOG_SCHEMA = "batch bigint, added bigint, skipped bigint"
+LOG_SCHEMA = "added bigint, skipped bigint, batch bigint"
 
 
 def read_queue(spark: SparkSession, queue_path: str, before: int | None = None) -> DataFrame:
@@ -35,10 +35,9 @@ def _append_batch(queue_path: str):
         n_added = spark.read.schema(QUEUE_SCHEMA).parquet(target).agg(F.count(F.lit(1)).alias("added"))
         n_offered = offered.count()
         n_added.select(
-            F.lit(batch_id).cast("bigint").alias("batch"),
             F.col("added"),
             (F.lit(n_offered) - F.col("added")).cast("bigint").alias("skipped"),
-        ).write.mode("overwrite").parquet(f"{queue_path}/log/batch_{batch_id}")
+        ).write.mode("overwrite").parquet(f"{queue_path}/log/batch={batch_id}")
         offered.unpersist()
 
     return run
