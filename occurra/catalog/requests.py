@@ -188,11 +188,11 @@ def share_params_pages(spark, folder):
     """Links of whole web pages: foreign parameters leave the defaults alone."""
     pages = star.table(spark, folder, "pages").select("page_id", "url")
     decoded = rq.decode_share_params(pages, "url", YEAR)
-    params = pages.select("page_id", rq.share_entries(F.col("url")).alias("p"))
-    shown = params.select(
+    texts = pages.select("page_id", rq.share_query(F.col("url")).alias("q"))
+    shown = texts.select(
         "page_id",
-        F.concat(F.lit("page="), rq.share_value(F.col("p"), "page")).alias("page"),
-        F.concat(F.lit("utm_source="), rq.share_value(F.col("p"), "utm_source")).alias("source"),
+        F.concat(F.lit("page="), rq.share_value(F.col("q"), "page")).alias("page"),
+        F.concat(F.lit("utm_source="), rq.share_value(F.col("q"), "utm_source")).alias("source"),
     )
     return shown.join(decoded.select("page_id", "taxon", "threshold"), "page_id")
 

@@ -47,6 +47,13 @@ REQUEST_COLUMNS: dict[str, str] = {
     **{f"{s}_{end}": "int" for s, _ in _BOUNDS for end in ("min", "max")},
     **{s: "string" for s in _STATES},
 }
+SHARE_KEYS = (
+    "smiles_threshold",
+    *[f"{name}_filter" for name in ("mass", "year", "formula")],
+    *("mass_min", "mass_max", "year_start", "year_end", "formula_exact"),
+    *[f"{s}_{end}" for s, _ in _BOUNDS for end in ("min", "max")],
+    *_STATES,
+)
 CRITERIA_COLUMNS = (*REQUEST_COLUMNS, "formula_enabled")
 
 
@@ -235,23 +242,30 @@ def criteria_table(spark: SparkSession, criteria: Criteria, qid: str | None = No
     return spark.sql("SELECT 1").select(*[F.lit(values[n]).cast(t).alias(n) for n, t in types.items()])
 
 
-def share_entries(url: Column) -> Column:
-    """Decoded ``(key, value)`` parameters of a URL, in order."""
+def share_query(url: Column) -> Column:
+    """Query text of a URL as ``&key=value&...``, keys decoded, values as they are.
+
+    Only a text with an encoded key or a parameter without ``=`` is taken
+    apart; any other is used as it stands.
+    """
     query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
 
-    def decoded(part: Column, index: int) -> Column:
-        raw = F.coalesce(F.get(F.split(part, "=", 2), F.lit(index)), F.lit(""))
-        return F.coalesce(F.try_url_decode(raw), raw)
+    def plain(part: Column) -> Column:
+        key = F.substring_index(part, "=", 1)
+        value = F.substr(part, F.length(key) + 2)
+        return F.concat(F.coalesce(F.try_url_decode(key), key), F.lit("="), value)
 
-    return F.transform(
-        F.filter(F.split(query, "&"), lambda p: p != ""),
-        lambda p: F.struct(decoded(p, 0).alias("key"), decoded(p, 1).alias("value")),
-    )
+    unusual = query.rlike("(^|&)[^=&%+]*([%+&]|$)")
+    rebuilt = F.array_join(F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), plain), "&")
+    return F.concat(F.lit("&"), F.when(unusual, rebuilt).otherwise(query))
 
 
-def share_value(entries: Column, key: str) -> Column:
-    """Value of a parameter, the last one when the key repeats."""
-    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1)).getField("value")
+def share_value(query: Column, key: str) -> Column:
+    """Decoded value of a parameter in a ``share_query`` text, the last one when it repeats."""
+    raw = F.substring_index(F.substring_index(query, f"&{key}=", -1), "&", 1)
+    encoded = raw.contains("%") | raw.contains("+")
+    value = F.when(encoded, F.coalesce(F.try_url_decode(raw), raw)).otherwise(raw)
+    return F.when(query.contains(f"&{key}="), value)
 
 
 def _flag(value: Column) -> Column:
@@ -271,10 +285,13 @@ def _count(value: Column) -> Column:
 def decode_share_params(df: DataFrame, url: str, as_of_year: int) -> DataFrame:
     """Criteria columns out of a URL column."""
     kept = [c for c in df.columns if c not in CRITERIA_COLUMNS]
-    parsed = df.select(*kept, share_entries(F.col(url)).alias("_entries"))
+    # parameters first, each read from the text once, then the criteria
+    read = ("taxon", "structure", "smiles", "structure_search_type", "smiles_search_type", *SHARE_KEYS)
+    parsed = df.select(*kept, share_query(F.col(url)).alias("_query"))
+    parsed = parsed.select(*kept, *[share_value(F.col("_query"), k).alias(f"_{k}") for k in read])
 
     def p(key: str) -> Column:
-        return share_value(F.col("_entries"), key)
+        return F.col(f"_{key}")
 
     structure = F.coalesce(p("structure"), p("smiles"))
     kind = F.coalesce(p("structure_search_type"), p("smiles_search_type"))

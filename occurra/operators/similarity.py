@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from occurra.session import cut_lineage
+
 BLOCK_ROWS = 20_000  # rows per block of a token's posting list
 
 
@@ -125,7 +127,7 @@ def similar_pairs(
     of the upper triangle of a ``g x g`` grid: each cell is its own join key
     and holds about two blocks, whatever the length of the posting list.
     """
-    groups = fingerprint_groups(fingerprints).filter(F.size("bits") > 0)
+    groups = cut_lineage(fingerprint_groups(fingerprints).filter(F.size("bits") > 0), "prints")
     rank = _rarity_rank(groups, n_bits)
     words = range(n_words(n_bits))
 
@@ -141,7 +143,7 @@ def similar_pairs(
         *[pack(F.col("bits"), i).alias(f"w{i}") for i in words],
         F.slice("tokens", 1, keep).alias("prefix"),
     )
-    rows = rows.select("*", *[pack(F.col("prefix"), i).alias(f"p{i}") for i in words])
+    rows = cut_lineage(rows.select("*", *[pack(F.col("prefix"), i).alias(f"p{i}") for i in words]), "packed")
 
     postings = {
         r["token"]: r["n"]
