@@ -140,7 +140,7 @@ def dedup_entries(spark, folder):
 
 @query(
     "result_hash",
-    "SELECT sha256(string_agg(id, '|' ORDER BY id)) AS result_hash FROM (SELECT DISTINCT compound_qid AS id FROM {mass_year_rows}) i",
+    "SELECT sha256(coalesce(string_agg(id, '|' ORDER BY id), '')) AS result_hash FROM (SELECT DISTINCT compound_qid AS id FROM {mass_year_rows}) i",
     CTES,
 )
 def result_hash(spark, folder):
@@ -150,7 +150,7 @@ def result_hash(spark, folder):
 
 @query(
     "result_digest",
-    f"""SELECT sha256(string_agg(digest, '|' ORDER BY bucket)) AS result_digest FROM
+    f"""SELECT sha256(coalesce(string_agg(digest, '|' ORDER BY bucket), '')) AS result_digest FROM
 (SELECT bucket, sha256(string_agg(id, '|' ORDER BY id)) AS digest FROM
 (SELECT id, ('0x' || substr(sha256(id), 1, 8))::bigint % {stats.DIGEST_BUCKETS} AS bucket
 FROM (SELECT DISTINCT c AS id FROM {{statements}}) i) b GROUP BY bucket) d""",

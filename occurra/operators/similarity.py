@@ -172,7 +172,7 @@ def similar_pairs(
     earlier = [
         F.when(token >= 64 * (i + 1), F.lit(-1).cast("bigint"))
         .when(token <= 64 * i, F.lit(0).cast("bigint"))
-        .otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), token - 64 * i) - 1)
+        .otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), token - 64 * i)))
         for i in words
     ]
     first_shared = reduce(
