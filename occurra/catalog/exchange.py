@@ -228,7 +228,7 @@ def curation_tsv_out(spark, folder):
 
 @query(
     "metadata_json",
-    f"""SELECT 'Dataset' AS kind, 'Occurrence data — q10' AS name, n AS records, 'Q10' AS taxon_qid, 920.0::double AS mass_min,
+    f"""SELECT 'Dataset' AS kind, 'Occurrence data — q10' AS name, n AS records, 'Q10' AS taxon_qid, 905.0::double AS mass_min,
 'required' AS chlorine, 'urn:hash:sha256:' || h AS uri, 12 AS n_variables FROM
 (SELECT count(*) AS n FROM {{flagship_rows}}) a, (SELECT sha256(coalesce(string_agg(id, '|' ORDER BY id), '')) AS h FROM
 (SELECT DISTINCT compound_qid AS id FROM ({_dedup_sql('{flagship_rows}')}) d) i) b""",

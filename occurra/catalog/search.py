@@ -25,7 +25,7 @@ from occurra.sources import star
 
 FLAGSHIP = Criteria(
     taxon=" q10 ",
-    mass_min=920.0,
+    mass_min=905.0,
     mass_max=990.0,
     year_min=1996,
     year_max=1999,
@@ -36,12 +36,13 @@ CLADE = Criteria(taxon="Q10")
 NAMED = Criteria(taxon="__biota", formula_enabled=True, elements={"C": (5, 20)}, formula_exact="")
 
 _BY_MASS_YEAR = "mass BETWEEN 920 AND 990 AND year(ref_date) BETWEEN 1996 AND 1999"
+_FLAGSHIP_RANGES = _BY_MASS_YEAR.replace("920", "905")
 _IN_CLADE = "t IN (SELECT t FROM {closure})"
 
 CTES = {
     **BASE_CTES,
     "clade_rows": f"SELECT {RESULT_COLUMNS} FROM {{enriched}} WHERE {_IN_CLADE}",
-    "flagship_rows": f"SELECT {RESULT_COLUMNS} FROM {{enriched}} WHERE {_IN_CLADE} AND {_BY_MASS_YEAR} "
+    "flagship_rows": f"SELECT {RESULT_COLUMNS} FROM {{enriched}} WHERE {_IN_CLADE} AND {_FLAGSHIP_RANGES} "
     f"AND formula_raw IS NOT NULL AND {s_count(s_tokens('formula_raw'), 'Cl')} > 0",
     "named_rows": f"SELECT {RESULT_COLUMNS} FROM {{enriched}} WHERE formula_raw IS NOT NULL "
     f"AND {s_count(s_tokens('formula_raw'), 'C')} BETWEEN 5 AND 20",
@@ -88,7 +89,7 @@ def search_structure(spark, folder):
 
 @query(
     "filter_combined",
-    f"SELECT {RESULT_COLUMNS} FROM {{enriched}} WHERE {_BY_MASS_YEAR} AND formula_raw IS NOT NULL "
+    f"SELECT {RESULT_COLUMNS} FROM {{enriched}} WHERE {_FLAGSHIP_RANGES} AND formula_raw IS NOT NULL "
     f"AND {s_count(s_tokens('formula_raw'), 'Cl')} > 0",
     CTES,
 )

@@ -80,14 +80,19 @@ def match_compounds(inchikeys: DataFrame, graph: Graph) -> DataFrame:
     )
 
 
-def known_occurrences(pairs: DataFrame, statements: DataFrame) -> DataFrame:
+def known_occurrences(
+    pairs: DataFrame, statements: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
+) -> DataFrame:
     """Distinct ``(c, t, r)`` of the statements whose (c, t) is asked for.
 
-    One pass over the statements; the asked pairs are the side AQE may
-    broadcast when they measure small.
+    One pass over the statements. AQE broadcasts the asked pairs when they
+    measure small; otherwise pairs with very many statements are split.
     """
-    asked = pairs.select("c", "t").filter(F.col("c").isNotNull() & F.col("t").isNotNull()).distinct()
-    return statements.select("c", "t", "r").join(asked, ["c", "t"], "left_semi").distinct()
+    pair = F.concat_ws(UNIT, "c", "t").alias("pair")
+    asked = pairs.filter(F.col("c").isNotNull() & F.col("t").isNotNull()).select(pair).distinct()
+    keyed = statements.select(pair, "c", "t", "r")
+    heavy = heavy_keys(keyed, ["pair"], policy).of("pair")
+    return attach(keyed, [(asked, "left_semi")], "pair", heavy).select("c", "t", "r").distinct()
 
 
 def occurrence_exists(pairs: DataFrame, statements: DataFrame) -> DataFrame:
@@ -283,7 +288,7 @@ def with_occurrence_flags(
     pairs = rows.filter(asked).select(F.col("known_c").alias("c"), "t")
     keys = F.array(F.concat_ws(UNIT, "c", "t"), F.concat_ws(UNIT, "c", "t", "r"))
     found = (
-        known_occurrences(pairs, statements)
+        known_occurrences(pairs, statements, policy)
         .select(F.explode(keys).alias("occurrence"))
         .distinct()
         .withColumn("_hit", F.lit(True))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from occurra.operators.skew import DEFAULT_POLICY, SkewPolicy, attach, heavy_keys
 from occurra.session import cut_lineage
 
 BLOCK_ROWS = 20_000  # rows per block of a token's posting list
@@ -90,14 +91,18 @@ def fingerprint_groups(fingerprints: DataFrame) -> DataFrame:
     ).select("rep", "bits", "n")
 
 
-def fingerprint_members(fingerprints: DataFrame) -> DataFrame:
+def fingerprint_members(fingerprints: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
     """``(rep, c)`` for every compound: links copies to the row that stands for them.
 
     With ``similar_pairs`` this holds every similar pair of compounds in space
     that grows with the compounds, not with the square of a group of copies.
+    A large group of copies is split over tasks.
     """
-    reps = fingerprint_groups(fingerprints).select("rep", "bits")
-    return fingerprints.select("c", F.array_sort("bits").alias("bits")).join(reps, "bits").select("rep", "c")
+    print_key = F.sha2(F.array_join(F.array_sort("bits"), ",").cast("binary"), 256)
+    keyed = fingerprints.select("c", print_key.alias("print"))
+    reps = keyed.groupBy("print").agg(F.min("c").alias("rep"))
+    heavy = heavy_keys(keyed, ["print"], policy).of("print")
+    return attach(keyed, [(reps, "inner")], "print", heavy, F.col("c")).select("rep", "c")
 
 
 def _rarity_rank(groups: DataFrame, n_bits: int) -> list[int]:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from occurra.model import ROW_LIMIT_CEILING, ROW_LIMIT_DEFAULT
 from occurra.operators.skew import keep_first
+from occurra.session import counted_stage, cut_lineage
 
 ENTRY_KEY = ("compound_qid", "taxon_qid", "reference_qid")
 COUNTERS = ("n_entries", "n_entries_unique", "n_compounds", "n_taxa", "n_references")
 DIGEST_BUCKETS = 16384
+TOP_K_ROWS = 20_000  # up to here a top-k; every task hands that many rows to one
+CUT_RANGES = 2048
 
 
 def dataset_stats(df: DataFrame, compound="compound_qid", taxon="taxon_qid", reference="reference_qid") -> DataFrame:
@@ -54,9 +57,39 @@ def limit_rows(df: DataFrame, n: int | None = None, order: list[Column] | None =
     return (df.orderBy(*order) if order else df).limit(clamp_limit(n))
 
 
+def first_rows(df: DataFrame, order: list[Column], n: int, n_rows: int) -> DataFrame:
+    """Exactly the first ``n`` of the ``n_rows`` rows of a stored table, for large ``n``.
+
+    Rows are laid out by range; whole ranges below the cut are kept as they
+    are and only the one range the cut falls into is sorted. The driver sees
+    one count per range.
+    """
+    if n_rows <= n:
+        return df
+    spread = df.repartitionByRange(CUT_RANGES, *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut_lineage(spread, "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
+    below, cut = 0, 0
+    for cut, size in ((r["_range"], r["n"]) for r in sizes):
+        if below + size > n:
+            break
+        below += size
+    whole = ranged.filter(F.col("_range") < cut)
+    partial = ranged.filter(F.col("_range") == cut).orderBy(*order).limit(n - below)
+    return whole.unionByName(partial).drop("_range")
+
+
 def capped_rows(df: DataFrame, order: list[Column], cap: int = ROW_LIMIT_CEILING) -> DataFrame:
-    """D3, rows: deduplicated entries in order, cut to the cap."""
-    return limit_rows(dedup_entries(df, order), cap, order)
+    """D3, rows: deduplicated entries in order, cut to the cap.
+
+    A short list is a top-k. For a long one the entries are stored once, which
+    also counts them; mostly they are fewer than the cap and nothing is cut.
+    """
+    entries, cap = dedup_entries(df, order), clamp_limit(cap)
+    if cap <= TOP_K_ROWS:
+        return entries.orderBy(*order).limit(cap)
+    stored, n_rows = counted_stage(entries, "entries")
+    return first_rows(stored, order, cap, n_rows).orderBy(*order)
 
 
 def capped_stats(df: DataFrame, cap: int = ROW_LIMIT_CEILING) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,18 +125,18 @@ def any_taxon(occ: Occurrences, compounds: DataFrame) -> DataFrame:
     return found.unionByName(alone, allowMissingColumns=True)
 
 
-@dataclass(frozen=True)
+ENTRY_ORDER = (*stats.ENTRY_KEY, "statement", "mass", "name", "ref_title", "ref_doi", "pub_year", "smiles")
+
+
+@dataclass
 class SearchResult:
-    """Lazy parts of one search over the same matching rows."""
+    """One search over its matching rows; each part is planned when asked for."""
 
     criteria: Criteria
     taxon: TaxonChoice
-    matches: DataFrame  # every matching row, enriched
-    all_rows: DataFrame  # every matching row as RESULT_ROW (exports)
-    rows: DataFrame  # deduplicated and capped (display)
-    stats: DataFrame  # counters over all rows, with n_returned and capped
-    query_hash: DataFrame
-    result_hash: DataFrame
+    matches: DataFrame  # every matching row, enriched (RDF export)
+    all_rows: DataFrame  # every matching row as RESULT_ROW (other exports)
+    limit: int
 
     def persist(self) -> "SearchResult":
         """Keep the matching rows while rows, counters and hashes are read."""
@@ -145,8 +146,24 @@ class SearchResult:
     def unpersist(self) -> None:
         self.all_rows.unpersist()
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Deduplicated, in order, cut to the limit (display)."""
+        return stats.capped_rows(self.all_rows, [F.col(c).asc_nulls_first() for c in ENTRY_ORDER], self.limit)
 
-ENTRY_ORDER = (*stats.ENTRY_KEY, "statement", "mass", "name", "ref_title", "ref_doi", "pub_year", "smiles")
+    @cached_property
+    def stats(self) -> DataFrame:
+        """Counters over all rows, with ``n_returned`` and ``capped``."""
+        return stats.capped_stats(self.all_rows, self.limit)
+
+    @cached_property
+    def query_hash(self) -> DataFrame:
+        spark = self.all_rows.sparkSession
+        return query_hash(criteria_table(spark, self.criteria, self.taxon.qid)).select("query_hash")
+
+    @cached_property
+    def result_hash(self) -> DataFrame:
+        return stats.result_hash(self.rows)
 
 
 def search(
@@ -160,15 +177,4 @@ def search(
     occ = graph if isinstance(graph, Occurrences) else Occurrences(graph)
     choice = resolve_taxon(spark, occ.graph, criteria.taxon)
     matches = enriched_matches(occ, criteria, choice.qid, query_bits, n_bits)
-    all_rows = result_rows(matches)
-    rows = stats.capped_rows(all_rows, [F.col(c).asc_nulls_first() for c in ENTRY_ORDER], limit)
-    return SearchResult(
-        criteria=criteria,
-        taxon=choice,
-        matches=matches,
-        all_rows=all_rows,
-        rows=rows,
-        stats=stats.capped_stats(all_rows, limit),
-        query_hash=query_hash(criteria_table(spark, criteria, choice.qid)).select("query_hash"),
-        result_hash=stats.result_hash(rows),
-    )
+    return SearchResult(criteria, choice, matches, result_rows(matches), limit)

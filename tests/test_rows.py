@@ -42,6 +42,18 @@ def test_dedup_keeps_the_first(table):
     assert [r["statement"] for r in kept] == ["S1", "S3"]
 
 
+def test_long_lists_are_cut_exactly(spark, monkeypatch):
+    monkeypatch.setattr(stats, "TOP_K_ROWS", 10)
+    monkeypatch.setattr(stats, "CUT_RANGES", 7)
+    df = spark.range(1000).selectExpr(
+        "concat('Q', id % 400) AS compound_qid", "IF(id % 3 = 0, 'hot', concat('t', id)) AS taxon_qid", "'r' AS reference_qid"
+    )
+    order = [F.col(c) for c in stats.ENTRY_KEY]
+    whole = [tuple(r) for r in df.distinct().orderBy(*order).collect()]
+    for cap in (11, 500, len(whole), 5000):
+        assert [tuple(r) for r in stats.capped_rows(df, order, cap).collect()] == whole[:cap]
+
+
 def test_limits():
     assert [stats.clamp_limit(n) for n in (None, 0, 7, 5_000_000)] == [500, 1, 7, 2_000_000]
 
