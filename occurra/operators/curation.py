@@ -111,13 +111,24 @@ def occurrence_exists_ref(triples: DataFrame, statements: DataFrame) -> DataFram
     )
 
 
-def new_occurrences(candidates: DataFrame, statements: DataFrame) -> DataFrame:
+def occurrence_key(c: str = "c") -> Column:
+    """Key of a pair, or of a triple when the reference is there."""
+    return F.concat_ws(UNIT, c, "t", "r")
+
+
+def occurrence_keys(found: DataFrame) -> DataFrame:
+    """``(occurrence)``: the pair and the triple key of every known occurrence."""
+    keys = F.array(F.concat_ws(UNIT, "c", "t"), occurrence_key())
+    return found.select(F.explode(keys).alias("occurrence")).distinct()
+
+
+def new_occurrences(
+    candidates: DataFrame, statements: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
+) -> DataFrame:
     """Distinct ``(c, t, r)`` not in the graph; without a reference the pair decides."""
     asked = candidates.select("c", "t", "r").distinct()
-    found = known_occurrences(asked, statements)
-    with_ref = asked.filter(F.col("r").isNotNull()).join(found, ["c", "t", "r"], "left_anti")
-    without = asked.filter(F.col("r").isNull()).join(found.select("c", "t").distinct(), ["c", "t"], "left_anti")
-    return with_ref.unionByName(without.select("c", "t", "r"))
+    known = occurrence_keys(known_occurrences(asked, statements, policy))
+    return asked.withColumn("occurrence", occurrence_key()).join(known, "occurrence", "left_anti").drop("occurrence")
 
 
 def creation_block(taxon: Column) -> Column:
@@ -284,15 +295,9 @@ def with_occurrence_flags(
     ``rows`` is read twice and should be stored.
     """
     asked = F.col("known_c").isNotNull() & F.col("t").isNotNull()
-    rows = rows.withColumn("occurrence", F.when(asked, F.concat_ws(UNIT, "known_c", "t", "r")))
+    rows = rows.withColumn("occurrence", F.when(asked, occurrence_key("known_c")))
     pairs = rows.filter(asked).select(F.col("known_c").alias("c"), "t")
-    keys = F.array(F.concat_ws(UNIT, "c", "t"), F.concat_ws(UNIT, "c", "t", "r"))
-    found = (
-        known_occurrences(pairs, statements, policy)
-        .select(F.explode(keys).alias("occurrence"))
-        .distinct()
-        .withColumn("_hit", F.lit(True))
-    )
+    found = occurrence_keys(known_occurrences(pairs, statements, policy)).withColumn("_hit", F.lit(True))
     heavy = heavy_keys(rows, ["occurrence"], policy, n_rows).of("occurrence")
     flagged = attach(rows, [(found, "left")], "occurrence", heavy, F.col("seq"))
     return flagged.withColumn("occurs", F.col("_hit").isNotNull()).drop("_hit", "occurrence")

@@ -155,10 +155,29 @@ def inputs_of(sql: str) -> list[str]:
     return list(dict.fromkeys(name for _, name, _, _ in Formatter().parse(sql) if name))
 
 
+# large tables and the key that spreads them evenly
+SPREAD_KEYS = {
+    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey"),
+    "orders": ("o_orderkey",),
+    "events": ("event_id",),
+    "documents": ("doc_id",),
+    "embeddings": ("vec_id",),
+}
+
+
 @lru_cache(maxsize=512)
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A source table; the plan is kept, so footers are read once per session."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A source table; the plan is kept, so footers are read once per session.
+
+    A file cannot be read by more tasks than it has row groups. A table with
+    fewer of these than the cluster has cores is spread after the scan, so
+    that the joins after it use every core; a large table never needs it.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, *SPREAD_KEYS[name])
+    return df
 
 
 @lru_cache(maxsize=512)
