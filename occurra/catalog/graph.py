@@ -97,7 +97,7 @@ def all_compounds(spark, folder):
 def compounds_by_taxon(spark, folder):
     o = occ(spark, folder)
     clade = descendants(o.graph.taxon_parent, "Q10")
-    return o.core(o.in_clade(o.graph.statements, clade)).select(
+    return o.core(clade=clade).select(
         "statement", "c", "t", "ref", "r", "inchikey", "smiles_conn", "taxon_name"
     )
 

@@ -22,7 +22,7 @@ def _state_sql(name: str) -> str:
 
 
 def _bound_sql(name: str, default: int) -> str:
-    return f"coalesce({name}, {default}) AS {name}" if name in _GIVEN else f"{default} AS {name}"
+    return f"coalesce({name}, {default}) AS {name}" if name in _GIVEN else f"{default}::bigint AS {name}"
 
 
 FILLED = f"""

@@ -1,7 +1,7 @@
 """Compound - taxon - reference rows out of the graph tables.
 
-Order of work: reduce the statements first (clade, structure hits), join the
-compounds once, then the reference properties on one shared partitioning. The
+Order of work: join the taxa first, which also applies the clade, then the
+compounds, then the reference properties on one shared partitioning. The
 properties of a compound are joined into one compound table beforehand, so the
 large statement table is shuffled once per key and not once per property.
 Multi-valued properties fan out; nothing is pre-aggregated.
@@ -37,14 +37,24 @@ class Occurrences:
             self._heavy = heavy_keys(self.graph.statements, ["c", "t", "r"], self.policy)
         return self._heavy
 
-    def core(self, statements: DataFrame | None = None, compounds: DataFrame | None = None) -> DataFrame:
-        """Statements with compound identifiers and taxon name, all mandatory."""
+    def core(
+        self,
+        statements: DataFrame | None = None,
+        compounds: DataFrame | None = None,
+        clade: DataFrame | None = None,
+    ) -> DataFrame:
+        """Statements with compound identifiers and taxon name, all mandatory.
+
+        A clade shrinks the taxon names, so that one join with the statements
+        both filters them and names their taxon.
+        """
         facts = self.graph.statements if statements is None else statements
         dims = self.graph.compound_ids if compounds is None else compounds
-        facts = attach(facts, [(dims, "inner")], "c", self.heavy.of("c"), F.col("statement"))
-        return attach(
-            facts, [(self.graph.taxon_names, "inner")], "t", self.heavy.of("t"), F.col("statement")
-        ).withColumnRenamed("name", "taxon_name")
+        names = self.graph.taxon_names.withColumnRenamed("name", "taxon_name")
+        if clade is not None:
+            names = names.join(clade.select("t"), "t", "left_semi")
+        facts = attach(facts, [(names, "inner")], "t", self.heavy.of("t"), F.col("statement"))
+        return attach(facts, [(dims, "inner")], "c", self.heavy.of("c"), F.col("statement"))
 
     def in_clade(self, statements: DataFrame, clade: DataFrame | None) -> DataFrame:
         """C4: rows whose taxon is in the clade; None means no filter.
@@ -59,12 +69,12 @@ class Occurrences:
         )
 
     def with_references(self, facts: DataFrame) -> DataFrame:
-        """Title, DOI and date by reference."""
+        """Date, title and DOI by reference; the date first, a year filter cuts there."""
         g = self.graph
         dims = [
+            (g.ref_date.withColumnRenamed("v", "ref_date"), "left"),
             (g.ref_title.withColumnRenamed("v", "ref_title"), "left"),
             (g.ref_doi.withColumnRenamed("v", "ref_doi"), "left"),
-            (g.ref_date.withColumnRenamed("v", "ref_date"), "left"),
         ]
         return attach(facts, dims, "r", self.heavy.of("r"), F.col("statement"))
 

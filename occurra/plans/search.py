@@ -106,8 +106,7 @@ def enriched_matches(
     if structure and clade is None:
         rows = any_taxon(occ, compounds)
     else:
-        statements = occ.in_clade(g.statements, clade)
-        rows = occ.with_references(occ.core(statements, compounds))
+        rows = occ.with_references(occ.core(compounds=compounds, clade=clade))
     return filters.filter_year(rows, criteria.year_min, criteria.year_max, criteria.as_of_year)
 
 
