@@ -375,8 +375,8 @@ def second_pass_bundle(spark, folder):
 
 # previous rows with repeated keys, updated rows with repeated and foreign keys
 _PREVIOUS = f"SELECT seq, {s_row_key()} AS key, name FROM {{candidates}}"
-_UPDATED = f"""SELECT seq + 1000000 AS seq, {s_row_key()} AS key, concat('new ', name) AS name FROM {{candidates}} WHERE seq % 3 = 0
-UNION ALL SELECT seq, concat('foreign ', seq), name FROM {{candidates}} WHERE seq % 50 = 0"""
+_UPDATED = f"""SELECT seq + 1000000 AS seq, {s_row_key()} AS key, concat('new ', name) AS name FROM {{candidates}} WHERE taxon IS NULL
+UNION ALL SELECT seq, concat('foreign ', seq), name FROM {{candidates}} WHERE doi IS NULL"""
 
 
 @query(
@@ -389,10 +389,10 @@ LEFT JOIN (SELECT key, arg_max(name, seq) AS name FROM {updated} GROUP BY key) u
 def merge_passes_query(spark, folder):
     rows = with_row_key(star.view(spark, folder, "candidates"))
     previous = rows.select("seq", "key", "name")
-    renamed = rows.filter("seq % 3 = 0").select(
+    renamed = rows.filter("taxon IS NULL").select(
         (F.col("seq") + 1000000).alias("seq"), "key", F.concat(F.lit("new "), "name").alias("name")
     )
-    foreign = rows.filter("seq % 50 = 0").select("seq", F.concat(F.lit("foreign "), "seq").alias("key"), "name")
+    foreign = rows.filter("doi IS NULL").select("seq", F.concat(F.lit("foreign "), "seq").alias("key"), "name")
     return merge_passes(previous, renamed.unionByName(foreign))
 
 

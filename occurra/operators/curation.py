@@ -88,11 +88,15 @@ def known_occurrences(
     One pass over the statements. AQE broadcasts the asked pairs when they
     measure small; otherwise pairs with very many statements are split.
     """
+    asked = pairs.filter(F.col("c").isNotNull() & F.col("t").isNotNull()).select("c", "t").distinct()
+    facts = statements.select("c", "t", "r")
     pair = F.concat_ws(UNIT, "c", "t").alias("pair")
-    asked = pairs.filter(F.col("c").isNotNull() & F.col("t").isNotNull()).select(pair).distinct()
-    keyed = statements.select(pair, "c", "t", "r")
-    heavy = heavy_keys(keyed, ["pair"], policy).of("pair")
-    return attach(keyed, [(asked, "left_semi")], "pair", heavy).select("c", "t", "r").distinct()
+    heavy = heavy_keys(statements.select(pair), ["pair"], policy).of("pair")
+    if heavy:
+        found = attach(facts.select("*", pair), [(asked.select(pair), "left_semi")], "pair", heavy)
+    else:
+        found = facts.join(asked, ["c", "t"], "left_semi")
+    return found.select("c", "t", "r").distinct()
 
 
 def occurrence_exists(pairs: DataFrame, statements: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from occurra.operators import stats
 from occurra.operators.taxonomy import ClosureTooDeep, descendants
 from occurra.plans.search import search
 from occurra.sources import star
+from occurra.sources.tables import read_graph, write_graph
 from occurra.sources.triples import graph_tables, graph_triples, scan
 
 SF = "/root/testdata/sf0.01"
@@ -74,6 +75,18 @@ def test_triples_round_trip(spark):
         assert rows == {tuple(r) for r in after.select(*sorted(after.columns)).collect()}, name
 
 
+def test_stored_graph_gives_the_same_search(spark, tmp_path):
+    graph = star.graph(spark, "/root/testdata/sf0.001")
+    write_graph(graph_tables(graph_triples(graph), graph.fingerprints), str(tmp_path / "graph"))
+    stored = read_graph(spark, str(tmp_path / "graph"))
+    criteria = Criteria(taxon="Q10", formula_enabled=True, elements={"C": (5, 20)})
+    first, second = (search(spark, g, criteria) for g in (graph, stored))
+    assert counters(first) == counters(second) and counters(first)[0] > 0
+    assert first.result_hash.first() == second.result_hash.first()
+    plan = stored.statements.filter("t = 'Q1001'").select("c")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(t,Q1001)" in plan and "ReadSchema: struct<c:string,t:string>" in plan
+
+
 def test_scan(table):
     triples = table([("a", "p", "1", None), ("b", "q", "2", None)], "s string, p string, o string, lang string")
     assert [tuple(r) for r in scan(triples, "q", "k", "v").collect()] == [("b", "2")]
