@@ -46,7 +46,12 @@ class HeavyKeys:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate; file sizes for a plain scan."""
+    """Catalyst's own size estimate; file sizes for a plain scan.
+
+    A session without access to the plan counts every table as large.
+    """
+    if not hasattr(df, "_jdf"):
+        return 1 << 62
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
