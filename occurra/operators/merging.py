@@ -21,12 +21,14 @@ def dedup_candidates(rows: DataFrame) -> DataFrame:
 def append_unique(queue: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates new to the queue and to each other, and ``(added, skipped)``.
 
-    Candidates shrink to one row per key first, so the anti join meets every
-    key once on either side.
+    Candidates shrink to one row per key first. The queue, which keeps growing,
+    is reduced to the keys on offer before anything else: for a batch that
+    measures small that is a scan of its ``key`` column without a shuffle.
     """
-    keys = with_row_key(queue).select("key").distinct()
+    queued = queue if "key" in queue.columns else with_row_key(queue)
     firsts = dedup_candidates(candidates)
-    added = firsts.join(keys, "key", "left_anti")
+    taken = queued.select("key").join(firsts.select("key"), "key", "left_semi").distinct()
+    added = firsts.join(taken, "key", "left_anti")
     offered = candidates.agg(F.count(F.lit(1)).alias("offered"), F.lit("all").alias("_one"))
     kept = added.agg(F.count(F.lit(1)).alias("added"), F.lit("all").alias("_one"))
     counts = kept.join(offered, "_one").select("added", (F.col("offered") - F.col("added")).alias("skipped"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from occurra.model import TAXON_CLASS, Graph
+from occurra.operators.skew import DEFAULT_POLICY, SkewPolicy, attach, heavy_keys
 
 # Predicate names.
 INCHIKEY, SMILES_CONN, SMILES_ISO = "wdt:P235", "wdt:P233", "wdt:P2017"
@@ -29,20 +30,26 @@ def scan(triples: DataFrame, predicate: str, subject: str = "s", value: str = "o
     )
 
 
-def graph_tables(triples: DataFrame, fingerprints: DataFrame | None = None) -> Graph:
+def graph_tables(
+    triples: DataFrame, fingerprints: DataFrame | None = None, policy: SkewPolicy = DEFAULT_POLICY
+) -> Graph:
     """A1: property tables plus the rebuilt occurrence statements.
 
-    Statement nodes are unique on both sides of the first two joins; reference
-    nodes can be shared by many statements, so that join comes last and has the
-    statements on the left, where a skewed partition can be split.
+    Statement nodes are unique on both sides of the first two joins. A
+    reference node can be shared by very many statements, so the last join
+    splits the heavy ones.
     """
     spark = triples.sparkSession
-    statements = (
+    derived = scan(triples, DERIVED_FROM, "statement", "ref")
+    facts = (
         scan(triples, FOUND_IN, "c", "statement")
         .join(scan(triples, FOUND_IN_VALUE, "statement", "t"), "statement")
-        .join(scan(triples, DERIVED_FROM, "statement", "ref"), "statement")
-        .join(scan(triples, STATED_IN, "ref", "r"), "ref")
-        .select("statement", "c", "t", "ref", "r")
+        .join(derived, "statement")
+    )
+    heavy = heavy_keys(derived, ["ref"], policy).of("ref")
+    stated = scan(triples, STATED_IN, "ref", "r")
+    statements = attach(facts, [(stated, "inner")], "ref", heavy, F.col("statement")).select(
+        "statement", "c", "t", "ref", "r"
     )
     ids = scan(triples, INCHIKEY, "c", "inchikey").join(scan(triples, SMILES_CONN, "c", "smiles_conn"), "c")
     return Graph(

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from occurra.model import Criteria
 from occurra.operators import stats
+from occurra.operators.skew import SkewPolicy
 from occurra.operators.taxonomy import ClosureTooDeep, descendants
 from occurra.plans.search import search
 from occurra.sources import star
@@ -75,6 +77,19 @@ def test_triples_round_trip(spark):
         assert rows == {tuple(r) for r in after.select(*sorted(after.columns)).collect()}, name
 
 
+def test_shared_reference_nodes(spark):
+    graph = star.graph(spark, "/root/testdata/sf0.001")
+    one_ref = graph.statements.withColumn("ref", F.when(F.col("ref").like("%1"), "R-hot").otherwise(F.col("ref")))
+    one_ref = one_ref.withColumn("r", F.when(F.col("ref") == "R-hot", "Q2000001").otherwise(F.col("r")))
+    triples = graph_triples(type(graph)(**{**graph.__dict__, "statements": one_ref}))
+    split = graph_tables(triples, policy=SkewPolicy(min_bytes=0, rows_per_salt=100, share=1 / 20))
+    assert "_salt" in split.statements._jdf.queryExecution().toString()
+    want = {tuple(r) for r in one_ref.select("statement", "c", "t", "ref", "r").collect()}
+    got = split.statements.collect()
+    assert {tuple(r) for r in got} == want
+    assert sum(r["ref"] == "R-hot" for r in got) > 500
+
+
 def test_stored_graph_gives_the_same_search(spark, tmp_path):
     graph = star.graph(spark, "/root/testdata/sf0.001")
     write_graph(graph_tables(graph_triples(graph), graph.fingerprints), str(tmp_path / "graph"))
