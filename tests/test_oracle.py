@@ -5,11 +5,12 @@ import pytest
 
 import __spark_entry__ as contract
 from check import canonical
+from occurra import catalog
 from occurra.sources.star import SOURCE_TABLES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
