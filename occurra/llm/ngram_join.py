@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occurra.llm.common import as_bytes, ascii_lower, mix, records, window_hashes, word_hashes
+from occurra.llm.common import as_bytes, ascii_lower, batch_words, key_filter, mix, passes_filter, records, split_by_keys, window_hashes
 from occurra.llm.components import components
 from occurra.session import counted_stage, cut_lineage
 
@@ -37,22 +37,30 @@ FREQUENT_SHARE = 1 / 200
 FREQUENT_MOST = 1 << 18
 #: Rows of one index bucket in one task; the buckets of more frequent contents are salted.
 BUCKET_ROWS = 20_000
-#: log2 of the bits of the filter that keeps texts out of the verification; false hits only cost time.
-FILTER_LOG2 = 23
-SKETCH_WORDS = 4
 HUB_ROUNDS = 3
+#: Members that are left meet directly once that makes at most so many pairs a member.
+DIRECT_PAIRS = 16
 
 _ROW, _FREQUENT, _EMPTY = 0, 1, 2
-_SKETCH = [f"p{i}" for i in range(SKETCH_WORDS)]
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; the whole sequence if it is shorter than ``width``."""
-    words = ascii_lower(as_bytes(text)).split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    hashes = word_hashes(words)
-    return np.unique(window_hashes(hashes, min(width, len(words))) + np.uint64(min(width, len(words))))
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct hashes of its word shingles; the whole sequence if it is shorter than ``width``."""
+    for first, past, hashes, _, offsets in batch_words([ascii_lower(as_bytes(t)) for t in texts]):
+        windows = window_hashes(hashes, width)
+        for i in range(past - first):
+            start, stop = offsets[i], offsets[i + 1]
+            if stop - start >= width:
+                yield _distinct(windows[start : stop - width + 1])
+            elif start == stop:
+                yield hashes[:0]
+            else:
+                yield window_hashes(hashes[start:stop], stop - start) + np.uint64(stop - start)
+
+
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    tokens = np.sort(tokens)
+    return tokens[np.append(True, tokens[1:] != tokens[:-1])]
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -61,8 +69,14 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(tokens: np.ndarray) -> np.ndarray:
-    bits = np.bincount((tokens & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Parity of the shingles per bit of a hash, two bits a shingle at least and a power of two of them.
+
+    A shingle that only one of two sets has flips one bit, so the bits in which two sketches differ are at most the
+    shingles in which the sets do. Halves of a sketch folded on each other are the sketch of half the length.
+    """
+    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 class Bands:
@@ -91,76 +105,87 @@ class Bands:
         m = self.most_apart(top, top) + 1
         return m, min(m, 2 + -(-3 * m // 100))
 
-    def cut(self, tokens: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the segments that are not empty, and where each starts in the sorted set."""
-        m = np.uint64(self.segments(band)[0])
-        segment = (((tokens >> np.uint64(32)) * m) >> np.uint64(32)).astype(np.int64)
-        starts = np.flatnonzero(np.diff(segment, prepend=-1))
-        return segment[starts], starts
-
     def needs_empty(self, tokens: np.ndarray) -> list[tuple[int, int]]:
         """Empty segments a set has to look up because the others cannot hold the sum."""
         band = self.band(len(tokens))
         m, deep = self.segments(band)
-        numbers, starts = self.cut(tokens, band)
-        counts = np.diff(starts, append=len(tokens))
+        numbers, counts = np.unique(_segments(tokens, m), return_counts=True)
         able = len(numbers) + int(((numbers < deep) & (counts >= 2)).sum())
         if able > self.most_apart(len(tokens), len(tokens)):
             return []
         return [(band, int(i)) for i in np.setdiff1d(np.arange(m), numbers)]
 
     def signatures(
-        self, tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], empty: dict[int, np.ndarray], bucket_rows: int
-    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(signature, looked up, salts) of one set in all of its bands."""
-        keys, counts_of = frequent
+        self, sets: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray], empty: dict[int, np.ndarray], bucket_rows: int
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(set number, signature, looked up, salts) of non-empty sets, a band at a time."""
+        by_band: dict[int, list[int]] = {}
+        for i, tokens in enumerate(sets):
+            # sets too small to differ from a partner have no partner but their copies
+            if self.most_apart(*[len(tokens) * 100 // self.percent] * 2):
+                for band in self.joined(len(tokens)):
+                    by_band.setdefault(band, []).append(i)
+        for band, members in by_band.items():
+            yield from self._in_band(band, np.array(members), [sets[i] for i in members], frequent, empty.get(band), bucket_rows)
+
+    def _in_band(self, band, members, sets, frequent, empty, bucket_rows):
+        m, deep = self.segments(band)
+        sizes = np.array([len(t) for t in sets])
+        tokens = np.concatenate(sets)
+        # sets are sorted and segments are ranges of the hash, so equal (set, segment) stand together
+        place = np.repeat(np.arange(len(sets)) * m, sizes) + _segments(tokens, m)
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        counts = np.diff(starts, append=len(tokens))
+        owner, number = np.divmod(place[starts], m)
+        scattered = mix(tokens + np.uint64(0x632BE59BD9B4E019))
         often = np.ones(len(tokens), dtype=np.int64)
+        keys, times = frequent
         if len(keys):
             at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
             hit = keys[at] == tokens
-            often[hit] = counts_of[at[hit]]
-        scattered = mix(tokens + np.uint64(0x632BE59BD9B4E019))
-        out = []
-        for band in self.joined(len(tokens)):
-            m, deep = self.segments(band)
-            numbers, starts = self.cut(tokens, band)
-            counts = np.diff(starts, append=len(tokens))
-            sums = np.add.reduceat(scattered, starts)
-            cost = np.minimum.reduceat(often, starts)
-            value = 1 + ((numbers < deep) & (counts >= 2)).astype(np.int64)
-            lacking = empty.get(band, np.empty(0, dtype=np.int64))
-            lacking = lacking[~np.isin(lacking, numbers)]
-            if band == self.band(len(tokens)):
-                spare = int(value.sum()) - self.most_apart(len(tokens), len(tokens)) - 1
-                look_empty = spare < 0
-                for i in np.argsort(-cost, kind="stable")[: int((cost > 1).sum())]:
-                    if spare >= value[i]:
-                        spare -= value[i]
-                        value[i] = 0
-                for i in np.flatnonzero(value == 2):
-                    if spare > 0:
-                        spare -= 1
-                        value[i] = 1
-            else:
-                value[:], look_empty = 0, False
-            salts = 1 + cost // bucket_rows
-            out.append((_tag(sums, numbers, band), (value > 0) | (salts > 1), salts))
-            chosen = np.flatnonzero((numbers < deep) & (counts >= 2))
-            if len(chosen):
-                where = np.concatenate([np.arange(starts[i], starts[i] + counts[i]) for i in chosen])
-                owner = np.repeat(chosen, counts[chosen])
-                rest = np.ones(len(where), dtype=np.int64)
-                if often.max() > bucket_rows:
-                    for j, (t, i) in enumerate(zip(where, owner, strict=True)):
-                        rest[j] = np.delete(often[starts[i] : starts[i] + counts[i]], t - starts[i]).min()
-                salts = 1 + rest // bucket_rows
-                out.append(
-                    (_tag(sums[owner] - scattered[where], numbers[owner], band), (value[owner] == 2) | (salts > 1), salts)
-                )
-            if len(lacking):
-                zero = np.zeros(len(lacking), dtype=np.uint64)
-                out.append((_tag(zero, lacking, band), np.full(len(lacking), look_empty), np.ones(len(lacking), dtype=np.int64)))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            often[hit] = times[at[hit]]
+        cost = np.minimum.reduceat(often, starts)
+        two = (number < deep) & (counts >= 2)
+        value = 1 + two.astype(np.int64)
+        own = np.array([self.band(n) == band for n in sizes])
+        budget = np.array([self.most_apart(n, n) for n in sizes])
+        spare = np.bincount(owner, value, minlength=len(sets)).astype(np.int64) - budget - 1
+        wants_empty = own & (spare < 0)
+        value[~own[owner]] = 0
+        # the most frequent contents are given up first, then the second value of segments
+        dear = np.flatnonzero((cost > 1) & (value > 0))
+        for i in dear[np.argsort(-cost[dear], kind="stable")]:
+            if spare[owner[i]] >= value[i]:
+                spare[owner[i]] -= value[i]
+                value[i] = 0
+        pairs = np.flatnonzero(value == 2)
+        rank = np.arange(len(pairs)) - np.searchsorted(owner[pairs], owner[pairs])
+        value[pairs[rank < spare[owner[pairs]]]] = 1
+        salts = 1 + cost // bucket_rows
+        sums = np.add.reduceat(scattered, starts)
+        yield members[owner], _tag(sums, number, band), (value > 0) | (salts > 1), salts
+
+        chosen = np.flatnonzero(two)
+        if len(chosen):
+            n = counts[chosen]
+            where = np.repeat(starts[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            of = np.repeat(chosen, n)
+            rest = np.ones(len(where), dtype=np.int64)
+            if often.max() > bucket_rows:
+                for j in np.flatnonzero(counts[of] > 1):
+                    others = np.delete(often[starts[of[j]] : starts[of[j]] + counts[of[j]]], where[j] - starts[of[j]])
+                    rest[j] = others.min()
+            salts = 1 + rest // bucket_rows
+            yield members[owner[of]], _tag(sums[of] - scattered[where], number[of], band), (value[of] == 2) | (salts > 1), salts
+
+        for i in range(len(sets)) if empty is not None else ():
+            lacking = np.setdiff1d(empty, number[owner == i])
+            zero, one = np.zeros(len(lacking), dtype=np.uint64), np.ones(len(lacking), dtype=np.int64)
+            yield np.full(len(lacking), members[i]), _tag(zero, lacking, band), np.full(len(lacking), wants_empty[i]), one
+
+
+def _segments(tokens: np.ndarray, m: int) -> np.ndarray:
+    return (((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
 
 
 def _tag(content: np.ndarray, number: np.ndarray, band: int) -> np.ndarray:
@@ -174,10 +199,9 @@ def _profile(width: int, percent: int):
         bands = Bands(percent)
         for batch in records(batches):
             rows, needed, sets = [], set(), []
-            for key, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                tokens = shingle_set(text, width)
+            for key, tokens in zip(batch["id"].to_pylist(), shingle_sets(batch["text"].to_pylist(), width), strict=True):
                 ida, idb = _digest(tokens)
-                rows.append((_ROW, key, len(tokens), ida, idb, *_sketch(tokens).tolist()))
+                rows.append((_ROW, key, len(tokens), ida, idb, _sketch(tokens)))
                 if len(tokens):
                     needed.update(bands.needs_empty(tokens))
                     sets.append(tokens)
@@ -188,55 +212,95 @@ def _profile(width: int, percent: int):
                 every = every[np.bincount(slot, minlength=1 << 20)[slot] >= floor]
                 found, times = np.unique(every, return_counts=True)
                 for token, n in zip(found[times >= floor].view(np.int64).tolist(), times[times >= floor].tolist(), strict=True):
-                    rows.append((_FREQUENT, None, n, token, 0, *[0] * SKETCH_WORDS))
-            rows += [(_EMPTY, None, 0, band, number, *[0] * SKETCH_WORDS) for band, number in sorted(needed)]
-            columns = list(zip(*rows, strict=True)) or [[]] * (5 + SKETCH_WORDS)
+                    rows.append((_FREQUENT, None, n, token, 0, None))
+            rows += [(_EMPTY, None, 0, band, number, None) for band, number in sorted(needed)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], names=["kind", "id", "n", "ida", "idb", *_SKETCH]
+                [*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.list_(pa.int64()))],
+                names=["kind", "id", "n", "ida", "idb", "sketch"],
             )
 
     return run
 
 
 def _index(width: int, percent: int, frequent, empty, bucket_rows: int):
-    """Rows (sig, salt, id, look) of the index; ``id`` is the first half of the set's digest."""
+    """Rows (sig, entry) of the index: a signature, mixed with a salt where its bucket is salted, and the packed
+    salt, set and whether the set looks it up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in records(batches, 500):
-            parts = []
-            for text in batch["text"].to_pylist():
-                tokens = shingle_set(text, width)
-                # sets too small to differ from a partner have no partner but their copies
-                if len(tokens) == 0 or not any(
-                    bands.most_apart(b, b) for b in (len(tokens), len(tokens) * 100 // percent)
-                ):
-                    continue
-                sig, look, salts = bands.signatures(tokens, frequent, empty, bucket_rows)
-                ida = _digest(tokens)[0]
-                parts.append((sig, np.where(salts > 1, ida % salts, 0) + (salts << 32) * (salts > 1), np.full(len(sig), ida), look))
-            if parts:
-                sig, salt, ida, look = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig.view(np.int64)), pa.array(salt), pa.array(ida), pa.array(look)],
-                    names=["sig", "salt", "id", "look"],
-                )
+            sets = [t for t in shingle_sets(batch["text"].to_pylist(), width) if len(t)]
+            if not sets:
+                continue
+            ids = np.array([_short(_digest(t)[0]) for t in sets], dtype=np.int64)
+            for of, sig, look, salts in bands.signatures(sets, frequent, empty, bucket_rows):
+                salts = np.minimum(salts, _SALTS)
+                salt = np.where(salts > 1, 1 + ids[of] % salts, 0)
+                entry = (salt << (_SET_BITS + 1)) | (ids[of] << 1) | look
+                yield pa.RecordBatch.from_arrays([pa.array(_salted(sig, salt).view(np.int64)), pa.array(entry)], names=["sig", "entry"])
 
     return run
 
 
-def _sets(width: int, bits: np.ndarray, log2: int):
-    """Whole sets of the texts that the filter lets through."""
+#: Bits of a set's number in the index. Sets that share a number are told apart when they are verified.
+_SET_BITS = 48
+_SALTS = 1 << 13
+
+
+def _short(half_digest):
+    """Of numbers, arrays or columns."""
+    low = (1 << _SET_BITS) - 1
+    return half_digest.bitwiseAND(low) if isinstance(half_digest, Column) else half_digest & low
+
+
+def _salted(sig: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Its own inverse; no change without a salt."""
+    return np.where(salt > 0, sig ^ mix(salt.astype(np.uint64)), sig)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows, sorted so that a bucket's hub comes first, to rows (sig, salt, first, id, look) of the others.
+
+    Works on the stream: between batches only the last bucket's hub is kept, whatever the size of a bucket.
+    """
+    last_sig, last_hub = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig = batch["sig"].to_numpy().view(np.uint64)
+        entry = batch["entry"].to_numpy()
+        starts = np.append(True, sig[1:] != sig[:-1])
+        starts[0] = last_sig is None or sig[0] != last_sig
+        at = np.maximum.accumulate(np.where(starts, np.arange(len(sig)), -1))
+        hub = np.where(at >= 0, entry[np.maximum(at, 0)], last_hub)
+        last_sig, last_hub = sig[-1], hub[-1]
+        ids, first = _short(entry >> 1), _short(hub >> 1)
+        # hubs of salted buckets are rows too: they have others to meet
+        keep = ((ids != first) | (entry >> (_SET_BITS + 1) > 0)) & (hub & 1 == 1)
+        if keep.any():
+            salt = entry[keep] >> (_SET_BITS + 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(_salted(sig[keep], salt).view(np.int64)),
+                    pa.array(salt),
+                    pa.array(first[keep]),
+                    pa.array(ids[keep]),
+                    pa.array(entry[keep] & 1 == 1),
+                ],
+                names=["sig", "salt", "first", "id", "look"],
+            )
+
+
+def _sets(width: int, bits: np.ndarray):
+    """Whole sets of the texts whose id is in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in records(batches, 500):
+        for batch in records(batches, 2000):
             keys = batch["id"].fill_null(0).to_numpy(zero_copy_only=False)
-            slot = _slot(keys, log2)
-            passed = (bits[slot >> 3] >> (slot & 7)) & 1 == 1
-            rows = []
-            for i in np.flatnonzero(passed & batch["id"].is_valid().to_numpy(zero_copy_only=False)):
-                tokens = shingle_set(batch["text"][i].as_py(), width)
-                rows.append((int(keys[i]), *_digest(tokens), tokens.view(np.int64)))
+            passed = passes_filter(bits, keys) & batch["id"].is_valid().to_numpy(zero_copy_only=False)
+            texts = batch["text"].filter(pa.array(passed)).to_pylist()
+            rows = [(int(k), *_digest(t), t.view(np.int64)) for k, t in zip(keys[passed], shingle_sets(texts, width), strict=True)]
             key, ida, idb, sets = list(zip(*rows, strict=True)) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int64()), pa.array(ida, pa.int64()), pa.array(idb, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
@@ -246,59 +310,30 @@ def _sets(width: int, bits: np.ndarray, log2: int):
     return run
 
 
-def _slot(keys: np.ndarray, log2: int) -> np.ndarray:
-    return (mix(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - log2)).astype(np.int64)
-
-
-def _filter_bits(keys: DataFrame, log2: int) -> np.ndarray:
-    """A fixed number of bits, one set per key: a bitmap of 2**log2 bits whatever the table's size."""
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.unique(_slot(batch["id"].to_numpy(zero_copy_only=False), log2))
-            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["slot"])
-
-    parts = (
-        keys.mapInArrow(slots, "slot long")
-        .groupBy((F.col("slot") / 32768).cast("long").alias("part"))
-        .agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
-        .collect()
-    )
-    bits = np.zeros(1 << (log2 - 3), dtype=np.uint8)
-    for part in parts:
-        bits[part["part"] * 4096 : (part["part"] + 1) * 4096] = np.frombuffer(bytes(part["bits"]), dtype=np.uint8)
-    return bits
-
-
 def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of set ids -> links (a, b) between ids and (ra, rb) between their documents."""
+    """Pairs (a, b) of set numbers -> links (ra, rb) between the documents that stand for the sets."""
 
     def side(x: str) -> DataFrame:
         return classes.select(
-            F.col("ida").alias(x), F.col("idb").alias(f"{x}2"), F.col("n").alias(f"n{x}"), F.col("rep").alias(f"r{x}"),
-            *[F.col(p).alias(f"{p}{x}") for p in _SKETCH],
+            _short(F.col("ida")).alias(x), F.col("ida").alias(f"{x}1"), F.col("idb").alias(f"{x}2"),
+            F.col("n").alias(f"n{x}"), F.col("rep").alias(f"r{x}"), F.col("sketch").alias(f"s{x}"),
         )
 
-    apart = sum((F.bit_count(F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b"))) for p in _SKETCH), F.lit(0))
-    most = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     kept = cut_lineage(
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
-        .filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart <= most))
-        .select("a", "a2", "na", "ra", "b", "b2", "nb", "rb"),
+        .filter(_may_link(percent, F.col("na"), F.col("sa"), F.col("nb"), F.col("sb")))
+        .select("a1", "a2", "na", "ra", "b1", "b2", "nb", "rb"),
         "candidates",
     )
-    needed = kept.select(F.explode(F.array("ra", "rb")).alias("id")).filter("id IS NOT NULL")
-    bits = _filter_bits(needed, FILTER_LOG2)
-    sets = cut_lineage(
-        texts.mapInArrow(_sets(width, bits, FILTER_LOG2), "id long, ida long, idb long, tokens array<long>"), "sets"
-    )
-    of_b = sets.select(F.col("id").alias("rb"), F.col("ida").alias("b"), F.col("idb").alias("b2"), F.col("tokens").alias("tb"))
-    of_a = sets.select(F.col("id").alias("ra"), F.col("ida").alias("a"), F.col("idb").alias("a2"), F.col("tokens").alias("ta"))
-    both = kept.join(of_b, ["rb", "b", "b2"]).join(of_a, ["ra", "a", "a2"])
+    bits = key_filter(kept.select(F.explode(F.array("ra", "rb")).alias("id")))
+    sets = cut_lineage(texts.mapInArrow(_sets(width, bits), "id long, ida long, idb long, tokens array<long>"), "sets")
+    of_b = sets.select(F.col("id").alias("rb"), F.col("ida").alias("b1"), F.col("idb").alias("b2"), F.col("tokens").alias("tb"))
+    of_a = sets.select(F.col("id").alias("ra"), F.col("ida").alias("a1"), F.col("idb").alias("a2"), F.col("tokens").alias("ta"))
+    both = kept.join(of_b, ["rb", "b1", "b2"]).join(of_a, ["ra", "a1", "a2"])
     shared = F.size(F.array_intersect("ta", "tb"))
     return cut_lineage(
-        both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b", "ra", "rb").distinct(),
+        both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("ra", "rb").distinct(),
         "links",
     )
 
@@ -323,7 +358,7 @@ def ngram_jaccard_join(
     stored = cut_lineage(
         texts.mapInArrow(
             _profile(width, percent),
-            "kind long, id long, n long, ida long, idb long, " + ", ".join(f"{p} long" for p in _SKETCH),
+            "kind long, id long, n long, ida long, idb long, sketch array<long>",
         ),
         "profile",
     )
@@ -331,7 +366,7 @@ def ngram_jaccard_join(
     classes = cut_lineage(
         rows.filter("n > 0")
         .groupBy("ida", "idb")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in _SKETCH]),
+        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "classes",
     )
     listed = (
@@ -351,27 +386,19 @@ def ngram_jaccard_join(
         empty.setdefault(r["ida"], []).append(r["idb"])
     empty = {band: np.array(sorted(numbers), dtype=np.int64) for band, numbers in empty.items()}
 
-    index = texts.mapInArrow(
-        _index(width, percent, frequent, empty, bucket_rows), "sig long, salt long, id long, look boolean"
-    )
-    bucket = Window.partitionBy("sig", "salt")
-    # two families of hubs: the smallest of the looked-up ids under either of two orders
-    family = F.xxhash64("id", F.pmod("sig", F.lit(2)))
-    placed = (
-        index.withColumn("first", F.min(F.when(F.col("look"), F.struct(family.alias("rank"), "id"))).over(bucket)["id"])
-        .withColumn("lone", (F.min("id").over(bucket) == F.max("id").over(bucket)) & (F.col("salt") == 0))
-        .filter("first IS NOT NULL AND NOT lone")
-        .select("sig", "salt", "id", "look", "first")
+    index = texts.mapInArrow(_index(width, percent, frequent, empty, bucket_rows), "sig long, entry long")
+    # the hub of a bucket: a set that looks it up, the first under one of two orders
+    family = F.xxhash64(_short(F.shiftright("entry", 1)), F.pmod("sig", F.lit(2)))
+    members = cut_lineage(
+        index.repartition("sig")
+        .sortWithinPartitions("sig", F.col("entry").bitwiseAND(1).desc(), family, "entry")
+        .mapInArrow(_buckets, "sig long, salt long, first long, id long, look boolean"),
+        "buckets",
     )
-    members = cut_lineage(placed, "buckets")
     # salted buckets of one content meet at the hub of their hubs
-    tops = (
-        members.filter("salt <> 0")
-        .groupBy("sig")
-        .agg(F.min(F.struct(family.alias("rank"), F.col("first").alias("id")))["id"].alias("top"))
-    )
-    salted = members.filter("salt <> 0").join(tops, "sig")
-    members = members.filter("salt = 0").withColumn("top", F.col("first")).unionByName(salted)
+    of_salt = members.filter("salt > 0")
+    tops = of_salt.groupBy("sig").agg(F.min("first").alias("top"))
+    salted = of_salt.join(tops, "sig")
 
     def pair(x: str, y: str, df: DataFrame) -> DataFrame:
         return df.filter(F.col(x) != F.col(y)).select(F.col(x).alias("a"), F.col(y).alias("b"))
@@ -381,13 +408,19 @@ def ngram_jaccard_join(
     for step in range(1, HUB_ROUNDS + 2):
         reached = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         by_id = classes.join(reached, F.col("rep") == F.col("node"), "left").select(
-            F.col("ida").alias("id"), F.coalesce("label", "rep").alias("comp"), "n", *_SKETCH
+            _short(F.col("ida")).alias("id"), F.coalesce("label", "rep").alias("comp"), "n", "sketch"
         )
         unsettled, left = counted_stage(_unsettled(members, by_id), "unsettled")
         if not left:
             break
-        asked = _hub_pairs(unsettled, step, percent) if step <= HUB_ROUNDS else _direct_pairs(unsettled, percent)
+        of_comp = unsettled.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        of_sig = of_comp.groupBy("sig").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs"))
+        pairs = of_sig.agg(F.sum("pairs")).first()[0] / 2
+        last = step > HUB_ROUNDS or pairs <= DIRECT_PAIRS * left
+        asked = _direct_pairs(unsettled, percent) if last else _hub_pairs(unsettled, step, percent)
         links = links.unionAll(_verified(texts, classes, asked, width, percent))
+        if last:
+            break
     reached = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     labelled = classes.join(reached, F.col("rep") == F.col("node"), "left").select(
         "ida", "idb", F.coalesce("label", "rep").alias("component_id")
@@ -400,7 +433,8 @@ def ngram_jaccard_join(
 
 def _unsettled(members: DataFrame, by_id: DataFrame) -> DataFrame:
     """Rows of the buckets whose members are not all in one component."""
-    seen = members.select("sig", "id", "look").distinct().join(by_id, "id")
+    hubs = members.select("sig", F.col("first").alias("id"), F.lit(True).alias("look"))
+    seen = members.select("sig", "id", "look").unionAll(hubs).distinct().join(by_id, "id")
     mixed = (
         seen.groupBy("sig")
         .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("look").alias("asked"), F.count(F.lit(1)).alias("size"))
@@ -410,21 +444,27 @@ def _unsettled(members: DataFrame, by_id: DataFrame) -> DataFrame:
     return seen.join(mixed, "sig", "left_semi")
 
 
-def _apart(percent: int, x: str, y: str):
-    size_x, size_y = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in _SKETCH), F.lit(0))
-    return (100 * F.least(size_x, size_y) >= percent * F.greatest(size_x, size_y)) & (
-        apart <= F.floor((100 - percent) * (size_x + size_y) / (100 + percent))
-    )
+def _may_link(percent: int, size_x: Column, sketch_x: Column, size_y: Column, sketch_y: Column) -> Column:
+    """False only where sizes or sketches rule a link out. Partners' sketches are at most one halving apart."""
+
+    def halved(s: Column) -> Column:
+        half = (F.size(s) / 2).cast("int")
+        return F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+    x = F.when(F.size(sketch_x) > F.size(sketch_y), halved(sketch_x)).otherwise(sketch_x)
+    y = F.when(F.size(sketch_y) > F.size(sketch_x), halved(sketch_y)).otherwise(sketch_y)
+    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, d: n + d)
+    most = F.floor((100 - percent) * (size_x + size_y) / (100 + percent))
+    return (100 * F.least(size_x, size_y) >= percent * F.greatest(size_x, size_y)) & (apart <= most)
 
 
 def _hub_pairs(open_: DataFrame, step: int, percent: int) -> DataFrame:
     """One new hub per component of a bucket (bounded by a hash order) against the members of others."""
     rank = F.xxhash64("id", F.lit(step))
-    hubs = open_.groupBy("sig").agg(F.min_by(F.struct("id", "comp", "n", *_SKETCH), rank).alias("h"))
-    met = open_.select("sig", F.struct("id", "comp", "n", *_SKETCH).alias("m")).join(hubs, "sig")
+    hubs = open_.groupBy("sig").agg(F.min_by(F.struct("id", "comp", "n", "sketch"), rank).alias("h"))
+    met = open_.select("sig", F.struct("id", "comp", "n", "sketch").alias("m")).join(hubs, "sig")
     return (
-        met.filter((F.col("h.comp") != F.col("m.comp")) & _apart(percent, "h", "m"))
+        met.filter((F.col("h.comp") != F.col("m.comp")) & _may_link(percent, F.col("h.n"), F.col("h.sketch"), F.col("m.n"), F.col("m.sketch")))
         .select(F.col("h.id").alias("a"), F.col("m.id").alias("b"))
         .distinct()
     )
@@ -433,14 +473,27 @@ def _hub_pairs(open_: DataFrame, step: int, percent: int) -> DataFrame:
 def _direct_pairs(open_: DataFrame, percent: int) -> DataFrame:
     """What the hubs left: members of different components, one of them looked up. Size and sketch are
     part of the join condition, so a pair that cannot link is never written."""
-    one = open_.select("sig", "look", F.struct("id", "comp", "n", *_SKETCH).alias("x"))
-    two = open_.select("sig", F.col("look").alias("look2"), F.struct("id", "comp", "n", *_SKETCH).alias("y"))
+    one = open_.select("sig", "look", F.struct("id", "comp", "n", "sketch").alias("x"))
+    two = open_.select("sig", F.col("look").alias("look2"), F.struct("id", "comp", "n", "sketch").alias("y"))
     met = one.alias("o").join(
         two.alias("t"),
         (F.col("o.sig") == F.col("t.sig"))
         & (F.col("x.id") < F.col("y.id"))
         & (F.col("x.comp") != F.col("y.comp"))
         & (F.col("look") | F.col("look2"))
-        & _apart(percent, "x", "y"),
+        & _may_link(percent, F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch")),
     )
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row per group of linked texts: that of the smallest id, unchanged.
+
+    Of rows that share an id one stays. Rows without an id and texts without a word belong to no group and stay.
+    """
+    groups = cut_lineage(ngram_jaccard_join(docs, width=width, percent=percent), "groups")
+    named = groups.filter("doc_id IS NOT NULL")
+    gone = named.filter("component_id < doc_id").select("doc_id").distinct()
+    again = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    some, others = split_by_keys(docs, F.col("doc_id").cast("long"), gone.unionAll(again).withColumnRenamed("doc_id", "id"))
+    return some.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"]).unionAll(others)

@@ -94,9 +94,34 @@ def test_every_pair_within_the_bound_shares_a_looked_up_signature():
                 for band, number in bands.needs_empty(s):
                     empty.setdefault(band, []).append(number)
             empty = {k: np.array(sorted(set(v))) for k, v in empty.items()}
-            (sx, lx, _), (sy, ly, _) = (bands.signatures(s, none, empty, 1000) for s in (x, y))
-            both = set(sx.tolist()) & set(sy.tolist())
-            assert both & (set(sx[lx].tolist()) | set(sy[ly].tolist())), (size, drop, new)
+            have, ask = [set(), set()], set()
+            for of, sig, look, _ in bands.signatures([x, y], none, empty, 1000):
+                for i, one, asked in zip(of.tolist(), sig.tolist(), look.tolist(), strict=True):
+                    have[i].add(one)
+                    if asked:
+                        ask.add(one)
+            assert have[0] & have[1] & ask, (size, drop, new)
+
+
+def test_words_are_cut_like_split(monkeypatch):
+    import numpy as np
+
+    from occurra.llm import common
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab é\n\t\x0b\x0c\r", k=rng.randrange(60))).encode() for _ in range(200)] + [b"", b" ", b"x" * 500 + b" y"]
+    whole = [h for _, _, h, _, _ in common.batch_words(texts)]
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(common, "_SLICE", piece)
+        seen = {}
+        for first, past, hashes, sizes, offsets in common.batch_words(texts):
+            for i in range(first, past):
+                own = slice(offsets[i - first], offsets[i - first + 1])
+                words = texts[i].split()
+                assert sizes[own].tolist() == [len(w) for w in words]
+                for w, h in zip(words, hashes[own].tolist(), strict=True):
+                    assert seen.setdefault(w, h) == h
+        assert len(set(seen.values())) == len(seen) and set(np.concatenate(whole).tolist()) == set(seen.values())
 
 
 def test_odd_rows(odd_documents):
