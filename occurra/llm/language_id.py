@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from occurra.llm.common import records
+from occurra.session import cut_lineage
 
 ORDERS = (2, 3)
 BUCKETS = 1 << 15
-#: Cells of the matrix; with very many languages the buckets shrink to keep to it.
+#: Cells of the matrix; with very many languages the buckets (a power of two) shrink to keep to it.
 MOST_CELLS = 1 << 21
 #: Expected number of labelled texts to learn from; chosen by a hash of the text.
 TRAIN_ROWS = 20_000
@@ -55,7 +56,7 @@ def ngrams(text: str, buckets: int) -> Iterator[np.ndarray]:
                 for i in range(order):
                     total = total * np.uint64(0x100000001B3) + points[i : i + n]
                 total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                yield ((total >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                yield ((total >> np.uint64(40)) & np.uint64(buckets - 1)).astype(np.int64)
         tail = points[-(max(ORDERS) - 1) :].astype(np.uint32)
 
 
@@ -134,8 +135,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows:
                 )
 
     counts = sample.mapInArrow(count, "lang string, bucket long, n long")
-    counted = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    texts = {r["lang"]: r["n"] for r in counts.filter("bucket = -1").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    counted = cut_lineage(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "ngrams")
+    texts = {r["lang"]: r["n"] for r in counted.filter("bucket = -1").collect()}
     languages = tuple(sorted(texts))
     if not languages:
         return Model((), np.zeros((1, 0), dtype=np.float32), np.zeros(0))
