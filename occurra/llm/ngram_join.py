@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from occurra.llm.common import as_bytes, ascii_lower, batch_words, key_filter, mix, passes_filter, records, split_by_keys, window_hashes
-from occurra.llm.components import components
+from occurra.llm.components import components, fitted
 from occurra.session import counted_stage, cut_lineage
 
 BAND_RATIO = 1.5
@@ -38,8 +38,8 @@ FREQUENT_MOST = 1 << 18
 #: Rows of one index bucket in one task; the buckets of more frequent contents are salted.
 BUCKET_ROWS = 20_000
 HUB_ROUNDS = 3
-#: Members that are left meet directly once that makes at most so many pairs a member.
-DIRECT_PAIRS = 16
+#: Members that are left meet directly once that makes at most so many pairs a member of a bucket.
+DIRECT_PAIRS = 4
 
 _ROW, _FREQUENT, _EMPTY = 0, 1, 2
 
@@ -152,9 +152,10 @@ class Bands:
         spare = np.bincount(owner, value, minlength=len(sets)).astype(np.int64) - budget - 1
         wants_empty = own & (spare < 0)
         value[~own[owner]] = 0
-        # the most frequent contents are given up first, then the second value of segments
-        dear = np.flatnonzero((cost > 1) & (value > 0))
-        for i in dear[np.argsort(-cost[dear], kind="stable")]:
+        # the most frequent contents are given up first, then the shortest, then the second value of segments:
+        # how many sets agree on a segment falls with every shingle it holds
+        dear = np.flatnonzero((value > 0) & (spare[owner] > 0))
+        for i in dear[np.lexsort((counts[dear], -cost[dear]))].tolist():
             if spare[owner[i]] >= value[i]:
                 spare[owner[i]] -= value[i]
                 value[i] = 0
@@ -310,8 +311,13 @@ def _sets(width: int, bits: np.ndarray):
     return run
 
 
-def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of set numbers -> links (ra, rb) between the documents that stand for the sets."""
+def _verified(
+    texts: DataFrame, classes: DataFrame, pairs: DataFrame, rows: int, width: int, percent: int
+) -> tuple[DataFrame, int]:
+    """Pairs (a, b) of set numbers -> links (a, b) between the documents that stand for the sets, and their number.
+
+    ``rows`` is about the number of pairs.
+    """
 
     def side(x: str) -> DataFrame:
         return classes.select(
@@ -319,23 +325,27 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, width: int
             F.col("n").alias(f"n{x}"), F.col("rep").alias(f"r{x}"), F.col("sketch").alias(f"s{x}"),
         )
 
-    kept = cut_lineage(
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(_may_link(percent, F.col("na"), F.col("sa"), F.col("nb"), F.col("sb")))
-        .select("a1", "a2", "na", "ra", "b1", "b2", "nb", "rb"),
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    kept, n_kept = counted_stage(
+        fitted(
+            met.filter(_may_link(percent, F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).select(
+                "a1", "a2", "na", "ra", "b1", "b2", "nb", "rb"
+            ),
+            rows,
+        ),
         "candidates",
     )
+    if not n_kept:
+        return kept.select(F.col("ra").alias("a"), F.col("rb").alias("b")), 0
     bits = key_filter(kept.select(F.explode(F.array("ra", "rb")).alias("id")))
     sets = cut_lineage(texts.mapInArrow(_sets(width, bits), "id long, ida long, idb long, tokens array<long>"), "sets")
     of_b = sets.select(F.col("id").alias("rb"), F.col("ida").alias("b1"), F.col("idb").alias("b2"), F.col("tokens").alias("tb"))
     of_a = sets.select(F.col("id").alias("ra"), F.col("ida").alias("a1"), F.col("idb").alias("a2"), F.col("tokens").alias("ta"))
     both = kept.join(of_b, ["rb", "b1", "b2"]).join(of_a, ["ra", "a1", "a2"])
     shared = F.size(F.array_intersect("ta", "tb"))
-    return cut_lineage(
-        both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("ra", "rb").distinct(),
-        "links",
-    )
+    similar = both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared))
+    links = similar.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    return counted_stage(fitted(links, 10 * n_kept), "links")
 
 
 def ngram_jaccard_join(
@@ -389,7 +399,7 @@ def ngram_jaccard_join(
     index = texts.mapInArrow(_index(width, percent, frequent, empty, bucket_rows), "sig long, entry long")
     # the hub of a bucket: a set that looks it up, the first under one of two orders
     family = F.xxhash64(_short(F.shiftright("entry", 1)), F.pmod("sig", F.lit(2)))
-    members = cut_lineage(
+    members, n_members = counted_stage(
         index.repartition("sig")
         .sortWithinPartitions("sig", F.col("entry").bitwiseAND(1).desc(), family, "entry")
         .mapInArrow(_buckets, "sig long, salt long, first long, id long, look boolean"),
@@ -404,24 +414,26 @@ def ngram_jaccard_join(
         return df.filter(F.col(x) != F.col(y)).select(F.col(x).alias("a"), F.col(y).alias("b"))
 
     asked = pair("first", "id", members).unionAll(pair("top", "first", salted)).distinct()
-    links = _verified(texts, classes, asked, width, percent)
+    links, n_links = _verified(texts, classes, asked, n_members, width, percent)
+    reached = components(links, n_links)
     for step in range(1, HUB_ROUNDS + 2):
-        reached = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         by_id = classes.join(reached, F.col("rep") == F.col("node"), "left").select(
-            _short(F.col("ida")).alias("id"), F.coalesce("label", "rep").alias("comp"), "n", "sketch"
+            _short(F.col("ida")).alias("id"), F.coalesce("label", "rep").alias("comp")
         )
-        unsettled, left = counted_stage(_unsettled(members, by_id), "unsettled")
+        unsettled, left = counted_stage(fitted(_unsettled(members, by_id), n_members), "unsettled")
         if not left:
             break
         of_comp = unsettled.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
         of_sig = of_comp.groupBy("sig").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs"))
         pairs = of_sig.agg(F.sum("pairs")).first()[0] / 2
-        last = step > HUB_ROUNDS or pairs <= DIRECT_PAIRS * left
-        asked = _direct_pairs(unsettled, percent) if last else _hub_pairs(unsettled, step, percent)
-        links = links.unionAll(_verified(texts, classes, asked, width, percent))
+        last = step > HUB_ROUNDS or pairs <= DIRECT_PAIRS * n_members
+        asked = _direct_pairs(unsettled) if last else _hub_pairs(unsettled, step)
+        found, n_found = _verified(texts, classes, asked, left, width, percent)
+        if n_found:
+            links, n_links = links.unionAll(found), n_links + n_found
+            reached = components(links, n_links)
         if last:
             break
-    reached = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     labelled = classes.join(reached, F.col("rep") == F.col("node"), "left").select(
         "ida", "idb", F.coalesce("label", "rep").alias("component_id")
     )
@@ -432,13 +444,13 @@ def ngram_jaccard_join(
 
 
 def _unsettled(members: DataFrame, by_id: DataFrame) -> DataFrame:
-    """Rows of the buckets whose members are not all in one component."""
+    """``sig, id, look, comp`` of the buckets whose members are not all in one component."""
     hubs = members.select("sig", F.col("first").alias("id"), F.lit(True).alias("look"))
     seen = members.select("sig", "id", "look").unionAll(hubs).distinct().join(by_id, "id")
     mixed = (
         seen.groupBy("sig")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("look").alias("asked"), F.count(F.lit(1)).alias("size"))
-        .filter("lo < hi AND asked AND size > 2")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
+        .filter("lo < hi AND size > 2")
         .select("sig")
     )
     return seen.join(mixed, "sig", "left_semi")
@@ -458,32 +470,20 @@ def _may_link(percent: int, size_x: Column, sketch_x: Column, size_y: Column, sk
     return (100 * F.least(size_x, size_y) >= percent * F.greatest(size_x, size_y)) & (apart <= most)
 
 
-def _hub_pairs(open_: DataFrame, step: int, percent: int) -> DataFrame:
-    """One new hub per component of a bucket (bounded by a hash order) against the members of others."""
+def _hub_pairs(unsettled: DataFrame, step: int) -> DataFrame:
+    """A new hub per bucket against the members of other components."""
     rank = F.xxhash64("id", F.lit(step))
-    hubs = open_.groupBy("sig").agg(F.min_by(F.struct("id", "comp", "n", "sketch"), rank).alias("h"))
-    met = open_.select("sig", F.struct("id", "comp", "n", "sketch").alias("m")).join(hubs, "sig")
-    return (
-        met.filter((F.col("h.comp") != F.col("m.comp")) & _may_link(percent, F.col("h.n"), F.col("h.sketch"), F.col("m.n"), F.col("m.sketch")))
-        .select(F.col("h.id").alias("a"), F.col("m.id").alias("b"))
-        .distinct()
-    )
+    hubs = unsettled.filter("look").groupBy("sig").agg(F.min(F.struct(rank.alias("rank"), "id", "comp")).alias("h"))
+    met = unsettled.join(hubs, "sig").filter(F.col("h.comp") != F.col("comp"))
+    return met.select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _direct_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """What the hubs left: members of different components, one of them looked up. Size and sketch are
-    part of the join condition, so a pair that cannot link is never written."""
-    one = open_.select("sig", "look", F.struct("id", "comp", "n", "sketch").alias("x"))
-    two = open_.select("sig", F.col("look").alias("look2"), F.struct("id", "comp", "n", "sketch").alias("y"))
-    met = one.alias("o").join(
-        two.alias("t"),
-        (F.col("o.sig") == F.col("t.sig"))
-        & (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & (F.col("look") | F.col("look2"))
-        & _may_link(percent, F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch")),
-    )
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def _direct_pairs(unsettled: DataFrame) -> DataFrame:
+    """What the hubs left: members of different components of which one looks the bucket up."""
+    one = unsettled.select("sig", F.col("id").alias("a"), F.col("comp").alias("of_a"), F.col("look").alias("asks"))
+    two = unsettled.select("sig", F.col("id").alias("b"), F.col("comp").alias("of_b"), F.col("look").alias("asked"))
+    met = one.join(two, "sig").filter("a < b AND of_a <> of_b AND (asks OR asked)")
+    return met.select("a", "b").distinct()
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
