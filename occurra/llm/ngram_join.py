@@ -109,11 +109,12 @@ class Bands:
         """Empty segments a set has to look up because the others cannot hold the sum."""
         band = self.band(len(tokens))
         m, deep = self.segments(band)
-        numbers, counts = np.unique(_segments(tokens, m), return_counts=True)
-        able = len(numbers) + int(((numbers < deep) & (counts >= 2)).sum())
-        if able > self.most_apart(len(tokens), len(tokens)):
+        segment = _segments(tokens, m)
+        early = segment[: np.searchsorted(segment, deep)]
+        pairs = int((np.bincount(early, minlength=1) >= 2).sum())
+        if 1 + np.count_nonzero(segment[1:] != segment[:-1]) + pairs > self.most_apart(len(tokens), len(tokens)):
             return []
-        return [(band, int(i)) for i in np.setdiff1d(np.arange(m), numbers)]
+        return [(band, int(i)) for i in np.setdiff1d(np.arange(m), segment)]
 
     def signatures(
         self, sets: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray], empty: dict[int, np.ndarray], bucket_rows: int
@@ -154,11 +155,13 @@ class Bands:
         value[~own[owner]] = 0
         # the most frequent contents are given up first, then the shortest, then the second value of segments:
         # how many sets agree on a segment falls with every shingle it holds
-        dear = np.flatnonzero((value > 0) & (spare[owner] > 0))
-        for i in dear[np.lexsort((counts[dear], -cost[dear]))].tolist():
-            if spare[owner[i]] >= value[i]:
-                spare[owner[i]] -= value[i]
-                value[i] = 0
+        order = np.lexsort((counts, -cost, owner))
+        sums = np.cumsum(value[order])
+        begins = np.searchsorted(owner, np.arange(len(sets)))
+        upto = sums - (sums[begins] - value[order][begins])[owner]
+        gone = order[upto <= spare[owner]]
+        np.subtract.at(spare, owner[gone], value[gone])
+        value[gone] = 0
         pairs = np.flatnonzero(value == 2)
         rank = np.arange(len(pairs)) - np.searchsorted(owner[pairs], owner[pairs])
         value[pairs[rank < spare[owner[pairs]]]] = 1
