@@ -99,9 +99,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     an id, and NULL and empty texts, have no passages.
     """
     every = chunks(docs, id_col, text_col)
-    shared = every.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("other")).filter("owner < other")
+    owners = every.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("other")).filter("owner < other")
+    # stored, so that a digest with very many chunks can be split in the join
+    shared = cut_lineage(owners.select("digest", "owner"), "shared")
     copies = (
-        every.join(shared.select("digest", "owner"), "digest")
+        every.join(shared, "digest")
         .filter("doc <> owner")
         .select(
             "doc",
