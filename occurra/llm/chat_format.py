@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from occurra.session import cut_lineage
+
 #: Roles that instruct and never answer: rendered alike for everyone, without a perspective of their own.
 INSTRUCTING = ("system",)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -43,7 +45,8 @@ def chat_format(turns: DataFrame, instructing: tuple[str, ...] = INSTRUCTING) ->
         "conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    views = perspectives(rows, instructing).withColumnRenamed("conv_id", "c")
+    # stored, so that a conversation with very many turns can be split in the join
+    views = cut_lineage(perspectives(rows, instructing), "views").withColumnRenamed("conv_id", "c")
     both = rows.join(views, F.col("conv_id").eqNullSafe(F.col("c")))
     own = F.col("role").eqNullSafe(F.col("perspective"))
     instructs = F.coalesce(F.col("role").isin(list(instructing)), F.lit(False))
