@@ -163,7 +163,8 @@ def secrets_by_path(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
     """
     base = [r.name for r in BASE_RULES]
     none = F.array().cast("array<struct<first: long, place: int, kind: string, past: long>>")
-    found = findings(ledger, rules).select("blob", _ordered(F.col("found"), rules).alias("found"))
+    # stored, so that a content at very many paths can be split in the join
+    found = cut_lineage(findings(ledger, rules).select("blob", _ordered(F.col("found"), rules).alias("found")), "findings")
     rows = paths(docs).join(found, "blob", "left").select("doc_id", F.coalesce("found", none).alias("found"))
     return rows.select(
         "doc_id",
