@@ -2,8 +2,9 @@
 
 A gear hash rolls over the bytes of a text; where its last bits are zero a chunk ends. The hash depends on
 the last few bytes only, so an insertion moves the boundaries next to it and no others, and equal
-passages are cut alike wherever they stand. Chunks are told apart by a 64-bit digest; a digest found in more than
-one document belongs to the smallest id, and runs of such chunks in other documents are repeats.
+passages are cut alike wherever they stand. Short chunks recur by chance in a large corpus, so what is digested
+(64 bits) is every run of ``WINDOW`` chunks. A digest found in more than one document belongs to the smallest id;
+where it stands in others is a repeat, and repeats that touch make one passage.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from occurra.llm.common import as_bytes, mix, records
+from occurra.llm.common import as_bytes, mix, records, window_hashes
 from occurra.session import cut_lineage
 
 #: A boundary depends on this many bytes; a power of two.
 REACH = 16
 #: One boundary in 2**CUT_BITS places.
-CUT_BITS = 5
-LEAST, MOST = 16, 256
-#: A run of repeated whole chunks is reported from so many words on. What is left of a passage of 50 words
-#: after the chunks its ends cut through is longer.
+CUT_BITS = 4
+LEAST, MOST = 8, 128
+#: Chunks under one digest.
+WINDOW = 4
+#: A repeat is reported from so many words on. What is left of a passage of 50 words after the chunks that its ends
+#: cut through is longer.
 RUN_WORDS = 25
 
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -58,12 +61,16 @@ def boundaries(data: bytes) -> np.ndarray:
     return np.array(ends, dtype=np.int64)
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``digest, doc, place``: one row per chunk; ``place`` packs start, words and bytes into one long."""
+def chunk_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``digest, doc, place, words``: one row per run of ``WINDOW`` chunks, or one for a shorter text.
+
+    ``place`` packs the first byte and the number of bytes, ``words`` the numbers of the first word and of the
+    word after the last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in records(batches, 500):
-            digests, owners, places = [], [], []
+            digests, owners, places, counts = [], [], [], []
             for key, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 data = as_bytes(text)
                 if key is None or not data:
@@ -72,33 +79,39 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 starts = np.append(0, ends[:-1])
                 blank = _BLANK[np.frombuffer(data, dtype=np.uint8)]
                 begins = np.cumsum(~blank & np.append(True, blank[:-1]))
-                words = np.diff(begins[ends - 1], prepend=0)
-                digests += [xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                owners.append(np.full(len(ends), key, dtype=np.int64))
-                places.append((starts << 20) | (words << 10) | (ends - starts))
+                upto = begins[ends - 1]
+                each = [xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                width = min(WINDOW, len(ends))
+                digests.append(window_hashes(np.array(each, dtype=np.uint64), width) + np.uint64(width))
+                last = slice(width - 1, None)
+                starts, upto_first = starts[: len(ends) - width + 1], np.append(0, upto[:-1])[: len(ends) - width + 1]
+                owners.append(np.full(len(starts), key, dtype=np.int64))
+                places.append((starts << 10) | (ends[last] - starts))
+                counts.append((upto_first << 32) | upto[last])
             if owners:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.array(digests, dtype=np.uint64).view(np.int64)),
+                        pa.array(np.concatenate(digests).view(np.int64)),
                         pa.array(np.concatenate(owners)),
                         pa.array(np.concatenate(places)),
+                        pa.array(np.concatenate(counts)),
                     ],
-                    names=["digest", "doc", "place"],
+                    names=["digest", "doc", "place", "words"],
                 )
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
-        run, "digest long, doc long, place long"
+        run, "digest long, doc long, place long, words long"
     )
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = RUN_WORDS) -> DataFrame:
     """``doc_id, first, past, n_words, owner_id``: passages of ``docs`` that stand in a document of smaller id too.
 
-    Places are bytes of the UTF-8 text. The owner of a passage, the smallest id that has its first chunk, keeps
+    Places are bytes of the UTF-8 text. The owner of a passage, the smallest id that has its first chunks, keeps
     it and gives no row for it. A repeat within one document is none. Rows that share an id are one document, rows without
     an id, and NULL and empty texts, have no passages.
     """
-    every = chunks(docs, id_col, text_col)
+    every = chunk_runs(docs, id_col, text_col)
     owners = every.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("other")).filter("owner < other")
     # stored, so that a digest with very many chunks can be split in the join
     shared = cut_lineage(owners.select("digest", "owner"), "shared")
@@ -107,9 +120,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .filter("doc <> owner")
         .select(
             "doc",
-            F.shiftright("place", 20).alias("start"),
-            F.shiftright("place", 10).bitwiseAND(1023).alias("words"),
-            (F.shiftright("place", 20) + F.col("place").bitwiseAND(1023)).alias("stop"),
+            F.shiftright("place", 10).alias("start"),
+            (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023)).alias("stop"),
+            F.shiftright("words", 32).alias("word"),
+            F.col("words").bitwiseAND((1 << 32) - 1).alias("past_word"),
             "owner",
         )
         .dropDuplicates(["doc", "start", "stop", "owner"])
@@ -124,7 +138,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .agg(
             F.min("start").alias("first"),
             F.max("stop").alias("past"),
-            F.sum("words").alias("n_words"),
+            (F.max("past_word") - F.min("word")).alias("n_words"),
             F.min(F.struct("start", "owner")).alias("head"),
         )
         .filter(F.col("n_words") >= least_words)
