@@ -26,6 +26,7 @@ from occurra.plans import curate as plan
 from occurra.session import scratch_path
 from occurra.sinks.files import write_statements
 from occurra.sources import star
+from occurra.sources.candidates import read_curation_tsv
 from occurra.streaming.intake import intake_stream, read_log, read_queue
 
 # ---- reference SQL of one curation run -----------------------------------
@@ -327,6 +328,47 @@ def curate_with_converter(spark, folder):
     return _shown(plan.curate(rows, star.graph(spark, folder), converter=_stand_in).results)
 
 
+def _failing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The stand-in, but it raises on one structure in some."""
+    for out in _stand_in(batches):
+        if (out["canonical_smiles"] == "CCO").any():
+            raise ValueError("unreadable")
+        yield out
+
+
+_RAISED = _READ.replace("THEN 'unreadable' END", "THEN 'ValueError: unreadable' END")
+
+
+@query(
+    "curate_with_failing_converter",
+    f"SELECT {_SHOWN} FROM {{results}}",
+    _run("", "read", "taxon_names") | {"read": _RAISED},
+)
+def curate_with_failing_converter(spark, folder):
+    """An exception costs the rows that raise it, not the batch."""
+    rows = star.view(spark, folder, "candidates")
+    return _shown(plan.curate(rows, star.graph(spark, folder), converter=_failing).results)
+
+
+# what a file of candidates gives: trimmed cells, rows without name or structure left out
+_FROM_FILE = f"""SELECT seq, {s_clean('name')} AS name, {s_clean('smiles')} AS smiles, {s_clean('taxon')} AS taxon,
+{s_doi_key('doi')} AS doi FROM {{candidates}} WHERE {s_clean('name')} IS NOT NULL AND {s_clean('smiles')} IS NOT NULL"""
+
+
+@query(
+    "curate_from_tsv",
+    f"SELECT {_SHOWN.removeprefix('seq, ')} FROM {{results}}",
+    _run("", "read", "taxon_names") | {"file_rows": _FROM_FILE, "read": _READ.replace("{candidates}", "{file_rows}")},
+)
+def curate_from_tsv(spark, folder):
+    """From a text file to results: the order of the rows in the file decides between equal keys."""
+    path = scratch_path(spark, "candidates-tsv")
+    rows = star.view(spark, folder, "candidates").orderBy("seq").select("name", "smiles", "taxon", "doi")
+    rows.write.csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
+    read = read_curation_tsv(spark, path)
+    return _shown(plan.curate(read, star.graph(spark, folder), converter=_stand_in).results).drop("seq")
+
+
 # ---- C18, C19, K7, I1 -----------------------------------------------------------
 
 # the missing taxa of the first pass, created under new ids

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from occurra.catalog.graph import occ
 from occurra.catalog.registry import query, s_clean, s_doi_key, s_formula, s_trim
-from occurra.catalog.search import CLADE, CTES, FLAGSHIP, _dedup_sql
+from occurra.catalog.search import CTES, FLAGSHIP, _dedup_sql
 from occurra.functions import text as tx
 from occurra.model import RESULT_ROW
-from occurra.plans.search import enriched_matches, search
+from occurra.operators.stats import DIGEST_BUCKETS
+from occurra.operators.occurrences import enrich, result_rows
+from occurra.plans.search import search
 from occurra.session import scratch_path
 from occurra.sinks import files, rdf
 from occurra.sinks.metadata import dataset_metadata
@@ -28,19 +30,17 @@ taxon_qid AS taxon, taxon_name, CASE WHEN s % 7 = 0 THEN 'none' ELSE reference_q
 CASE WHEN s % 2 = 0 THEN 'https://doi.org/' || ref_doi ELSE ref_doi END AS ref_doi,
 cast(pub_year AS string) || '-01-02T00:00:00Z' AS ref_date,
 'http://www.wikidata.org/entity/statement/' || statement AS statement
-FROM (SELECT *, length(statement) + length(ref_title) AS s FROM {clade_rows}) x"""
+FROM (SELECT *, length(statement) + coalesce(length(ref_title), 0) AS s FROM {all_rows}) x"""
 
 _NORMAL = """
 SELECT compound_qid, name, inchikey, smiles, CASE WHEN s % 11 = 0 THEN NULL ELSE mass END AS mass, formula, taxon_qid, taxon_name,
 CASE WHEN s % 7 = 0 THEN NULL ELSE reference_qid END AS reference_qid, ref_title, ref_doi, pub_year, statement
-FROM (SELECT *, length(statement) + length(ref_title) AS s FROM {clade_rows}) x WHERE s IS NOT NULL"""
+FROM (SELECT *, length(statement) + coalesce(length(ref_title), 0) AS s FROM {all_rows}) x"""
 
 
 def _raw_results(spark, folder):
-    rows = search(spark, star.graph(spark, folder), CLADE).all_rows
-    return spark.sql(_RAW.replace("{clade_rows}", "{r}").replace('"compoundLabel"', "compoundLabel"), r=rows).filter(
-        "length(statement) IS NOT NULL AND ref_title IS NOT NULL"
-    )
+    rows = result_rows(enrich(occ(spark, folder)))
+    return spark.sql(_RAW.replace("{all_rows}", "{r}").replace('"compoundLabel"', "compoundLabel"), r=rows)
 
 
 @query("normalize_rows", _NORMAL, CTES)
@@ -150,20 +150,37 @@ def curation_json(spark, folder):
     return cand.read_curation_json(docs, "doc")
 
 
-@query("export_csv", "SELECT * FROM {clade_rows}", CTES)
+@query("export_csv", "SELECT * FROM {all_rows}", CTES)
 def export_csv(spark, folder):
     path = scratch_path(spark, "export-csv")
-    files.write_results_csv(search(spark, star.graph(spark, folder), CLADE).all_rows, path, gzip=True)
+    files.write_results_csv(result_rows(enrich(occ(spark, folder))), path, gzip=True)
     return spark.read.schema(RESULT_ROW).csv(path, header=True, escape='"')
 
 
-@query("export_json", "SELECT * FROM {clade_rows}", CTES)
+@query("export_json", "SELECT * FROM {all_rows}", CTES)
 def export_json(spark, folder):
     path = scratch_path(spark, "export-json")
-    files.write_results_json(search(spark, star.graph(spark, folder), CLADE).all_rows, path, gzip=True)
+    files.write_results_json(result_rows(enrich(occ(spark, folder))), path, gzip=True)
     return spark.read.schema(RESULT_ROW).json(path)
 
 
+@query(
+    "export_by_format",
+    "SELECT 'csv' AS kind, * FROM {flagship_rows} UNION ALL SELECT 'json', * FROM {flagship_rows}",
+    CTES,
+)
+def export_by_format(spark, folder):
+    """The flagship search by format name; the RDF file is read by ``export_ntriples``."""
+    found = search(spark, star.graph(spark, folder), FLAGSHIP)
+    target = scratch_path(spark, "exports")
+    csv = files.export(found.matches, found.all_rows, " CSV", target, "2025 flag/ship: csv", gzip=True)
+    json = files.export(found.matches, found.all_rows, "ndjson", target, "flagship")
+    read = spark.read.schema(RESULT_ROW)
+    return read.csv(csv, header=True, escape='"').select(F.lit("csv").alias("kind"), "*").unionAll(
+        read.json(json).select(F.lit("json").alias("kind"), "*")
+    )
+
+
 def _iri(prefix: str, x: str) -> str:
     return f"'<{prefix}' || {x} || '>'"
 
@@ -191,27 +208,27 @@ _PATTERNS = [
     (_R, f"{rdf.DIRECT}P577", f"""'"' || strftime(ref_date, '%Y-%m-%dT%H:%M:%SZ') || '"^^<{rdf.XSD}dateTime>'"""),
 ]
 _RDF_SQL = " UNION ".join(
-    f"SELECT {s} AS s, '<{p}>' AS p, {o} AS o FROM {{clade_enriched}} WHERE {o} IS NOT NULL" for s, p, o in _PATTERNS
+    f"SELECT {s} AS s, '<{p}>' AS p, {o} AS o FROM {{enriched}} WHERE {o} IS NOT NULL" for s, p, o in _PATTERNS
 )
 
 
 @query(
     "rdf_triples",
     _RDF_SQL,
-    {**CTES, "clade_enriched": "SELECT * FROM {enriched} WHERE t IN (SELECT t FROM {closure})"},
+    CTES,
 )
 def rdf_triples(spark, folder):
-    return rdf.to_triples(enriched_matches(occ(spark, folder), CLADE, "Q10"))
+    return rdf.to_triples(enrich(occ(spark, folder)))
 
 
 @query(
     "export_ntriples",
     f"SELECT s || ' ' || p || ' ' || o || ' .' AS line FROM ({_RDF_SQL}) x",
-    {**CTES, "clade_enriched": "SELECT * FROM {enriched} WHERE t IN (SELECT t FROM {closure})"},
+    CTES,
 )
 def export_ntriples(spark, folder):
     path = scratch_path(spark, "ntriples")
-    rdf.write_ntriples(rdf.to_triples(enriched_matches(occ(spark, folder), CLADE, "Q10")), path, gzip=True)
+    rdf.write_ntriples(rdf.to_triples(enrich(occ(spark, folder))), path, gzip=True)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
@@ -226,6 +243,31 @@ def curation_tsv_out(spark, folder):
     return back.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in back.columns])
 
 
+@query(
+    "metadata_full_hash",
+    f"""SELECT count(*) AS records, (SELECT 'urn:hash:sha256:' || sha256(coalesce(string_agg(digest, '|' ORDER BY bucket), '')) FROM
+(SELECT bucket, sha256(string_agg(id, '|' ORDER BY id)) AS digest FROM
+(SELECT id, ('0x' || substr(sha256(id), 1, 8))::bigint % {DIGEST_BUCKETS} AS bucket
+FROM (SELECT DISTINCT compound_qid AS id FROM {{flagship_rows}}) i) b GROUP BY bucket) d) AS uri FROM {{flagship_rows}}""",
+    CTES,
+)
+def metadata_full_hash(spark, folder):
+    """The hash in the document is of all records it counts, also where the displayed rows are cut."""
+    result = search(spark, star.graph(spark, folder), FLAGSHIP, limit=3)
+    document = dataset_metadata(
+        result.stats,
+        FLAGSHIP,
+        result.taxon.qid,
+        result.query_hash.first()[0],
+        result.result_digest.first()[0],
+        "2025-01-01T00:00:00Z",
+    )
+    return document.select(
+        F.get_json_object("metadata", "$.numberOfRecords").cast("bigint").alias("records"),
+        F.get_json_object("metadata", "$.provenance.dataset_uri").alias("uri"),
+    )
+
+
 @query(
     "metadata_json",
     f"""SELECT 'Dataset' AS kind, 'Occurrence data — q10' AS name, n AS records, 'Q10' AS taxon_qid, 905.0::double AS mass_min,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from occurra.catalog.graph import PATTERN, _HITS, occ
@@ -15,12 +16,14 @@ from occurra.catalog.registry import (
     s_row_key,
     s_tokens,
 )
-from occurra.model import Criteria
+from occurra.model import ROW_LIMIT_DEFAULT, Criteria
 from occurra.operators import ordering, stats
-from occurra.operators.filters import apply_filters
+from occurra.operators.filters import apply_filters, filter_year
 from occurra.operators.merging import dedup_candidates
-from occurra.operators.occurrences import enrich, result_rows
+from occurra.operators.occurrences import Occurrences, enrich, result_rows
+from occurra.plans.requests import resolve_requests, search_requests
 from occurra.plans.search import ENTRY_ORDER, search
+from occurra.session import scratch_path
 from occurra.sources import star
 
 FLAGSHIP = Criteria(
@@ -87,6 +90,72 @@ def search_structure(spark, folder):
     return search(spark, star.graph(spark, folder), criteria, query_bits=PATTERN).rows
 
 
+@query("search_unlimited", _dedup_sql("{all_rows}"), CTES)
+def search_unlimited(spark, folder):
+    """All taxa, no filter, no limit: every entry of the graph."""
+    return search(spark, star.graph(spark, folder), Criteria(taxon="*")).rows
+
+
+# one request per supplier and nation, by id or name, each with bounds of its own
+_REQUESTS = """
+SELECT concat('s', s_suppkey) AS req_id, CASE WHEN s_suppkey % 2 = 0 THEN concat('q', 1000 + s_suppkey) ELSE s_name END AS taxon,
+CASE WHEN s_suppkey % 3 = 0 THEN 905.25e0 + s_suppkey % 50 END AS mass_min, CASE WHEN s_suppkey % 4 = 0 THEN 1993 END AS year_min,
+CASE WHEN s_suppkey % 5 = 0 THEN 1996 END AS year_max, CASE WHEN s_suppkey % 7 = 0 THEN 8 END AS c_min,
+CASE WHEN s_suppkey % 6 = 1 THEN 'required' END AS cl_state FROM {supplier}
+UNION ALL SELECT concat('n', n_nationkey), concat('no such ', n_name), CAST(NULL AS double), CAST(NULL AS int), CAST(NULL AS int), CAST(NULL AS int), NULL FROM {nation}
+UNION ALL SELECT concat('m', n_nationkey), CASE WHEN n_nationkey % 2 = 0 THEN concat('Q', 100 + n_nationkey) ELSE '*' END, 1000e0 + n_nationkey, CAST(NULL AS int),
+CAST(NULL AS int), 5, 'excluded' FROM {nation}"""
+_WANTED = f"""SELECT q.*, CASE WHEN taxon LIKE 'q%' THEN upper(taxon) WHEN taxon LIKE 'Q%' THEN taxon ELSE n.t END AS root
+FROM {{asked_requests}} q LEFT JOIN (SELECT name, 'Q' || min(cast(substr(t, 2) AS bigint)) AS t FROM {{taxon_names}} GROUP BY name) n
+ON n.name = upper(left(q.taxon, 1)) || lower(substr(q.taxon, 2))"""
+_CLADES = """SELECT DISTINCT root, root AS t FROM {wanted} WHERE root IS NOT NULL
+UNION SELECT clades.root, p.child FROM {taxon_parent} p JOIN clades ON p.parent = clades.t"""
+_TOKENS = s_tokens("formula_raw")
+_REQUEST_CTES = {**CTES, "asked_requests": _REQUESTS, "wanted": _WANTED, "clades": _CLADES}
+
+
+@query(
+    "search_requests",
+    f"""SELECT q.req_id, count(*) AS n_rows, count(DISTINCT e.c) AS n_compounds, min(e.statement) AS first_statement, sum(e.mass) AS total_mass
+FROM {{wanted}} q JOIN {{clades}} k ON k.root = q.root JOIN {{enriched}} e ON e.t = k.t
+WHERE (q.mass_min IS NULL OR e.mass >= q.mass_min AND e.mass <= 10000)
+AND (q.year_min IS NULL AND q.year_max IS NULL OR year(e.ref_date) BETWEEN coalesce(q.year_min, 1800) AND coalesce(q.year_max, 2025))
+AND (q.c_min IS NULL AND q.cl_state IS NULL OR formula_raw IS NOT NULL AND {s_count(_TOKENS, 'C')} BETWEEN coalesce(q.c_min, 0) AND 512
+AND CASE q.cl_state WHEN 'required' THEN {s_count(_TOKENS, 'Cl')} > 0 WHEN 'excluded' THEN {s_count(_TOKENS, 'Cl')} = 0 ELSE true END)
+GROUP BY q.req_id""",
+    _REQUEST_CTES,
+)
+def search_requests_query(spark, folder):
+    requests = star.run_sql(spark, folder, _REQUESTS)
+    rows, _ = search_requests(Occurrences(star.graph(spark, folder)), requests, 2025)
+    return rows.groupBy("req_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("compound_qid").alias("n_compounds"),
+        F.min("statement").alias("first_statement"),
+        F.sum("mass").alias("total_mass"),
+    )
+
+
+@query(
+    "request_faults",
+    """SELECT req_id, root AS t, CASE WHEN taxon = '*' THEN 'AllTaxa' WHEN root IS NULL THEN 'TaxonNotFound' END AS fault FROM {wanted}""",
+    _REQUEST_CTES,
+)
+def request_faults(spark, folder):
+    requests = star.run_sql(spark, folder, _REQUESTS)
+    return resolve_requests(requests, Occurrences(star.graph(spark, folder)), 2025).select("req_id", "t", "fault")
+
+
+@query(
+    "filter_year_open",
+    "SELECT r, cast(v AS varchar) AS ref_date FROM {ref_date} WHERE year(v) >= 1996",
+)
+def filter_year_open(spark, folder):
+    """A lower bound alone cuts nothing above."""
+    dates = star.view(spark, folder, "ref_date").withColumnRenamed("v", "ref_date")
+    return filter_year(dates, 1996).select("r", F.col("ref_date").cast("string"))
+
+
 @query(
     "filter_combined",
     f"SELECT {RESULT_COLUMNS} FROM {{enriched}} WHERE {_FLAGSHIP_RANGES} AND formula_raw IS NOT NULL "
@@ -168,24 +237,41 @@ def _clade_entries(spark, folder):
     return stats.dedup_entries(rows, _order())
 
 
-@query("sort_name", _dedup_sql("{clade_rows}"), CTES)
+def _entries(spark, folder):
+    return stats.dedup_entries(result_rows(enrich(occ(spark, folder))), _order())
+
+
+def _placed(rows):
+    """Sorted rows, stored, with their place in the order: file by file, row by row."""
+    path = scratch_path(rows.sparkSession, "sorted")
+    rows.select("statement").write.parquet(path)
+    stored = rows.sparkSession.read.parquet(path).select(
+        "statement", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")
+    )
+    sizes = stored.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("file", before.alias("before"))
+    return stored.join(offsets, "file").select("statement", (F.col("before") + F.col("at") + 1).alias("place"))
+
+
+def _placed_sql(order: str) -> str:
+    return f"SELECT statement, row_number() OVER (ORDER BY {order}) AS place FROM ({_dedup_sql('{all_rows}')}) d"
+
+
+@query("sort_name", _placed_sql("name NULLS FIRST, statement NULLS FIRST"), CTES)
 def sort_name(spark, folder):
-    return ordering.sort_rows(_clade_entries(spark, folder), "name")
+    """Every row with its place, so that the order itself is compared."""
+    return _placed(ordering.sort_rows(_entries(spark, folder), "name"))
 
 
-@query("sort_mass", _dedup_sql("{clade_rows}"), CTES)
+@query("sort_mass", _placed_sql("mass NULLS FIRST, statement NULLS FIRST"), CTES)
 def sort_mass(spark, folder):
-    return ordering.sort_rows(_clade_entries(spark, folder), "mass")
+    return _placed(ordering.sort_rows(_entries(spark, folder), "mass"))
 
 
-@query(
-    "sort_mass_desc",
-    f"SELECT * FROM ({_dedup_sql('{clade_rows}')}) d ORDER BY mass DESC NULLS LAST, statement DESC LIMIT 300",
-    CTES,
-)
+@query("sort_mass_desc", _placed_sql("mass DESC NULLS LAST, statement DESC NULLS LAST"), CTES)
 def sort_mass_desc(spark, folder):
-    """The top of the descending order, so that the order itself is compared."""
-    return ordering.sort_rows(_clade_entries(spark, folder), "mass", "desc").limit(300)
+    return _placed(ordering.sort_rows(_entries(spark, folder), "mass", "desc"))
 
 
 @query(
@@ -194,7 +280,7 @@ def sort_mass_desc(spark, folder):
     CTES,
 )
 def top_rows(spark, folder):
-    return stats.limit_rows(_clade_entries(spark, folder), None, [F.col("statement").asc()])
+    return stats.limit_rows(_clade_entries(spark, folder), ROW_LIMIT_DEFAULT, [F.col("statement").asc()])
 
 
 @query(

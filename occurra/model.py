@@ -54,8 +54,7 @@ CURATION_ROW = T.StructType(
 class Criteria:
     """One search request; the tabular twin lives in ``operators.requests``.
 
-    ``as_of_year`` is today's year for the "is the year range restrictive"
-    test, kept as a parameter so that a search can be repeated later.
+    ``year_max`` None is no upper bound; a bound only cuts when it is given.
     """
 
     taxon: str = DEFAULT_TAXON
@@ -65,8 +64,7 @@ class Criteria:
     mass_min: float = MASS_FLOOR
     mass_max: float = MASS_CEILING
     year_min: int = YEAR_FLOOR
-    year_max: int = 2025
-    as_of_year: int = 2025
+    year_max: int | None = None
     formula_enabled: bool = False
     formula_exact: str = ""
     elements: dict[str, tuple[int, int]] = field(default_factory=dict)
@@ -78,7 +76,7 @@ class Criteria:
 
     @property
     def year_active(self) -> bool:
-        return self.year_min > YEAR_FLOOR or self.year_max < self.as_of_year
+        return self.year_min > YEAR_FLOOR or self.year_max is not None
 
     @property
     def active_elements(self) -> dict[str, tuple[int, int]]:
@@ -117,6 +115,6 @@ class Graph:
     inchi: DataFrame  # c, v
     labels: DataFrame  # c, v, lang
     ref_title: DataFrame  # r, v
-    ref_doi: DataFrame  # r, v (stored upper-case)
+    ref_doi: DataFrame  # r, v (as given; compared by ``doi_key``)
     ref_date: DataFrame  # r, v (timestamp)
     fingerprints: DataFrame  # c, bits ARRAY<INT>

@@ -80,23 +80,15 @@ def match_compounds(inchikeys: DataFrame, graph: Graph) -> DataFrame:
     )
 
 
-def known_occurrences(
-    pairs: DataFrame, statements: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
-) -> DataFrame:
+def known_occurrences(pairs: DataFrame, statements: DataFrame) -> DataFrame:
     """Distinct ``(c, t, r)`` of the statements whose (c, t) is asked for.
 
-    One pass over the statements. AQE broadcasts the asked pairs when they
-    measure small; otherwise pairs with very many statements are split.
+    One pass over the statements, which are not profiled: AQE broadcasts the asked
+    pairs when they measure small, and splits a pair with very many statements
+    when they do not. What is left is combined before the second shuffle.
     """
     asked = pairs.filter(F.col("c").isNotNull() & F.col("t").isNotNull()).select("c", "t").distinct()
-    facts = statements.select("c", "t", "r")
-    pair = F.concat_ws(UNIT, "c", "t").alias("pair")
-    heavy = heavy_keys(statements.select(pair), ["pair"], policy).of("pair")
-    if heavy:
-        found = attach(facts.select("*", pair), [(asked.select(pair), "left_semi")], "pair", heavy)
-    else:
-        found = facts.join(asked, ["c", "t"], "left_semi")
-    return found.select("c", "t", "r").distinct()
+    return statements.select("c", "t", "r").join(asked, ["c", "t"], "left_semi").distinct()
 
 
 def occurrence_exists(pairs: DataFrame, statements: DataFrame) -> DataFrame:
@@ -126,12 +118,10 @@ def occurrence_keys(found: DataFrame) -> DataFrame:
     return found.select(F.explode(keys).alias("occurrence")).distinct()
 
 
-def new_occurrences(
-    candidates: DataFrame, statements: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
-) -> DataFrame:
+def new_occurrences(candidates: DataFrame, statements: DataFrame) -> DataFrame:
     """Distinct ``(c, t, r)`` not in the graph; without a reference the pair decides."""
     asked = candidates.select("c", "t", "r").distinct()
-    known = occurrence_keys(known_occurrences(asked, statements, policy))
+    known = occurrence_keys(known_occurrences(asked, statements))
     return asked.withColumn("occurrence", occurrence_key()).join(known, "occurrence", "left_anti").drop("occurrence")
 
 
@@ -301,7 +291,7 @@ def with_occurrence_flags(
     asked = F.col("known_c").isNotNull() & F.col("t").isNotNull()
     rows = rows.withColumn("occurrence", F.when(asked, occurrence_key("known_c")))
     pairs = rows.filter(asked).select(F.col("known_c").alias("c"), "t")
-    found = occurrence_keys(known_occurrences(pairs, statements, policy)).withColumn("_hit", F.lit(True))
+    found = occurrence_keys(known_occurrences(pairs, statements)).withColumn("_hit", F.lit(True))
     heavy = heavy_keys(rows, ["occurrence"], policy, n_rows).of("occurrence")
     flagged = attach(rows, [(found, "left")], "occurrence", heavy, F.col("seq"))
     return flagged.withColumn("occurs", F.col("_hit").isNotNull()).drop("_hit", "occurrence")

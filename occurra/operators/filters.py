@@ -17,12 +17,16 @@ def filter_mass(df: DataFrame, low: float, high: float, mass: str = "mass") -> D
 
 
 def filter_year(
-    df: DataFrame, low: int, high: int, as_of_year: int, date: str = "ref_date"
+    df: DataFrame, low: int, high: int | None = None, date: str = "ref_date"
 ) -> DataFrame:
-    """Inclusive range on the year of the publication date."""
-    if low <= YEAR_FLOOR and high >= as_of_year:
+    """Inclusive range on the year of the publication date; None is no upper bound.
+
+    A range that restricts drops rows without a date.
+    """
+    if low <= YEAR_FLOOR and high is None:
         return df
-    return df.filter(F.year(date).between(low, high))
+    year = F.year(date)
+    return df.filter(year >= low if high is None else year.between(low, high))
 
 
 def has_formula(df: DataFrame, formula: str = "formula_raw") -> DataFrame:
@@ -83,7 +87,7 @@ def filter_formula(df: DataFrame, criteria: Criteria, formula: str = "formula_ra
 def apply_filters(df: DataFrame, criteria: Criteria) -> DataFrame:
     """All active filters of a request; unchanged when none is."""
     df = filter_mass(df, criteria.mass_min, criteria.mass_max)
-    df = filter_year(df, criteria.year_min, criteria.year_max, criteria.as_of_year)
+    df = filter_year(df, criteria.year_min, criteria.year_max)
     return filter_formula(df, criteria)
 
 

@@ -42,19 +42,26 @@ class Occurrences:
         statements: DataFrame | None = None,
         compounds: DataFrame | None = None,
         clade: DataFrame | None = None,
+        compounds_first: bool = False,
     ) -> DataFrame:
         """Statements with compound identifiers and taxon name, all mandatory.
 
-        A clade shrinks the taxon names, so that one join with the statements
-        both filters them and names their taxon.
+        A clade (``t, taxon_name``, as ``clade_names`` gives it) takes the place of
+        the taxon names, so that one join with the statements both filters them and
+        names their taxon. The smaller of the two sides should come first.
         """
         facts = self.graph.statements if statements is None else statements
         dims = self.graph.compound_ids if compounds is None else compounds
+        names = self.clade_names() if clade is None else clade
+        sides = [(names, "t"), (dims, "c")]
+        for dim, key in reversed(sides) if compounds_first else sides:
+            facts = attach(facts, [(dim, "inner")], key, self.heavy.of(key), F.col("statement"))
+        return facts
+
+    def clade_names(self, clade: DataFrame | None = None) -> DataFrame:
+        """Names of the taxa of a clade, or of all taxa."""
         names = self.graph.taxon_names.withColumnRenamed("name", "taxon_name")
-        if clade is not None:
-            names = names.join(clade.select("t"), "t", "left_semi")
-        facts = attach(facts, [(names, "inner")], "t", self.heavy.of("t"), F.col("statement"))
-        return attach(facts, [(dims, "inner")], "c", self.heavy.of("c"), F.col("statement"))
+        return names if clade is None else names.join(clade.select("t"), "t", "left_semi")
 
     def in_clade(self, statements: DataFrame, clade: DataFrame | None) -> DataFrame:
         """C4: rows whose taxon is in the clade; None means no filter.
@@ -124,9 +131,10 @@ def enrich(occ: Occurrences, statements: DataFrame | None = None) -> DataFrame:
     return occ.with_references(core)
 
 
-def result_rows(enriched: DataFrame) -> DataFrame:
-    """Enriched rows in the shape of RESULT_ROW."""
+def result_rows(enriched: DataFrame, *kept: str) -> DataFrame:
+    """Enriched rows in the shape of RESULT_ROW, after the columns to keep beside it."""
     return enriched.select(
+        *kept,
         F.col("c").alias("compound_qid"),
         F.col("label").alias("name"),
         "inchikey",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from occurra.operators.stats import TOP_K_ROWS, slice_rows
+from occurra.session import counted_stage
+
 SORT_COLUMNS = ("name", "mass", "formula", "taxon_name", "pub_year", "ref_title")
 
 
@@ -33,11 +36,15 @@ def page(
 ) -> DataFrame:
     """a window of rows with some rows around it.
 
-    Fits the pages a reader turns to; far into a large result use
-    ``page_after``, whose cost does not grow with the depth.
+    A page near the start is a top-k. Further in, rows are laid out by range and
+    only the ranges around the page are sorted, so no task gathers what precedes it.
     """
-    start, end = page_bounds(df.count() if total is None else total, first, size, overscan)
-    return df.orderBy(*order).limit(end).offset(start)
+    if total is None:
+        df, total = counted_stage(df, "rows")
+    start, end = page_bounds(total, first, size, overscan)
+    if end <= TOP_K_ROWS:
+        return df.orderBy(*order).limit(end).offset(start)
+    return slice_rows(df, order, start, end).orderBy(*order)
 
 
 def page_after(df: DataFrame, column: str, last_key: str | None, size: int) -> DataFrame:

@@ -28,6 +28,7 @@ from occurra.model import (
 # Bounds of the data-quality rules and accepted flag texts.
 MAX_TAXON_BYTES, MAX_STRUCTURE_BYTES = 500, 10_000
 EARLIEST_YEAR = 1600
+_NO_YEAR = 1 << 30
 MAX_ELEMENT_SUM = 1000
 TRUE_FLAGS = ("1", "true", "yes", "on")
 
@@ -151,15 +152,16 @@ def validate_criteria(df: DataFrame, as_of_year: int) -> DataFrame:
     return df.withColumn("fault", fault)
 
 
-def _mass_active() -> Column:
+def mass_active() -> Column:
     return (F.col("mass_min") > MASS_FLOOR) | (F.col("mass_max") < MASS_CEILING)
 
 
-def _year_active(as_of_year: int) -> Column:
-    return (F.col("year_min") > YEAR_FLOOR) | (F.col("year_max") < as_of_year)
+def year_active(as_of_year: int | Column) -> Column:
+    """An upper bound of NULL is none."""
+    return (F.col("year_min") > YEAR_FLOOR) | F.coalesce(F.col("year_max") < as_of_year, F.lit(False))
 
 
-def _formula_active() -> Column:
+def formula_active() -> Column:
     active = tx.trim(F.col("formula_exact")) != ""
     for symbol, ceiling in _BOUNDS:
         active = active | (F.col(f"{symbol}_min") > 0) | (F.col(f"{symbol}_max") < ceiling)
@@ -172,7 +174,7 @@ def share_pairs(as_of_year: int) -> list[tuple[str, Column]]:
     """Parameter name and value in fixed order; the value is NULL at its default."""
     structure = tx.trim(F.col("smiles")) != ""
     similarity = structure & (F.col("search_type") == "similarity")
-    mass, year, formula = _mass_active(), _year_active(as_of_year), F.col("formula_enabled")
+    mass, year, formula = mass_active(), year_active(as_of_year), F.col("formula_enabled")
     pairs = [
         ("taxon", F.when(tx.trim(F.col("taxon")) != "", F.col("taxon"))),
         ("structure", F.when(structure, F.col("smiles"))),
@@ -206,7 +208,8 @@ def encode_share_params(df: DataFrame, as_of_year: int, out: str = "share_params
 
 def query_hash(df: DataFrame, as_of_year: int | None = None, qid: str = "qid") -> DataFrame:
     """SHA-256 of id, taxon and plain share parameters per request."""
-    year = as_of_year if as_of_year is not None else F.col("as_of_year")
+    # without a year of reference every given upper bound counts
+    year = as_of_year if as_of_year is not None else F.lit(_NO_YEAR)
     params = F.concat_ws("&", *[F.concat(F.lit(f"{k}="), v) for k, v in share_pairs(year)])
     source = F.concat_ws(
         "|",
@@ -231,14 +234,13 @@ def criteria_table(spark: SparkSession, criteria: Criteria, qid: str | None = No
         "formula_exact": criteria.formula_exact,
         "formula_enabled": criteria.formula_enabled,
         "qid": qid,
-        "as_of_year": criteria.as_of_year,
     }
     for symbol, ceiling in ELEMENT_CEILINGS.items():
         low, high = criteria.elements.get(symbol, (0, ceiling))
         values[f"{symbol.lower()}_min"], values[f"{symbol.lower()}_max"] = low, high
     for halogen in HALOGENS:
         values[f"{halogen.lower()}_state"] = criteria.halogens.get(halogen, "allowed")
-    types = {**REQUEST_COLUMNS, "formula_enabled": "boolean", "qid": "string", "as_of_year": "int"}
+    types = {**REQUEST_COLUMNS, "formula_enabled": "boolean", "qid": "string"}
     return spark.sql("SELECT 1").select(*[F.lit(values[n]).cast(t).alias(n) for n, t in types.items()])
 
 
@@ -334,7 +336,7 @@ def export_name(
 ) -> DataFrame:
     """``{date}_{source}_{taxon}[_kind][_filtered].{extension}`` per request."""
     structure = tx.trim(F.col("smiles")) != ""
-    narrowed = structure | _mass_active() | _year_active(as_of_year) | _formula_active()
+    narrowed = structure | mass_active() | year_active(as_of_year) | formula_active()
     stem = F.concat_ws(
         "_",
         F.lit(date),

@@ -99,5 +99,5 @@ def resolve_taxa_fallback(names: DataFrame, taxon_names: DataFrame, instance_of:
 def resolve_references(dois: DataFrame, ref_doi: DataFrame) -> DataFrame:
     """``(doi)`` to ``(key, r)`` by upper-cased DOI."""
     keys = dois.select(tx.doi_key(F.col("doi")).alias("key")).filter(F.col("key").isNotNull()).distinct()
-    stored = ref_doi.select("r", F.col("v").alias("key"))
+    stored = ref_doi.select("r", tx.doi_key(F.col("v")).alias("key"))
     return keys.join(stored, "key").groupBy("key").agg(smallest_id(F.col("r")).alias("r"))

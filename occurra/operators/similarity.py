@@ -45,7 +45,9 @@ def pack(bits: Column, word: int) -> Column:
 
 
 def packed(fingerprints: DataFrame, n_bits: int, prefix: str = "w") -> DataFrame:
-    """``(c, w0..wk, size)``."""
+    """``(c, w0..wk, size)``; taken as they are where a table holds them already."""
+    if prefix == "w" and "w0" in fingerprints.columns:
+        return fingerprints.select("c", *[f"w{i}" for i in range(n_words(n_bits))], "size")
     words = [pack(F.col("bits"), i).alias(f"{prefix}{i}") for i in range(n_words(n_bits))]
     return fingerprints.select("c", *words, F.size("bits").alias("size"))
 

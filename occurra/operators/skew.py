@@ -20,7 +20,6 @@ HEAVY_SHARE = 1 / 400
 SKETCH_ITEMS = 8192
 PROFILE_MIN_BYTES = 512 * 1024 * 1024
 ROWS_PER_SALT = 1_000_000
-MAX_SALTS = 8192
 
 SALT = "_salt"
 
@@ -77,7 +76,7 @@ def heavy_keys(
     floor = max(profile["_n"] * policy.share, policy.rows_per_salt)
     salts = {
         c: {
-            hit["item"]: min(-(-hit["count"] // policy.rows_per_salt), MAX_SALTS)
+            hit["item"]: -(-hit["count"] // policy.rows_per_salt)
             for hit in profile[c] or []
             if hit["item"] is not None and hit["count"] > floor
         }

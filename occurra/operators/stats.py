@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occurra.model import ROW_LIMIT_CEILING, ROW_LIMIT_DEFAULT
 from occurra.operators.skew import keep_first
 from occurra.session import counted_stage, cut_lineage
 
@@ -48,13 +47,23 @@ def dedup_entries(df: DataFrame, order: list[Column]) -> DataFrame:
     return keep_first(keyed, names, order).drop(*names)
 
 
-def clamp_limit(n: int | None) -> int:
-    return max(1, min(ROW_LIMIT_DEFAULT if n is None else n, ROW_LIMIT_CEILING))
+def row_limit(n: int | None) -> int | None:
+    """At least one row; None is no limit. ``ROW_LIMIT_DEFAULT`` and ``ROW_LIMIT_CEILING`` are for callers who want them."""
+    return None if n is None else max(1, n)
 
 
 def limit_rows(df: DataFrame, n: int | None = None, order: list[Column] | None = None) -> DataFrame:
-    """at most ``n`` rows (default 500, at most 2,000,000), sorted when asked."""
-    return (df.orderBy(*order) if order else df).limit(clamp_limit(n))
+    """at most ``n`` rows, all of them without ``n``; sorted when asked.
+
+    A sorted limit of more than ``TOP_K_ROWS`` is cut by range: no task gathers it.
+    """
+    n = row_limit(n)
+    if n is None:
+        return df.orderBy(*order) if order else df
+    if order and n > TOP_K_ROWS:
+        stored, n_rows = counted_stage(df, "rows")
+        return first_rows(stored, order, n, n_rows).orderBy(*order)
+    return (df.orderBy(*order) if order else df).limit(n)
 
 
 def first_rows(df: DataFrame, order: list[Column], n: int, n_rows: int) -> DataFrame:
@@ -64,37 +73,51 @@ def first_rows(df: DataFrame, order: list[Column], n: int, n_rows: int) -> DataF
     are and only the one range the cut falls into is sorted. The driver sees
     one count per range.
     """
-    if n_rows <= n:
-        return df
+    return df if n_rows <= n else slice_rows(df, order, 0, n)
+
+
+def slice_rows(df: DataFrame, order: list[Column], start: int, end: int) -> DataFrame:
+    """Rows ``start`` to ``end`` of the order, unsorted, for large ``end``: a range that one of them cuts is sorted,
+    ranges between are taken as they are."""
     spread = df.repartitionByRange(CUT_RANGES, *order).withColumn("_range", F.spark_partition_id())
     ranged = cut_lineage(spread, "ranges")
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
-    below, cut = 0, 0
-    for cut, size in ((r["_range"], r["n"]) for r in sizes):
-        if below + size > n:
-            break
+    below, whole, parts = 0, [], []
+    for number, size in ((r["_range"], r["n"]) for r in sizes):
+        first, past = max(start - below, 0), min(end - below, size)
+        if first < past:
+            if (first, past) == (0, size):
+                whole.append(number)
+            else:
+                parts.append(ranged.filter(F.col("_range") == number).orderBy(*order).limit(past).offset(first))
         below += size
-    whole = ranged.filter(F.col("_range") < cut)
-    partial = ranged.filter(F.col("_range") == cut).orderBy(*order).limit(n - below)
-    return whole.unionByName(partial).drop("_range")
+    lo, hi = (whole[0], whole[-1]) if whole else (0, -1)
+    taken = ranged.filter(F.col("_range").between(lo, hi))
+    for part in parts:
+        taken = taken.unionByName(part)
+    return taken.drop("_range")
 
 
-def capped_rows(df: DataFrame, order: list[Column], cap: int = ROW_LIMIT_CEILING) -> DataFrame:
-    """D3, rows: deduplicated entries in order, cut to the cap.
+def capped_rows(df: DataFrame, order: list[Column], cap: int | None = None) -> DataFrame:
+    """D3, rows: deduplicated entries in order, cut to the cap if there is one.
 
     A short list is a top-k. For a long one the entries are stored once, which
     also counts them; mostly they are fewer than the cap and nothing is cut.
     """
-    entries, cap = dedup_entries(df, order), clamp_limit(cap)
+    entries, cap = dedup_entries(df, order), row_limit(cap)
+    if cap is None:
+        return entries.orderBy(*order)
     if cap <= TOP_K_ROWS:
         return entries.orderBy(*order).limit(cap)
     stored, n_rows = counted_stage(entries, "entries")
     return first_rows(stored, order, cap, n_rows).orderBy(*order)
 
 
-def capped_stats(df: DataFrame, cap: int = ROW_LIMIT_CEILING) -> DataFrame:
+def capped_stats(df: DataFrame, cap: int | None = None) -> DataFrame:
     """D3 and D10, counters: over all rows, plus whether the cap cuts them."""
-    shown = F.least(F.col("n_entries_unique"), F.lit(clamp_limit(cap)).cast("bigint"))
+    cap = row_limit(cap)
+    every = F.col("n_entries_unique")
+    shown = every if cap is None else F.least(every, F.lit(cap).cast("bigint"))
     return (
         dataset_stats(df)
         .withColumn("n_returned", shown)
@@ -115,9 +138,8 @@ def stats_from_rows(rows: DataFrame) -> DataFrame:
 def result_hash(rows: DataFrame, compound: str = "compound_qid") -> DataFrame:
     """SHA-256 of the sorted distinct compound ids joined by ``|``.
 
-    Defined on displayed rows, which ``capped_rows`` holds to 2,000,000, so the
-    joined text stays within tens of megabytes whatever the graph size. For
-    unlimited rows use ``result_digest``.
+    The ids meet in one text, so this is for row sets that were cut to a limit.
+    ``result_digest`` takes row sets of any size.
     """
     ids = rows.select(F.col(compound).alias("id")).filter(F.col("id").isNotNull()).distinct()
     joined = F.expr("listagg(id, '|') WITHIN GROUP (ORDER BY id)")

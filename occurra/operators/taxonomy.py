@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from occurra.session import one_row, scratch_path
-
-MAX_LEVELS = 256
+from occurra.session import counted_stage, one_row, scratch_path
 
 
 class ClosureTooDeep(RuntimeError):
     """The taxonomy did not converge within the allowed number of levels."""
 
 
-def descendants(edges: DataFrame, root: str | DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def descendants_of_each(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """C3 for many taxa at once: distinct ``(root, t)``, every root in its own clade.
+
+    ``roots`` is a set ``(root)``. One level of all clades per step, each a stored table.
+    """
+    links = edges.select(F.col("child"), F.col("parent").alias("t"))
+    level, n = counted_stage(roots.select("root", F.col("root").alias("t")).distinct(), "clades")
+    seen = level
+    while n:
+        below = level.join(links, "t").select("root", F.col("child").alias("t")).distinct()
+        level, n = counted_stage(below.join(seen, ["root", "t"], "left_anti"), "clades")
+        seen = seen.unionByName(level)
+    return seen
+
+
+def descendants(edges: DataFrame, root: str | DataFrame, max_levels: int | None = None) -> DataFrame:
     """Reflexive-transitive closure as a set ``(t)``.
 
     One level per step: children of the newest level that were not seen
-    before. Several parents and cycles are fine. Only the convergence test
+    before. Several parents and cycles are fine: the walk ends when a level
+    brings nothing new, however deep; ``max_levels`` is for callers who want to fail
+    earlier. Only the convergence test
     reaches the driver. Each level is a table in the shared folder: lineage
     stays flat, lost executors cost nothing, and the planner knows the real
     size of every level when it chooses between broadcast and shuffle.
@@ -30,11 +47,11 @@ def descendants(edges: DataFrame, root: str | DataFrame, max_levels: int = MAX_L
     def store(level: DataFrame, number: int) -> int:
         rows = Observation()
         counted = level.observe(rows, F.count(F.lit(1)).alias("n"))
-        counted.write.mode("overwrite").parquet(f"{folder}/level-{number:03d}")
+        counted.write.mode("overwrite").parquet(f"{folder}/level-{number:06d}")
         return rows.get["n"]
 
     def stored(first: int, last: int) -> DataFrame:
-        paths = [f"{folder}/level-{n:03d}" for n in range(first, last + 1)]
+        paths = [f"{folder}/level-{n:06d}" for n in range(first, last + 1)]
         return spark.read.schema("t string").parquet(*paths)
 
     if isinstance(root, str):
@@ -43,11 +60,12 @@ def descendants(edges: DataFrame, root: str | DataFrame, max_levels: int = MAX_L
         store(root.select("t").distinct(), 0)
         start = stored(0, 0)
     seen = frontier = start
-    for number in range(1, max_levels + 1):
+    for number in count(1):
+        if max_levels is not None and number > max_levels:
+            raise ClosureTooDeep(f"more than {max_levels} taxonomy levels")
         children = links.join(frontier, links["parent"] == frontier["t"], "left_semi")
         level = children.select(F.col("child").alias("t")).join(seen, "t", "left_anti").distinct()
         if store(level, number) == 0:
             return seen
         frontier = stored(number, number)
         seen = start.unionByName(stored(1, number))
-    raise ClosureTooDeep(f"more than {max_levels} taxonomy levels")

@@ -36,9 +36,35 @@ class Curation:
     bundle: DataFrame
 
 
+def guarded(converter: Converter) -> Converter:
+    """A converter whose exception costs one row and not the job.
+
+    A batch that fails is converted again row by row; a row that fails on its own
+    carries the exception as ``conversion_error`` and has no other output.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                done = list(converter(iter([batch])))
+            except Exception:
+                done = [part for i in range(len(batch)) for part in one(batch.iloc[i : i + 1])]
+            yield from done
+
+    def one(row: pd.DataFrame) -> list[pd.DataFrame]:
+        try:
+            return list(converter(iter([row])))
+        except Exception as error:
+            failed = row.reindex(columns=INPUT_COLUMNS).astype(object).where(lambda df: df.notna(), None)
+            failed["conversion_error"] = f"{type(error).__name__}: {error}"
+            return [failed]
+
+    return run
+
+
 def convert(rows: DataFrame, converter: Converter) -> DataFrame:
     """K8: a user's structure converter over Arrow batches of candidates."""
-    return rows.mapInPandas(converter, CONVERTED)
+    return rows.mapInPandas(guarded(converter), CONVERTED)
 
 
 def prepare(rows: DataFrame, converter: Converter | None = None) -> tuple[DataFrame, int]:

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from occurra.functions import text as tx
-from occurra.model import BIOTA, ROW_LIMIT_CEILING, Criteria, Graph
+from occurra.model import BIOTA, Criteria, Graph
 from occurra.operators import filters, stats
 from occurra.operators.occurrences import Occurrences, compound_table, result_rows
 from occurra.operators.requests import criteria_table, query_hash
+from occurra.operators.resolve import rank_matches
 from occurra.operators.similarity import similar, substructure_screen
+from occurra.operators.skew import attach
 from occurra.operators.taxonomy import descendants
-from occurra.session import one_row
+from occurra.session import counted_stage, cut_lineage, one_row
 
 
 class TaxonNotFound(LookupError):
@@ -31,7 +33,7 @@ class TaxonChoice:
 
 
 def resolve_taxon(spark: SparkSession, graph: Graph, taxon: str) -> TaxonChoice:
-    """H26, then a name lookup of which five hits at most reach the driver."""
+    """H26, then a name lookup: E1 picks the match and E2 tells whether it is ambiguous. One row reaches the driver."""
     row = (
         one_row(spark, raw=taxon)
         .select(
@@ -43,21 +45,18 @@ def resolve_taxon(spark: SparkSession, graph: Graph, taxon: str) -> TaxonChoice:
     )
     if row["kind"] != "lookup":
         return TaxonChoice(row["kind"])
-    hits = (
-        graph.taxon_names.filter(F.col("name") == row["name"])
-        .orderBy(F.length("t"), "t")
-        .limit(5)
-        .collect()
+    hits = graph.taxon_names.filter(F.col("name") == row["name"]).select(
+        F.lit(row["name"]).alias("input"), F.col("t").alias("qid"), "name", F.length("t").alias("pos")
     )
-    if not hits:
+    best = rank_matches(hits).first()
+    if best is None:
         raise TaxonNotFound(row["given"])
-    best = hits[0]
-    if len(hits) > 1:
-        shown = ", ".join(f"{h['name']} ({h['t']})" for h in hits[:4])
-        return TaxonChoice(best["t"], f"ambiguous taxon, using {best['name']} ({best['t']}); candidates: {shown}")
+    if best["ambiguous"]:
+        shown = ", ".join(best["candidates"])
+        return TaxonChoice(best["qid"], f"ambiguous taxon, using {best['name']} ({best['qid']}); candidates: {shown}")
     if row["name"] != taxon:
-        return TaxonChoice(best["t"], f"taxon standardised from '{taxon}' to '{row['name']}'")
-    return TaxonChoice(best["t"])
+        return TaxonChoice(best["qid"], f"taxon standardised from '{taxon}' to '{row['name']}'")
+    return TaxonChoice(best["qid"])
 
 
 def structure_hits(
@@ -67,7 +66,7 @@ def structure_hits(
 
     A multi-line structure is always a substructure search.
     """
-    multiline = "\n" in criteria.smiles.strip()
+    multiline = any(mark in criteria.smiles.strip() for mark in "\r\n")
     if criteria.search_type == "similarity" and not multiline:
         hits = similar(graph.fingerprints, query_bits, criteria.threshold, n_bits)
     else:
@@ -84,9 +83,10 @@ def enriched_matches(
 ) -> DataFrame:
     """All matching rows with every property, filters applied.
 
-    Mass and formula filters act on the compound table and the year filter on
-    the dates before the statements are touched; the joins are inner where a
-    filter needs the value, so Catalyst drops the unmatched side early.
+    Mass and formula filters act on the compound table and a clade on the taxon
+    names before the statements are touched. Both reduced sides are stored and
+    counted: the smaller is joined first, and a side of small real size is
+    broadcast, so that a selective search does not shuffle the statements.
     """
     g = occ.graph
     structure = bool(criteria.smiles.strip())
@@ -103,24 +103,29 @@ def enriched_matches(
     compounds = filters.filter_mass(compounds, criteria.mass_min, criteria.mass_max)
     compounds = filters.filter_formula(compounds, criteria)
 
+    n_compounds = n_names = None
+    if structure or criteria.mass_active or criteria.formula_active:
+        compounds, n_compounds = counted_stage(compounds, "compounds")
     if structure and clade is None:
         rows = any_taxon(occ, compounds)
     else:
-        rows = occ.with_references(occ.core(compounds=compounds, clade=clade))
-    return filters.filter_year(rows, criteria.year_min, criteria.year_max, criteria.as_of_year)
+        names = occ.clade_names(clade)
+        if clade is not None:
+            names, n_names = counted_stage(names, "names")
+        first = n_compounds is not None and (n_names is None or n_compounds <= n_names)
+        rows = occ.with_references(occ.core(compounds=compounds, clade=names, compounds_first=first))
+    return filters.filter_year(rows, criteria.year_min, criteria.year_max)
 
 
 def any_taxon(occ: Occurrences, compounds: DataFrame) -> DataFrame:
     """C14: compounds with their occurrence block, or alone without one.
 
-    The block is inner-joined with the statements on the side that can be
-    split; compounds without a complete block are added by an anti join on
-    the distinct compounds of the statements, combined before the shuffle.
+    ``compounds`` are the stored hits. Their statements, found once and stored, give
+    both the rows and the compounds that occur; the others are added alone.
     """
-    g = occ.graph
-    found = occ.with_references(occ.core(compounds=compounds))
-    occurring = occ.in_clade(g.statements, g.taxon_names.select("t")).select("c").distinct()
-    alone = compounds.join(occurring, "c", "left_anti")
+    core = cut_lineage(occ.core(compounds=compounds.select("c").distinct(), compounds_first=True), "hits")
+    found = occ.with_references(attach(core, [(compounds, "inner")], "c", occ.heavy.of("c"), F.col("statement")))
+    alone = compounds.join(core.select("c").distinct(), "c", "left_anti")
     return found.unionByName(alone, allowMissingColumns=True)
 
 
@@ -135,7 +140,13 @@ class SearchResult:
     taxon: TaxonChoice
     matches: DataFrame  # every matching row, enriched (RDF export)
     all_rows: DataFrame  # every matching row as RESULT_ROW (other exports)
-    limit: int
+    limit: int | None
+
+    def store(self) -> "SearchResult":
+        """Run the search once: rows, counters, hashes and exports then read its stored rows."""
+        self.matches = cut_lineage(self.matches, "matches")
+        self.all_rows = result_rows(self.matches)
+        return self
 
     def persist(self) -> "SearchResult":
         """Keep the matching rows while rows, counters and hashes are read."""
@@ -162,15 +173,21 @@ class SearchResult:
 
     @cached_property
     def result_hash(self) -> DataFrame:
+        """Of the displayed rows."""
         return stats.result_hash(self.rows)
 
+    @cached_property
+    def result_digest(self) -> DataFrame:
+        """Of all matching rows, cut or not."""
+        return stats.result_digest(self.all_rows)
+
 
 def search(
     spark: SparkSession,
     graph: Graph | Occurrences,
     criteria: Criteria,
     query_bits: list[int] | None = None,
-    limit: int = ROW_LIMIT_CEILING,
+    limit: int | None = None,
     n_bits: int = 64,
 ) -> SearchResult:
     occ = graph if isinstance(graph, Occurrences) else Occurrences(graph)

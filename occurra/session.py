@@ -57,8 +57,44 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder of this session in the shared folder; ``clear_scratch`` removes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+class scratch:  # noqa: N801
+    """``with scratch(spark):`` removes the tables stored inside when the block ends.
+
+    Results have to be written or collected within the block: they read those tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.start = spark, 0
+
+    def __enter__(self) -> "scratch":
+        self.start = len(_scratch)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        clear_scratch(self.spark, self.start)
+
+
+def clear_scratch(spark: SparkSession, start: int = 0) -> None:
+    """Remove the scratch folders this process has made, from number ``start`` on.
+
+    Folders are deleted through the file system of their path, so this also works
+    in a remote store.
+    """
+    jvm = spark.sparkContext._jvm
+    for path in _scratch[start:]:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    del _scratch[start:]
 
 
 def one_row(spark: SparkSession, **values: object) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +44,17 @@ def shape_candidates(df: DataFrame) -> DataFrame:
     ).filter(F.col("name").isNotNull() & F.col("smiles").isNotNull())
 
 
+#: Bits of a ``seq`` that count within a split of a file, or within a document.
+SEQ_BITS = 33
+
+
 def read_curation_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated candidates; quotes are ordinary characters."""
+    """Tab-separated candidates; quotes are ordinary characters.
+
+    ``seq`` grows in the order of the rows in a file, and of the files by name: the
+    number of the split, then the row within it. Only splits are numbered
+    together. A ``seq`` column of the file itself is used instead.
+    """
     raw = spark.read.csv(
         path,
         sep="\t",
@@ -56,7 +65,23 @@ def read_curation_tsv(spark: SparkSession, path: str) -> DataFrame:
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
     )
-    return shape_candidates(raw)
+    if any(_header_name(c) == "seq" for c in raw.columns):
+        return shape_candidates(raw)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << SEQ_BITS) - 1)
+    placed = raw.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), within.alias("_within")
+    )
+    splits = placed.select("_file", "_start").distinct()
+    number = F.row_number().over(Window.orderBy("_file", "_start")).cast("bigint")
+    numbered = placed.join(splits.withColumn("_split", number), ["_file", "_start"])
+    seq = F.shiftleft("_split", SEQ_BITS) + F.col("_within")
+    return shape_candidates(numbered.select(*[F.col(f"`{c}`") for c in raw.columns], seq.alias("seq")))
+
+
+def sequence(rows: DataFrame, document: str = "seq", pos: str = "pos") -> DataFrame:
+    """One ``seq`` out of the number of a document (below 2**30) and the place in its array, for A8 into K6."""
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in (document, pos, "seq")]
+    return rows.select((F.shiftleft(F.col(document).cast("bigint"), SEQ_BITS) + F.col(pos)).alias("seq"), *kept)
 
 
 _ROWS = T.ArrayType(

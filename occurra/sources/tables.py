@@ -10,15 +10,41 @@ from __future__ import annotations
 from dataclasses import fields
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from occurra.model import Graph
+from occurra.operators.occurrences import Occurrences
+from occurra.operators.similarity import n_words, pack
+from occurra.operators.skew import DEFAULT_POLICY, HeavyKeys, SkewPolicy, heavy_keys
 
+PROFILE = "column string, key string, salts long"
 TABLES = tuple(f.name for f in fields(Graph))
 
 
-def write_graph(graph: Graph, folder: str) -> None:
+def write_graph(graph: Graph, folder: str, policy: SkewPolicy = DEFAULT_POLICY, n_bits: int = 64) -> None:
+    """Tables of a graph, and the skew profile of its statements, taken once for all searches.
+
+    Fingerprints are stored with their bits packed into words and sorted by size, so a
+    similarity search packs nothing and skips row groups of other sizes.
+    """
     for name in TABLES:
-        getattr(graph, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        table = getattr(graph, name)
+        if name == "fingerprints":
+            words = [pack(F.col("bits"), i).alias(f"w{i}") for i in range(n_words(n_bits))]
+            table = table.select("c", "bits", *words, F.size("bits").alias("size")).sortWithinPartitions("size")
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark = graph.statements.sparkSession
+    heavy = heavy_keys(spark.read.parquet(f"{folder}/statements"), ["c", "t", "r"], policy)
+    rows = [(column, key, salts) for column, keys in heavy.salts.items() for key, salts in keys.items()]
+    spark.createDataFrame(rows, PROFILE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/heavy_keys")
+
+
+def read_occurrences(spark: SparkSession, folder: str, policy: SkewPolicy = DEFAULT_POLICY) -> Occurrences:
+    """A stored graph with its stored profile: searches do not scan the statements for one."""
+    salts: dict[str, dict[str, int]] = {}
+    for r in spark.read.schema(PROFILE).parquet(f"{folder}/heavy_keys").collect():  # a bounded list by its making
+        salts.setdefault(r["column"], {})[r["key"]] = r["salts"]
+    return Occurrences(read_graph(spark, folder), policy, HeavyKeys(salts))
 
 
 def read_graph(spark: SparkSession, folder: str) -> Graph:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from occurra.functions import text as tx
 from occurra.model import TAXON_CLASS, Graph
 from occurra.operators.skew import DEFAULT_POLICY, SkewPolicy, attach, heavy_keys
 
@@ -59,14 +60,14 @@ def graph_tables(
         taxon_parent=scan(triples, PARENT_TAXON, "child", "parent"),
         instance_of=scan(triples, INSTANCE_OF, "t", "class").filter(F.col("class") == TAXON_CLASS).select("t"),
         smiles_iso=scan(triples, SMILES_ISO, "c", "v"),
-        mass=scan(triples, MASS, "c", "v").select("c", F.col("v").try_cast("double").alias("v")),
+        mass=scan(triples, MASS, "c", "v").select("c", tx.parse_number(F.col("v")).alias("v")),
         formula_raw=scan(triples, FORMULA, "c", "v"),
         inchi=scan(triples, INCHI, "c", "v"),
         labels=triples.filter(F.col("p") == LABEL).select(
             F.col("s").alias("c"), F.col("o").alias("v"), "lang"
         ),
         ref_title=scan(triples, TITLE, "r", "v"),
-        ref_doi=scan(triples, DOI, "r", "v").select("r", F.upper("v").alias("v")),
+        ref_doi=scan(triples, DOI, "r", "v"),
         ref_date=scan(triples, DATE, "r", "v").select("r", F.col("v").try_cast("timestamp_ntz").alias("v")),
         fingerprints=fingerprints
         if fingerprints is not None
@@ -111,11 +112,11 @@ def graph_triples(graph: Graph) -> DataFrame:
 def write_triples(triples: DataFrame, path: str) -> None:
     """Parquet partitioned by predicate.
 
-    Rows are spread by (predicate, subject), not by predicate alone: one
-    predicate may hold a third of the graph.
+    Rows are rebalanced by predicate: small predicates end up in few files, and a
+    predicate or subject with a third of the graph is split at run time.
     """
     (
-        triples.repartition("p", "s")
+        triples.hint("rebalance", "p")
         .sortWithinPartitions("p")
         .write.mode("overwrite")
         .partitionBy("p")
