@@ -31,6 +31,8 @@ from occurra.llm.components import components, fitted
 from occurra.session import counted_stage, cut_lineage
 
 BAND_RATIO = 1.5
+#: Segments of a band that have one-deletion neighbourhoods, at least: what short texts can give up frequent segments for.
+LEAST_DEEP = 8
 #: A shingle is noted as frequent where it is in at least this share of a batch's documents.
 FREQUENT_SHARE = 1 / 200
 #: Longest list of frequent shingles given to the cost model; it holds hints, results do not depend on it.
@@ -38,8 +40,10 @@ FREQUENT_MOST = 1 << 18
 #: Rows of one index bucket in one task; the buckets of more frequent contents are salted.
 BUCKET_ROWS = 20_000
 HUB_ROUNDS = 3
+#: Words of 64 bits in the shortest sketch.
+FOLD_WORDS = 4
 #: Members that are left meet directly once that makes at most so many pairs a member of a bucket.
-DIRECT_PAIRS = 4
+DIRECT_PAIRS = 64
 
 _ROW, _FREQUENT, _EMPTY = 0, 1, 2
 
@@ -74,7 +78,7 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
     A shingle that only one of two sets has flips one bit, so the bits in which two sketches differ are at most the
     shingles in which the sets do. Halves of a sketch folded on each other are the sketch of half the length.
     """
-    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    bits = max(64 * FOLD_WORDS, 1 << max(0, 2 * len(tokens) - 1).bit_length())
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -103,7 +107,7 @@ class Bands:
         """Segments, and how many of them have one-deletion neighbourhoods."""
         top = int(self.starts[band + 1]) - 1
         m = self.most_apart(top, top) + 1
-        return m, min(m, 2 + -(-3 * m // 100))
+        return m, min(m, max(LEAST_DEEP, 2 + -(-3 * m // 100)))
 
     def needs_empty(self, tokens: np.ndarray) -> list[tuple[int, int]]:
         """Empty segments a set has to look up because the others cannot hold the sum."""
@@ -430,7 +434,7 @@ def ngram_jaccard_join(
         of_sig = of_comp.groupBy("sig").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs"))
         pairs = of_sig.agg(F.sum("pairs")).first()[0] / 2
         last = step > HUB_ROUNDS or pairs <= DIRECT_PAIRS * n_members
-        asked = _direct_pairs(unsettled) if last else _hub_pairs(unsettled, step)
+        asked = _direct_pairs(unsettled, classes, percent) if last else _hub_pairs(unsettled, step)
         found, n_found = _verified(texts, classes, asked, left, width, percent)
         if n_found:
             links, n_links = links.unionAll(found), n_links + n_found
@@ -481,12 +485,33 @@ def _hub_pairs(unsettled: DataFrame, step: int) -> DataFrame:
     return met.select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _direct_pairs(unsettled: DataFrame) -> DataFrame:
-    """What the hubs left: members of different components of which one looks the bucket up."""
-    one = unsettled.select("sig", F.col("id").alias("a"), F.col("comp").alias("of_a"), F.col("look").alias("asks"))
-    two = unsettled.select("sig", F.col("id").alias("b"), F.col("comp").alias("of_b"), F.col("look").alias("asked"))
-    met = one.join(two, "sig").filter("a < b AND of_a <> of_b AND (asks OR asked)")
-    return met.select("a", "b").distinct()
+def _direct_pairs(unsettled: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """What the hubs left: members of different components of which one looks the bucket up.
+
+    Sizes and folded sketches are part of the join condition, so a pair that they rule out is never written.
+    """
+    folded = classes.select(_short(F.col("ida")).alias("id"), "n", *_folded(F.col("sketch")))
+    words = [f"w{i}" for i in range(FOLD_WORDS)]
+    rows = unsettled.join(folded, "id")
+    one, two = rows.alias("x"), rows.alias("y")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    apart = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in words), F.lit(0))
+    on = (
+        (x("sig") == y("sig")) & (x("id") < y("id")) & (x("comp") != y("comp")) & (x("look") | y("look"))
+        & (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n")))
+        & ((100 + percent) * apart <= (100 - percent) * (x("n") + y("n")))
+    )
+    return one.join(two, on).select(x("id").alias("a"), y("id").alias("b")).distinct()
+
+
+def _folded(sketch: Column) -> list[Column]:
+    """A sketch folded to ``FOLD_WORDS`` words, the shortest one there is."""
+
+    def word(k: int) -> Column:
+        own = F.filter(sketch, lambda _, i: i % FOLD_WORDS == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)).alias(f"w{k}")
+
+    return [word(k) for k in range(FOLD_WORDS)]
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
