@@ -180,7 +180,9 @@ class Bands:
             of = np.repeat(chosen, n)
             rest = np.ones(len(where), dtype=np.int64)
             if often.max() > bucket_rows:
-                for j in np.flatnonzero(counts[of] > 1):
+                # what is left without one shingle is frequent only where at most one is not
+                rare = np.add.reduceat((often <= bucket_rows).astype(np.int64), starts)
+                for j in np.flatnonzero(rare[of] <= 1):
                     others = np.delete(often[starts[of[j]] : starts[of[j]] + counts[of[j]]], where[j] - starts[of[j]])
                     rest[j] = others.min()
             salts = 1 + rest // bucket_rows
