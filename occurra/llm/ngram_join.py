@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from occurra.llm.common import as_bytes, ascii_lower, batch_words, key_filter, mix, passes_filter, records, split_by_keys, window_hashes
@@ -41,7 +41,7 @@ FREQUENT_MOST = 1 << 18
 BUCKET_ROWS = 20_000
 HUB_ROUNDS = 3
 #: Words of 64 bits in the shortest sketch.
-FOLD_WORDS = 4
+FOLD_WORDS = 8
 #: Members that are left meet directly once that makes at most so many pairs a member of a bucket.
 DIRECT_PAIRS = 64
 
@@ -425,11 +425,13 @@ def ngram_jaccard_join(
     asked = pair("first", "id", members).unionAll(pair("top", "first", salted)).distinct()
     links, n_links = _verified(texts, classes, asked, n_members, width, percent)
     reached = components(links, n_links)
+    hubs = members.select("sig", F.col("first").alias("id"), F.lit(True).alias("look"))
+    unsettled = members.select("sig", "id", "look").unionAll(hubs).distinct()
     for step in range(1, HUB_ROUNDS + 2):
         by_id = classes.join(reached, F.col("rep") == F.col("node"), "left").select(
             _short(F.col("ida")).alias("id"), F.coalesce("label", "rep").alias("comp")
         )
-        unsettled, left = counted_stage(fitted(_unsettled(members, by_id), n_members), "unsettled")
+        unsettled, left = counted_stage(fitted(_unsettled(unsettled.select("sig", "id", "look"), by_id), n_members), "unsettled")
         if not left:
             break
         of_comp = unsettled.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
@@ -452,17 +454,16 @@ def ngram_jaccard_join(
     )
 
 
-def _unsettled(members: DataFrame, by_id: DataFrame) -> DataFrame:
-    """``sig, id, look, comp`` of the buckets whose members are not all in one component."""
-    hubs = members.select("sig", F.col("first").alias("id"), F.lit(True).alias("look"))
-    seen = members.select("sig", "id", "look").unionAll(hubs).distinct().join(by_id, "id")
-    mixed = (
-        seen.groupBy("sig")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
-        .filter("lo < hi AND size > 2")
-        .select("sig")
+def _unsettled(rows: DataFrame, by_id: DataFrame) -> DataFrame:
+    """``sig, id, look, comp`` of the buckets whose members are not all in one component. A bucket of two has met."""
+    bucket = Window.partitionBy("sig")
+    seen = rows.join(by_id, "id").select("sig", "id", "look", "comp")
+    marked = seen.select(
+        "*",
+        (F.min("comp").over(bucket) < F.max("comp").over(bucket)).alias("mixed"),
+        F.count(F.lit(1)).over(bucket).alias("size"),
     )
-    return seen.join(mixed, "sig", "left_semi")
+    return marked.filter("mixed AND size > 2").drop("mixed", "size")
 
 
 def _may_link(percent: int, size_x: Column, sketch_x: Column, size_y: Column, sketch_y: Column) -> Column:
