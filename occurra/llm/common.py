@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows handed to Python at once. Texts may be long, and a worker holds a batch in several forms.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the batches of its session: memory per task then does not depend on Spark's default of 10,000 rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def as_bytes(text: str | None) -> bytes:
     """UTF-8 of a text; nothing for NULL. Lone surrogates do not end the job."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

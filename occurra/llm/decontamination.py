@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occurra.llm.common import mix, records
+from occurra.llm.common import mix, records, small_batches
 
 Q = 8
 #: Edits allowed per character of an item.
@@ -189,7 +189,7 @@ def contaminated_regions(
     NULL items match nothing; an item listed twice under one id is reported once per place. Rows without ids are searched
     like others and reported with NULL.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "doc_id long, item_id long, first long, past long, edits int"
     out = docs.sparkSession.createDataFrame([], schema)
     for index in _blocks(benchmark, q, rate):
@@ -213,6 +213,7 @@ def contaminated_regions(
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERROR_RATE) -> DataFrame:
     """The rows of ``docs`` in which no item of the benchmark is found, unchanged."""
+    docs = small_batches(docs)
     for index in _blocks(benchmark, q, rate):
         docs = docs.filter(_clean(index)(F.col("text").cast("string")))
     return docs

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occurra.llm.common import records
+from occurra.llm.common import records, small_batches
 from occurra.session import cut_lineage
 
 ORDERS = (2, 3)
@@ -105,7 +105,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows:
     About ``rows`` of them, by a hash of the text; all if there are fewer. Class frequencies are those of
     the sample.
     """
-    labelled = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter(
+    labelled = small_batches(docs).select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter(
         "text IS NOT NULL AND lang IS NOT NULL"
     )
     there = docs.filter(F.col(f"`{lang_col}`").isNotNull()).count()

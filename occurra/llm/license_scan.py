@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occurra.llm.common import records
+from occurra.llm.common import records, small_batches
 
 THRESHOLD = 0.8
 
@@ -170,6 +170,6 @@ def license_scan(
                 names=["doc_id", "license", "first_line", "last_line", "dice"],
             )
 
-    return docs.select(
+    return small_batches(docs).select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
     ).mapInArrow(run, "doc_id long, license string, first_line long, last_line long, dice double")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from occurra.llm.common import as_bytes, ascii_lower, batch_words, key_filter, mix, passes_filter, records, split_by_keys, window_hashes
+from occurra.llm.common import as_bytes, ascii_lower, batch_words, key_filter, mix, passes_filter, records, small_batches, split_by_keys, window_hashes
 from occurra.llm.components import components, fitted
 from occurra.session import counted_stage, cut_lineage
 
@@ -373,7 +373,7 @@ def ngram_jaccard_join(
     document. A row without an id keeps its size; its component is that of its equal texts, or NULL.
     Repeated rows come out as often as they go in; other columns of the input are not looked at.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     stored = cut_lineage(
         texts.mapInArrow(
             _profile(width, percent),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occurra.llm.common import as_bytes, batch_words, records, window_hashes
+from occurra.llm.common import as_bytes, batch_words, records, small_batches, window_hashes
 from occurra.session import cut_lineage
 
 REPEAT_WINDOW = 8
@@ -151,7 +151,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             found = statistics(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c) for c in found.T]], names=["doc_id", *names])
 
-    return docs.select(
+    return small_batches(docs).select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
     ).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 

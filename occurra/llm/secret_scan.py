@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occurra.llm.common import as_bytes, ascii_lower, of_kind, records, split_by_keys
+from occurra.llm.common import as_bytes, ascii_lower, of_kind, records, small_batches, split_by_keys
 from occurra.session import cut_lineage
 
 
@@ -103,7 +103,7 @@ def scan(
             .select("blob", "keeper", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
             .filter(F.size("todo") > 0)
         )
-    texts = docs.select(
+    texts = small_batches(docs).select(
         F.col(f"`{id_col}`").alias("id"),
         blob_of(F.col(f"`{text_col}`")).alias("of"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),

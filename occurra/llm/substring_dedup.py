@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from occurra.llm.common import as_bytes, mix, records, window_hashes
+from occurra.llm.common import as_bytes, mix, records, small_batches, window_hashes
 from occurra.session import cut_lineage
 
 #: A boundary depends on this many bytes; a power of two.
@@ -99,7 +99,7 @@ def chunk_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     names=["digest", "doc", "place", "words"],
                 )
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
         run, "digest long, doc long, place long, words long"
     )
 
