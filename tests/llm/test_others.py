@@ -135,6 +135,33 @@ def test_wrapped_and_changed_notices():
     assert index.matches("the license was under the table") == [] and index.matches(None) == [] and index.matches("\n\n") == []
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("some words\nAll rights reserved.\nmore", [("All-Rights-Reserved", 1, 1)]),
+        ("(c) 2024 Foo. Released under the MIT License. See the file for details and contact us.", [("MIT", 0, 0)]),
+        (
+            "/* Licensed under the Apache License, Version 2.0 (the \"License\"); you may not\n * use this file except in compliance "
+            "with the License. You may obtain a copy of\n * the License at http://www.apache.org/licenses/LICENSE-2.0 */\nint main() {\n"
+            "  return run(first, second, third) + walk(first, second, third) + step(first, second, third);\n}",
+            [("Apache-2.0", 0, 2)],
+        ),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", [("AGPL-3.0-only", 0, 0)]),
+        ("This work is licensed under the GNU General Public License, version 3 or later.", [("GPL-3.0-or-later", 0, 0)]),
+        ("This work is licensed under the GNU General Public License, version 1.", []),
+        ("This work is licensed under the GNU General Public License, version 3.0.", [("GPL-3.0-only", 0, 0)]),
+        ("Licensed under the Apache License, Version 1.1.", []),
+        ("Licensed under CC BY-ND 4.0. Released under the MIT License.", [("CC-BY-ND-4.0", 0, 0), ("MIT", 0, 0)]),
+        ("before that " * 50 + license_scan._ISC_GRANT + ", " + license_scan._ISC_TERMS + " and after" * 50, [("ISC", 0, 0)]),
+        (f"1. {license_scan._BSD_TERMS}\n{license_scan._BSD_WARRANTY}", [("BSD-2-Clause", 0, 1)]),
+        (f"{license_scan._BSD_TERMS} {license_scan._BSD_NAMES}\n{license_scan._BSD_WARRANTY}", [("BSD-3-Clause", 0, 1)]),
+        ("# SPDX-License-Identifier: LGPL-2.1-or-later", [("LGPL-2.1-or-later", 0, 0)]),
+    ],
+)
+def test_notices_inside_running_text(text, want):
+    assert [m[:3] for m in license_scan.Templates().matches(text)] == want
+
+
 def test_licences_of_odd_rows(odd_documents):
     assert license_scan.license_scan(odd_documents).collect() == []
     assert license_scan.license_scan(odd_documents.limit(0)).collect() == []
