@@ -3,7 +3,9 @@
 A gear hash rolls over the bytes of a text; where its last bits are zero a chunk ends. The hash depends on
 the last few bytes only, so an insertion moves the boundaries next to it and no others, and equal
 passages are cut alike wherever they stand. Short chunks recur by chance in a large corpus, so what is digested
-(64 bits) is every run of ``WINDOW`` chunks. A digest found in more than one document belongs to the smallest id;
+(64 bits) is every run of ``WINDOW`` chunks. How many whole runs a passage holds is chance, so runs of ``RUN_WORDS``
+words are digested too: of each ``PASSAGE_WORDS`` words in a row, the run in them with the least hash. Documents that
+share that many words share such a run. A digest found in more than one document belongs to the smallest id;
 where it stands in others is a repeat, and repeats that touch make one passage.
 """
 
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from occurra.llm.common import as_bytes, mix, records, small_batches, window_hashes
+from occurra.llm.common import as_bytes, batch_words, mix, records, small_batches, window_hashes
 from occurra.session import cut_lineage
 
 #: A boundary depends on this many bytes; a power of two.
@@ -28,9 +30,10 @@ CUT_BITS = 4
 LEAST, MOST = 8, 128
 #: Chunks under one digest.
 WINDOW = 4
-#: A repeat is reported from so many words on. What is left of a passage of 50 words after the chunks that its ends
-#: cut through is longer.
+#: A repeat is reported from so many words on, the length of a digested run of words.
 RUN_WORDS = 25
+#: A repeat of so many words or more is always reported.
+PASSAGE_WORDS = 50
 
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -61,8 +64,26 @@ def boundaries(data: bytes) -> np.ndarray:
     return np.array(ends, dtype=np.int64)
 
 
+#: Windows compared at once; bounds the memory for a long text.
+_BLOCK = 1 << 14
+
+
+def word_runs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the first word, and hash, of the runs of ``RUN_WORDS`` words that are least among those of ``PASSAGE_WORDS`` words."""
+    hashes = [h for _, _, h, _, _ in batch_words([data])]
+    runs = window_hashes(hashes[0], RUN_WORDS) if hashes else np.empty(0, dtype=np.uint64)
+    wide = PASSAGE_WORDS - RUN_WORDS + 1
+    n = len(runs) - wide + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(runs, wide)
+    least = np.concatenate([windows[a : a + _BLOCK].argmin(axis=1) + np.arange(a, min(a + _BLOCK, n)) for a in range(0, n, _BLOCK)])
+    firsts = np.unique(least)
+    return firsts, runs[firsts]
+
+
 def chunk_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``digest, doc, place, words``: one row per run of ``WINDOW`` chunks, or one for a shorter text.
+    """``digest, doc, place, words``: one row per run of ``WINDOW`` chunks, or one for a shorter text, and one per run of ``word_runs``.
 
     ``place`` packs the first byte and the number of bytes, ``words`` the numbers of the first word and of the
     word after the last.
@@ -78,7 +99,8 @@ def chunk_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ends = boundaries(data)
                 starts = np.append(0, ends[:-1])
                 blank = _BLANK[np.frombuffer(data, dtype=np.uint8)]
-                begins = np.cumsum(~blank & np.append(True, blank[:-1]))
+                opens = ~blank & np.append(True, blank[:-1])
+                begins = np.cumsum(opens)
                 upto = begins[ends - 1]
                 each = [xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 width = min(WINDOW, len(ends))
@@ -86,8 +108,16 @@ def chunk_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 last = slice(width - 1, None)
                 starts, upto_first = starts[: len(ends) - width + 1], np.append(0, upto[:-1])[: len(ends) - width + 1]
                 owners.append(np.full(len(starts), key, dtype=np.int64))
-                places.append((starts << 10) | (ends[last] - starts))
+                places.append((starts << 32) | (ends[last] - starts))
                 counts.append((upto_first << 32) | upto[last])
+                numbers, hashes = word_runs(data)
+                if len(numbers):
+                    closes = np.flatnonzero(~blank & np.append(blank[1:], True)) + 1
+                    starts = np.flatnonzero(opens)[numbers]
+                    digests.append(hashes)
+                    owners.append(np.full(len(numbers), key, dtype=np.int64))
+                    places.append((starts << 32) | (closes[numbers + RUN_WORDS - 1] - starts))
+                    counts.append((numbers << 32) | (numbers + RUN_WORDS))
             if owners:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -107,7 +137,8 @@ def chunk_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = RUN_WORDS) -> DataFrame:
     """``doc_id, first, past, n_words, owner_id``: passages of ``docs`` that stand in a document of smaller id too.
 
-    Places are bytes of the UTF-8 text. The owner of a passage, the smallest id that has its first chunks, keeps
+    With the default of ``least_words`` every repeat of ``PASSAGE_WORDS`` words or more gives a row, which covers its whole
+    runs and may leave out words at its ends. Places are bytes of the UTF-8 text. The owner of a passage, the smallest id that has its first chunks, keeps
     it and gives no row for it. A repeat within one document is none. Rows that share an id are one document, rows without
     an id, and NULL and empty texts, have no passages.
     """
@@ -120,8 +151,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .filter("doc <> owner")
         .select(
             "doc",
-            F.shiftright("place", 10).alias("start"),
-            (F.shiftright("place", 10) + F.col("place").bitwiseAND(1023)).alias("stop"),
+            F.shiftright("place", 32).alias("start"),
+            (F.shiftright("place", 32) + F.col("place").bitwiseAND((1 << 32) - 1)).alias("stop"),
             F.shiftright("words", 32).alias("word"),
             F.col("words").bitwiseAND((1 << 32) - 1).alias("past_word"),
             "owner",

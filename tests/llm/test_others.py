@@ -95,6 +95,28 @@ def test_repeated_passages_are_found_and_clean_texts_left_alone(documents):
     assert all(len(cut[i]) < len(texts[i]) for i, group in held.items() if i != group[0])
 
 
+def short_words(rng, n, least, most):
+    return " ".join("".join(rng.choices("0123456789abcdefghijklmnop", k=rng.randint(least, most))) for _ in range(n))
+
+
+@pytest.mark.parametrize("least, most", [(1, 1), (1, 3), (2, 2), (3, 4)])
+def test_no_passage_of_fifty_short_words_is_missed(documents, least, most):
+    rng = random.Random(11)
+    passages = [short_words(rng, 50, least, most) for _ in range(150)]
+    texts = [f"{short_words(rng, 40, 2, 5)} {p} {short_words(rng, 40, 2, 5)}" for _ in range(2) for p in passages]
+    found = {r.doc_id: r for r in substring_dedup.repeated_passages(documents(texts)).collect()}
+    assert {i: r.owner_id for i, r in found.items()} == {150 + i: i for i in range(150)}
+    for i, r in found.items():
+        assert texts[i].encode()[r.first : r.past].decode() in texts[i - 150] and 25 <= r.n_words <= 52
+
+
+def test_word_runs_of_long_and_even_texts():
+    words = [b"%d" % (i * i % 977) for i in range(substring_dedup._BLOCK * 2 + 100)]
+    firsts, hashes = substring_dedup.word_runs(b" ".join(words))
+    assert np.diff(np.concatenate([[-1], firsts, [len(words) - 24]])).max() <= 26
+    assert len(substring_dedup.word_runs(b"w " * 49)[0]) == 0 and len(substring_dedup.word_runs(b"w " * 50)[0]) == 1
+
+
 def test_chunks_of_odd_rows(odd_documents):
     assert substring_dedup.repeated_passages(odd_documents).collect() == []
     assert substring_dedup.without_repeats(odd_documents).count() == 9
