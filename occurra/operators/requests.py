@@ -285,8 +285,8 @@ def _count(value: Column) -> Column:
 
 
 def decode_share_params(df: DataFrame, url: str, as_of_year: int) -> DataFrame:
-    """Criteria columns out of a URL column."""
-    kept = [c for c in df.columns if c not in CRITERIA_COLUMNS]
+    """Criteria columns out of a URL column, and ``year_max_given``, as ``year_max`` is filled."""
+    kept = [c for c in df.columns if c not in (*CRITERIA_COLUMNS, "year_max_given")]
     # parameters first, each read from the text once, then the criteria
     read = ("taxon", "structure", "smiles", "structure_search_type", "smiles_search_type", *SHARE_KEYS)
     parsed = df.select(*kept, share_query(F.col(url)).alias("_query"))
@@ -321,7 +321,10 @@ def decode_share_params(df: DataFrame, url: str, as_of_year: int) -> DataFrame:
     for state in _STATES:
         columns[state] = F.coalesce(F.when(formula, _state(p(state))), F.lit("allowed"))
     return parsed.select(
-        *kept, *[c.alias(n) for n, c in columns.items()], formula.alias("formula_enabled")
+        *kept,
+        *[c.alias(n) for n, c in columns.items()],
+        formula.alias("formula_enabled"),
+        F.coalesce(year & _count(p("year_end")).isNotNull(), F.lit(False)).alias("year_max_given"),
     )
 
 

@@ -3,8 +3,11 @@ from pyspark.sql import functions as F
 
 from occurra.model import Criteria
 from occurra.operators import ordering, stats
+from occurra.operators import requests as rq
+from occurra.operators.occurrences import Occurrences
 from occurra.operators.taxonomy import descendants, descendants_of_each
 from occurra.plans import curate as plan
+from occurra.plans.requests import search_requests
 from occurra.plans.search import search
 from occurra.sinks.files import export, write_results_csv
 from occurra.sources import candidates as cand
@@ -40,6 +43,17 @@ def test_open_year_keeps_what_comes_later(spark):
     assert rows.agg(F.max("pub_year")).first()[0] > 1997 >= closed.agg(F.max("pub_year")).first()[0]
 
 
+def test_requests_without_an_upper_year_keep_what_comes_later(spark):
+    occ = Occurrences(star.graph(spark, SF))
+    asked = spark.createDataFrame([("open", "Q10", 1993, None), ("closed", "Q10", 1993, 1996)], "req_id string, taxon string, year_min int, year_max int")
+    links = spark.createDataFrame([("link", "?taxon=Q10&year_filter=true&year_start=1993"), ("end", "?taxon=Q10&year_filter=true&year_end=1996")], "req_id string, url string")
+    # the year of the requests is before the last publications
+    for requests, cut, whole in ((asked, "closed", "open"), (rq.decode_share_params(links, "url", 1996).drop("formula_enabled"), "end", "link")):
+        rows, _ = search_requests(occ, requests, 1996)
+        years = {r["req_id"]: r["y"] for r in rows.groupBy("req_id").agg(F.max("pub_year").alias("y")).collect()}
+        assert years[whole] > 1996 >= years[cut]
+
+
 def test_clades_of_many_roots(spark):
     edges = star.view(spark, SF, "taxon_parent")
     roots = ["Q1", "Q10", "Q101", "Q1003", "nowhere"]
