@@ -127,7 +127,8 @@ GROUP BY q.req_id""",
 )
 def search_requests_query(spark, folder):
     requests = star.run_sql(spark, folder, _REQUESTS)
-    rows, _ = search_requests(Occurrences(star.graph(spark, folder)), requests, 2025)
+    # the SQL has no rows for requests for all taxa
+    rows, _ = search_requests(Occurrences(star.graph(spark, folder)), requests, 2025, all_taxa=False)
     return rows.groupBy("req_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("compound_qid").alias("n_compounds"),

@@ -54,6 +54,23 @@ def test_requests_without_an_upper_year_keep_what_comes_later(spark):
         assert years[whole] > 1996 >= years[cut]
 
 
+def test_requests_for_all_taxa_are_answered(spark):
+    graph = star.graph(spark, SF)
+    asked = spark.createDataFrame(
+        [("star", "*", 915.0, "excluded", None), ("none", None, 905.0, "excluded", 1996), ("clade", "Q10", 905.0, "excluded", None)],
+        "req_id string, taxon string, mass_min double, cl_state string, year_min int",
+    )
+    rows, resolved = search_requests(Occurrences(graph), asked, 2025)
+    got = {r["req_id"]: [] for r in asked.collect()}
+    for r in rows.collect():
+        got[r["req_id"]].append(tuple(r)[1:])
+    for r in asked.collect():
+        criteria = Criteria(taxon=r["taxon"] or "", mass_min=r["mass_min"], year_min=r["year_min"] or 1800, formula_enabled=True, halogens={"Cl": "excluded"})
+        want = search(spark, graph, criteria).all_rows
+        assert got[r["req_id"]] and sorted(map(repr, got[r["req_id"]])) == sorted(repr(tuple(w)) for w in want.collect())
+    assert resolved.filter("fault IS NOT NULL").isEmpty()
+
+
 def test_clades_of_many_roots(spark):
     edges = star.view(spark, SF, "taxon_parent")
     roots = ["Q1", "Q10", "Q101", "Q1003", "nowhere"]
