@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from occurra.llm import centroid_clusters as centroids
 from occurra.llm import chat_format as chat
-from occurra.llm import mixing
+from occurra.llm import mixing, periodic_runs
 from occurra.llm.common import table
 from occurra.llm.decontamination import contaminated_regions
 from occurra.llm.language_id import language_id
 from occurra.llm.license_scan import license_scan
 from occurra.llm.ngram_join import ngram_jaccard_join
-from occurra.llm.periodic_runs import run_digests
 from occurra.llm.pii import personal_data
 from occurra.llm.quality_rules import quality_rules
 from occurra.llm.secret_scan import secret_scan
@@ -71,7 +70,7 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_digests(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -84,4 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE_SQL, "op6_chat_formatting": chat.ORACLE_SQL, "op12_centroid_clusters": centroids.ORACLE_SQL}
+    return {
+        "op3_source_mixing": mixing.ORACLE_SQL,
+        "op6_chat_formatting": chat.ORACLE_SQL,
+        "op12_centroid_clusters": centroids.ORACLE_SQL,
+        "op13_periodic_runs": periodic_runs.ORACLE_SQL,
+    }

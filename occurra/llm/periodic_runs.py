@@ -233,3 +233,55 @@ def run_digests(docs: DataFrame) -> DataFrame:
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: Brute force over anchors: a run of period q holds three equal blocks from some multiple of q on.
+ORACLE_SQL = r"""
+WITH base AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_reduce(list_concat([CAST(4294967295 AS UBIGINT)],
+      flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+        lambda k: list_transform(range(8), lambda b: CAST((ascii(substr(CAST(doc_id AS VARCHAR), k, 1)) >> b) & 1 AS UBIGINT))))),
+      lambda c, b: xor(c >> 1, CAST(3988292384 AS UBIGINT) * (xor(c, b) & 1))) AS c
+  FROM documents
+), hashed AS (
+  SELECT row_number() OVER () AS r, doc_id, w, CAST(len(w) AS BIGINT) AS n, CAST(xor(c, CAST(4294967295 AS UBIGINT)) AS BIGINT) AS h FROM base
+), parted AS (
+  SELECT r, doc_id, w, n, h % 10 = 0 AND n > 0 AS planted, (h // 10) % greatest(n, 1) AS a, 3 + (h // 10) % 8 AS f FROM hashed
+), texts AS (
+  SELECT r, doc_id, n, CASE WHEN planted THEN
+    list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i + 1 ELSE 1 + a + (i - a) % (1 + (n - a) // f) END]) ELSE w END AS w
+  FROM parted
+), periods AS (
+  SELECT r, n, w, unnest(range(1, n // 4 + 1)) AS q FROM texts WHERE n >= 6
+), anchors AS (
+  SELECT r, n, w, q, unnest(range(0, n - 3 * q, q)) AS i FROM periods
+), candidates AS (
+  SELECT DISTINCT r, q FROM anchors
+  WHERE w[i + 1] = w[i + q + 1] AND w[i + q + 1] = w[i + 2 * q + 1] AND w[i + 2 * q + 1] = w[i + 3 * q + 1]
+    AND w[i + 1 : i + 2 * q] = w[i + q + 1 : i + 3 * q]
+), places AS (
+  SELECT c.r, c.q, t.w, unnest(range(0, t.n - c.q)) AS j FROM candidates c JOIN texts t ON c.r = t.r
+), equal AS (
+  SELECT r, q, j, j - row_number() OVER (PARTITION BY r, q ORDER BY j) AS island FROM places WHERE w[j + 1] = w[j + q + 1]
+), stretches AS (
+  SELECT r, q, min(j) AS s, count(*) + q AS l FROM equal GROUP BY r, q, island
+), runs AS (
+  SELECT r, s, l, min(q) AS p FROM stretches WHERE l >= greatest(6, 4 * q) GROUP BY r, s, l
+), ranked AS (
+  SELECT r, s, l, p, row_number() OVER (PARTITION BY r ORDER BY l DESC, s, p) AS place FROM runs
+), summed AS (
+  SELECT r, count(*) AS n_runs, sha256(string_agg(concat(s, ',', l, ',', p, chr(10)), '' ORDER BY s, p)) AS h FROM runs GROUP BY r
+), words AS (
+  SELECT t.r, t.w, unnest(range(0, t.n)) AS i FROM texts t JOIN summed m ON t.r = m.r
+), dropped AS (
+  SELECT DISTINCT r, unnest(range(s + p, s + l)) AS i FROM runs
+), collapsed AS (
+  SELECT words.r, string_agg(words.w[words.i + 1], ' ' ORDER BY words.i) AS x FROM words
+  LEFT JOIN dropped d ON words.r = d.r AND words.i = d.i WHERE d.i IS NULL GROUP BY words.r
+)
+SELECT t.doc_id, CAST(coalesce(m.n_runs, 0) AS BIGINT) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.l AS BIGINT) AS length, CAST(b.p AS BIGINT) AS period,
+  CAST(1000 * b.l // b.p AS BIGINT) AS exponent_milli, coalesce(m.h, sha256('')) AS runs_sha256,
+  sha256(CASE WHEN m.r IS NULL THEN array_to_string(t.w, ' ') ELSE coalesce(x.x, '') END) AS collapsed_sha256
+FROM texts t LEFT JOIN summed m ON t.r = m.r LEFT JOIN ranked b ON t.r = b.r AND b.place = 1 LEFT JOIN collapsed x ON t.r = x.r
+"""

@@ -36,6 +36,8 @@ GRAM, TIMES, DEVIATIONS = 5, 4.0, 6.0
 #: Bytes gained, counted from each of these on.
 GAINS = np.arange(1, 9)
 THRESHOLD = 0.7
+#: Tables large enough for every place of a dictionary, searched in depth: what a level picks for small inputs misses matches.
+SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 6, "min_match": 4, "target_length": 32}
 #: zstandard looks for no match in the last bytes of its input; these go behind every window.
 _TAIL = b"\n" * 12
 #: Compressed windows remembered by a task before it starts afresh.
@@ -55,24 +57,28 @@ def _grams(window: bytes) -> set[bytes]:
     return {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
 
 
-def _compressor(dictionary: zstandard.ZstdCompressionDict) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters.from_level(
-        3, strategy=zstandard.STRATEGY_GREEDY, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False
-    )
-    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params)
+def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    params = zstandard.ZstdCompressionParameters(**SEARCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), compression_params=params)
+
 
+def _dictionary(samples: list[tuple[bytes, int]], repeat: int = 1) -> bytes:
+    """A dictionary trained on ``(window, number of surroundings)``, shown ``repeat`` times each.
 
-def _dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; the plain text where there is too little to train on."""
+    What room training leaves, as it does where few windows differ, is filled with windows that the content lacks;
+    frequent ones stand last, where references are shortest.
+    """
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=48, d=6).as_bytes()
+        trained = zstandard.train_dictionary(DICTIONARY_BYTES, [w for w, _ in samples] * repeat, k=48, d=6).as_bytes()
     except zstandard.ZstdError:
-        # at least 8 bytes, and no magic number at its start
-        return (b"\n" * 8 + b"".join(samples))[-DICTIONARY_BYTES:].rjust(8)
-
-
-def _loaded(content: bytes) -> zstandard.ZstdCompressionDict:
-    return zstandard.ZstdCompressionDict(content)
+        # too little to train on: plain content, at least 8 bytes without the magic number
+        trained = b"\n" * 8
+    more, room = [], DICTIONARY_BYTES - len(trained)
+    for window, _ in sorted(samples, key=lambda x: (-x[1], x[0])):
+        if window not in trained and len(window) <= room:
+            more.append(window)
+            room -= len(window)
+    return trained + b"".join(reversed(more))
 
 
 @dataclass
@@ -100,7 +106,7 @@ class Gains:
     """Features of texts: how many windows gain how much from the toxic dictionary. One per task."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = _compressor(_loaded(toxic)), _compressor(_loaded(ordinary))
+        self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
         self.known: dict[bytes, int] = {}
 
     def of(self, window: bytes) -> int:
@@ -220,13 +226,8 @@ def train(texts: DataFrame) -> Model:
     toxic, ordinary = train_windows(small_batches(rows.filter(~for_curve).select("text", "toxic")))
     if not toxic or not ordinary:
         return Model(base=base)
-    # a frequent window counts more, though not without bound; few windows are shown several times
-    repeat = 1 + 8_000 // len(toxic)
-    model = Model(
-        _dictionary([w for w, n in toxic for _ in range(repeat * min(n, 16))]),
-        _dictionary([w for w, n in ordinary for _ in range(min(n, 16))]),
-        base,
-    )
+    # few windows are shown several times
+    model = Model(_dictionary(toxic, 1 + 8_000 // len(toxic)), _dictionary(ordinary), base)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = model.gains()
