@@ -210,16 +210,18 @@ def train_windows(texts: DataFrame) -> tuple[list[tuple[bytes, int]], list[tuple
     return tuple([(bytes(r["window"]), r["n"]) for r in part.select("window", "n").collect()] for part in (toxic, ordinary))
 
 
-def train(texts: DataFrame) -> Model:
-    """Learn from ``texts`` (``id, text, toxic``), of which one row per id counts.
+def train(texts: DataFrame, marks: DataFrame) -> Model:
+    """Learn from ``texts`` (``id, text``) as ``marks`` (``id, toxic``, an id once) says; one row per id counts.
 
-    At most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` rows are used, the first by a hash of the id.
+    At most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` rows are used, the first by a hash of the id. Only their texts are
+    moved.
     """
     draw = F.xxhash64("id")
-    ids = [texts.filter(f"toxic = {c}").select("id", "toxic").distinct().orderBy(draw, "id").limit(n) for c, n in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
+    there = marks.join(texts.select("id"), "id", "left_semi")
+    ids = [there.filter(f"toxic = {c}").orderBy(draw, "id").limit(n) for c, n in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
     # at most 12,000 ids: the bound makes them fit to be sent to every task
-    chosen = F.broadcast(ids[0].unionByName(ids[1]))
-    rows = cut_lineage(texts.join(chosen, ["id", "toxic"], "left_semi").groupBy("id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    chosen = F.broadcast(cut_lineage(ids[0].unionByName(ids[1]), "drawn"))
+    rows = cut_lineage(texts.join(chosen, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")), "labelled")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     base = sizes.get(1, 0) / max(sum(sizes.values()), 1)
     for_curve = F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(CURVE_SHARE)) == 0
@@ -267,12 +269,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``id, text, toxic`` of the rows to learn from. An id with several labels is toxic if one says so; labels of
-    NULL, and rows without an id or a text, are left out."""
+def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, text`` and ``id, toxic`` of the rows to learn from. An id with several labels is toxic if one says so; labels
+    of NULL, and rows without an id or a text, are left out."""
     marks = only(labels, id="doc_id", toxic="toxic").filter("id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out("id"))
-    marks = marks.groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return only(docs, id="doc_id", text=F.col("text").cast("string")).filter("id IS NOT NULL AND text IS NOT NULL").join(marks, "id")
+    texts = only(docs, id="doc_id", text=F.col("text").cast("string")).filter("id IS NOT NULL AND text IS NOT NULL")
+    return texts, marks.groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -281,5 +283,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows get a row each, NULL and empty texts the score of a text without windows, other columns of
     ``docs`` are not looked at. Without labels of both classes the score is the share of toxic ones, 0 for none.
     """
-    model = train(labelled(docs, labels))
+    model = train(*labelled(docs, labels))
     return score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out()})

@@ -63,7 +63,7 @@ def test_held_out_rows_are_told_apart(spark, documents):
 def test_only_open_rows_are_learned_from(spark, documents):
     rows, marks = corpus(300, 3)
     docs, labels = documents(rows), spark.createDataFrame(marks, LABELS)
-    assert labelled(docs, labels).filter(held_out("id")).count() == 0
+    assert labelled(docs, labels)[1].filter(held_out("id")).count() == 0
     first = toxicity(docs, labels).select("doc_id", "score").collect()
     # other labels of the held-out rows, other languages and sources change nothing
     turned = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -73,7 +73,7 @@ def test_only_open_rows_are_learned_from(spark, documents):
 
 def test_gains_are_compressed_lengths(spark, documents):
     rows, marks = corpus(600, 5)
-    model = train(labelled(documents(rows), spark.createDataFrame(marks, LABELS)))
+    model = train(*labelled(documents(rows), spark.createDataFrame(marks, LABELS)))
     gains = Gains(model.toxic, model.ordinary)
     import zstandard
 
