@@ -16,6 +16,7 @@ from occurra.model import Graph
 from occurra.operators.occurrences import Occurrences
 from occurra.operators.similarity import n_words, pack
 from occurra.operators.skew import DEFAULT_POLICY, HeavyKeys, SkewPolicy, heavy_keys
+from occurra.operators.structures import FingerprintIndex, write_index
 
 PROFILE = "column string, key string, salts long"
 TABLES = tuple(f.name for f in fields(Graph))
