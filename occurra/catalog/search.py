@@ -21,7 +21,7 @@ from occurra.operators import ordering, stats
 from occurra.operators.filters import apply_filters, filter_year
 from occurra.operators.merging import dedup_candidates
 from occurra.operators.occurrences import Occurrences, enrich, result_rows
-from occurra.plans.requests import resolve_requests, search_requests
+from occurra.plans.requests import request_counters, resolve_requests, search_requests
 from occurra.plans.search import ENTRY_ORDER, search
 from occurra.session import scratch_path
 from occurra.sources import star
@@ -96,7 +96,7 @@ def search_unlimited(spark, folder):
     return search(spark, star.graph(spark, folder), Criteria(taxon="*")).rows
 
 
-# one request per supplier and nation, by id or name, each with bounds of its own
+# one request per supplier, nation and region, by id, by name or for all taxa, each with bounds of its own
 _REQUESTS = """
 SELECT concat('s', s_suppkey) AS req_id, CASE WHEN s_suppkey % 2 = 0 THEN concat('q', 1000 + s_suppkey) ELSE s_name END AS taxon,
 CASE WHEN s_suppkey % 3 = 0 THEN 905.25e0 + s_suppkey % 50 END AS mass_min, CASE WHEN s_suppkey % 4 = 0 THEN 1993 END AS year_min,
@@ -104,47 +104,111 @@ CASE WHEN s_suppkey % 5 = 0 THEN 1996 END AS year_max, CASE WHEN s_suppkey % 7 =
 CASE WHEN s_suppkey % 6 = 1 THEN 'required' END AS cl_state FROM {supplier}
 UNION ALL SELECT concat('n', n_nationkey), concat('no such ', n_name), CAST(NULL AS double), CAST(NULL AS int), CAST(NULL AS int), CAST(NULL AS int), NULL FROM {nation}
 UNION ALL SELECT concat('m', n_nationkey), CASE WHEN n_nationkey % 2 = 0 THEN concat('Q', 100 + n_nationkey) ELSE '*' END, 1000e0 + n_nationkey, CAST(NULL AS int),
-CAST(NULL AS int), 5, 'excluded' FROM {nation}"""
+CAST(NULL AS int), 5, 'excluded' FROM {nation}
+UNION ALL SELECT concat('a', r_regionkey), '*', CAST(NULL AS double), CASE WHEN r_regionkey > 0 THEN 1993 + r_regionkey END,
+CASE WHEN r_regionkey > 2 THEN 1993 + r_regionkey END, CAST(NULL AS int), NULL FROM {region}
+UNION ALL SELECT concat('f', r_regionkey), '*', CAST(NULL AS double), CAST(NULL AS int), CASE WHEN r_regionkey % 2 = 0 THEN 1995 END, 10 * r_regionkey, 'required' FROM {region}"""
 _WANTED = f"""SELECT q.*, CASE WHEN taxon LIKE 'q%' THEN upper(taxon) WHEN taxon LIKE 'Q%' THEN taxon ELSE n.t END AS root
 FROM {{asked_requests}} q LEFT JOIN (SELECT name, 'Q' || min(cast(substr(t, 2) AS bigint)) AS t FROM {{taxon_names}} GROUP BY name) n
 ON n.name = upper(left(q.taxon, 1)) || lower(substr(q.taxon, 2))"""
 _CLADES = """SELECT DISTINCT root, root AS t FROM {wanted} WHERE root IS NOT NULL
 UNION SELECT clades.root, p.child FROM {taxon_parent} p JOIN clades ON p.parent = clades.t"""
 _TOKENS = s_tokens("formula_raw")
-_REQUEST_CTES = {**CTES, "asked_requests": _REQUESTS, "wanted": _WANTED, "clades": _CLADES}
+_MET = "e.c, e.t, e.r, e.statement, e.mass, e.ref_date, e.formula_raw"
+_FOUND = f"""SELECT * FROM (
+SELECT q.*, {_MET} FROM {{wanted}} q JOIN {{clades}} k ON k.root = q.root JOIN {{enriched}} e ON e.t = k.t
+UNION ALL SELECT q.*, {_MET} FROM {{wanted}} q JOIN {{enriched}} e ON q.taxon = '*') e
+WHERE (mass_min IS NULL OR mass >= mass_min AND mass <= 10000)
+AND (year_min IS NULL AND year_max IS NULL OR year(ref_date) >= coalesce(year_min, 1800) AND (year_max IS NULL OR year(ref_date) <= year_max))
+AND (c_min IS NULL AND cl_state IS NULL OR formula_raw IS NOT NULL AND {s_count(_TOKENS, 'C')} BETWEEN coalesce(c_min, 0) AND 512
+AND CASE cl_state WHEN 'required' THEN {s_count(_TOKENS, 'Cl')} > 0 WHEN 'excluded' THEN {s_count(_TOKENS, 'Cl')} = 0 ELSE true END)"""
+_REQUEST_CTES = {**CTES, "asked_requests": _REQUESTS, "wanted": _WANTED, "clades": _CLADES, "request_rows": _FOUND}
+_PER_REQUEST = (
+    "req_id, count(*) AS n_rows, count(DISTINCT c) AS n_compounds, min(statement) AS first_statement, "
+    "cast(sum(cast(mass AS decimal(18, 3))) AS double) AS total_mass"
+)
 
 
-@query(
-    "search_requests",
-    f"""SELECT q.req_id, count(*) AS n_rows, count(DISTINCT e.c) AS n_compounds, min(e.statement) AS first_statement, sum(e.mass) AS total_mass
-FROM {{wanted}} q JOIN {{clades}} k ON k.root = q.root JOIN {{enriched}} e ON e.t = k.t
-WHERE (q.mass_min IS NULL OR e.mass >= q.mass_min AND e.mass <= 10000)
-AND (q.year_min IS NULL AND q.year_max IS NULL OR year(e.ref_date) BETWEEN coalesce(q.year_min, 1800) AND coalesce(q.year_max, 2025))
-AND (q.c_min IS NULL AND q.cl_state IS NULL OR formula_raw IS NOT NULL AND {s_count(_TOKENS, 'C')} BETWEEN coalesce(q.c_min, 0) AND 512
-AND CASE q.cl_state WHEN 'required' THEN {s_count(_TOKENS, 'Cl')} > 0 WHEN 'excluded' THEN {s_count(_TOKENS, 'Cl')} = 0 ELSE true END)
-GROUP BY q.req_id""",
-    _REQUEST_CTES,
-)
-def search_requests_query(spark, folder):
-    requests = star.run_sql(spark, folder, _REQUESTS)
-    # the SQL has no rows for requests for all taxa
-    rows, _ = search_requests(Occurrences(star.graph(spark, folder)), requests, 2025, all_taxa=False)
+def _per_request(rows):
     return rows.groupBy("req_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("compound_qid").alias("n_compounds"),
         F.min("statement").alias("first_statement"),
-        F.sum("mass").alias("total_mass"),
+        F.sum(F.col("mass").cast("decimal(18, 3)")).cast("double").alias("total_mass"),
     )
 
 
+@query("search_requests", f"SELECT {_PER_REQUEST} FROM {{request_rows}} GROUP BY req_id", _REQUEST_CTES)
+def search_requests_query(spark, folder):
+    requests = star.run_sql(spark, folder, _REQUESTS)
+    # the year of the requests lies before the last publications: it is no bound of its own
+    rows, _ = search_requests(Occurrences(star.graph(spark, folder)), requests, 1997)
+    return _per_request(rows)
+
+
+@query(
+    "request_answers",
+    """SELECT q.req_id, coalesce(n_entries, 0) AS n_entries, coalesce(n_entries_unique, 0) AS n_entries_unique, coalesce(n_compounds, 0) AS n_compounds,
+coalesce(n_taxa, 0) AS n_taxa, coalesce(n_references, 0) AS n_references, least(coalesce(n_entries_unique, 0), 500) AS n_returned,
+coalesce(n_entries_unique, 0) > 500 AS capped, CASE WHEN q.taxon <> '*' AND q.root IS NULL THEN 'TaxonNotFound' END AS fault
+FROM {wanted} q LEFT JOIN (SELECT req_id, count(*) AS n_entries, count(DISTINCT concat(c, chr(31), t, chr(31), coalesce(r, ''))) AS n_entries_unique,
+count(DISTINCT c) AS n_compounds, count(DISTINCT t) AS n_taxa, count(DISTINCT r) AS n_references FROM {request_rows} GROUP BY req_id) n ON n.req_id = q.req_id""",
+    _REQUEST_CTES,
+)
+def request_answers(spark, folder):
+    """What a service says beside the rows of each request, with its default limit."""
+    requests = star.run_sql(spark, folder, _REQUESTS)
+    rows, resolved = search_requests(Occurrences(star.graph(spark, folder)), requests, 1997)
+    return request_counters(rows, resolved, 1997, limit=ROW_LIMIT_DEFAULT).drop("query_hash", "note")
+
+
 @query(
     "request_faults",
-    """SELECT req_id, root AS t, CASE WHEN taxon = '*' THEN 'AllTaxa' WHEN root IS NULL THEN 'TaxonNotFound' END AS fault FROM {wanted}""",
+    """SELECT req_id, root AS t, CASE WHEN root IS NULL AND taxon <> '*' THEN 'TaxonNotFound' END AS fault FROM {wanted}""",
     _REQUEST_CTES,
 )
 def request_faults(spark, folder):
     requests = star.run_sql(spark, folder, _REQUESTS)
-    return resolve_requests(requests, Occurrences(star.graph(spark, folder)), 2025).select("req_id", "t", "fault")
+    return resolve_requests(requests, Occurrences(star.graph(spark, folder)), 1997).select("req_id", "t", "fault")
+
+
+# one structure per supplier: a stored fingerprint or its first bits, in a clade, in all taxa or anywhere
+_ASKED_STRUCTURES = """SELECT concat('s', s_suppkey) AS req_id,
+CASE s_suppkey % 4 WHEN 0 THEN concat('Q', 10 + s_suppkey % 5) WHEN 1 THEN '' WHEN 2 THEN s_name ELSE 'Q1' END AS taxon,
+CASE WHEN s_suppkey % 11 = 0 THEN concat('CCO', chr(10), 'CCN') ELSE 'CCO' END AS smiles,
+CASE WHEN s_suppkey % 3 = 0 THEN 'similarity' ELSE 'substructure' END AS search_type, 0.3e0 + 0.0625e0 * (s_suppkey % 6) AS threshold,
+CASE WHEN s_suppkey % 5 = 0 THEN 905e0 + s_suppkey % 50 END AS mass_min, CASE WHEN s_suppkey % 7 = 0 THEN 1995 END AS year_min,
+CASE WHEN s_suppkey % 3 = 0 THEN f.bits ELSE {head} END AS query_bits
+FROM {supplier} JOIN {fingerprints} f ON f.c = concat('Q', 1000000 + s_suppkey)"""
+_STRUCTURE_HITS = """SELECT q.*, f.c FROM {asked_structures} q JOIN {fingerprints} f ON CASE
+WHEN search_type = 'similarity' AND smiles = 'CCO' THEN len(list_intersect(f.bits, q.query_bits))::double /
+(len(f.bits) + len(q.query_bits) - len(list_intersect(f.bits, q.query_bits)))::double >= q.threshold
+ELSE list_has_all(f.bits, q.query_bits) END"""
+_STRUCTURE_CLADES = """SELECT DISTINCT x.root, x.root AS t FROM (SELECT CASE WHEN q.taxon LIKE 'Q%' THEN q.taxon ELSE n.t END AS root
+FROM {asked_structures} q LEFT JOIN {taxon_names} n ON n.name = q.taxon WHERE q.taxon <> '') x
+UNION SELECT structure_clades.root, p.child FROM {taxon_parent} p JOIN structure_clades ON p.parent = structure_clades.t"""
+
+
+@query(
+    "search_requests_structure",
+    f"""SELECT {_PER_REQUEST} FROM (
+SELECT h.*, e.statement, e.mass, e.ref_date FROM {{structure_hits}} h LEFT JOIN {{taxon_names}} n ON n.name = h.taxon
+JOIN {{structure_clades}} k ON k.root = CASE WHEN h.taxon LIKE 'Q%' THEN h.taxon ELSE n.t END JOIN {{enriched}} e ON e.c = h.c AND e.t = k.t WHERE h.taxon <> ''
+UNION ALL SELECT h.*, e.statement, e.mass, e.ref_date FROM {{structure_hits}} h JOIN {{enriched}} e ON e.c = h.c WHERE h.taxon = ''
+UNION ALL SELECT h.*, NULL, m.v, NULL FROM {{structure_hits}} h JOIN {{compound_ids}} i ON i.c = h.c LEFT JOIN {{mass}} m ON m.c = h.c
+WHERE h.taxon = '' AND h.c NOT IN (SELECT c FROM {{core}})) x
+WHERE (mass_min IS NULL OR mass >= mass_min AND mass <= 10000) AND (year_min IS NULL OR year(ref_date) >= year_min) GROUP BY req_id""",
+    {
+        **CTES,
+        "asked_structures": _ASKED_STRUCTURES.replace("{head}", "f.bits[1:6]"),
+        "structure_hits": _STRUCTURE_HITS,
+        "structure_clades": _STRUCTURE_CLADES,
+    },
+)
+def search_requests_structure(spark, folder):
+    requests = star.run_sql(spark, folder, _ASKED_STRUCTURES.replace("{head}", "slice(f.bits, 1, 6)"))
+    rows, _ = search_requests(Occurrences(star.graph(spark, folder)), requests, 2025, n_bits=star.FINGERPRINT_BITS)
+    return _per_request(rows)
 
 
 @query(

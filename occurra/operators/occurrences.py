@@ -18,6 +18,7 @@ from occurra.functions import chemistry as ch
 from occurra.functions import text as tx
 from occurra.model import Graph
 from occurra.operators.skew import DEFAULT_POLICY, HeavyKeys, SkewPolicy, attach, heavy_keys
+from occurra.operators.structures import FingerprintIndex
 
 # Label languages in order of preference.
 LABEL_LANGUAGES = ("mul", "en")
@@ -25,11 +26,12 @@ LABEL_LANGUAGES = ("mul", "en")
 
 @dataclass
 class Occurrences:
-    """A graph with the skew profile of its statement table (taken once)."""
+    """A graph with the skew profile of its statement table (taken once) and, where it is stored, the index of its structures."""
 
     graph: Graph
     policy: SkewPolicy = field(default=DEFAULT_POLICY)
     _heavy: HeavyKeys | None = None
+    structures: FingerprintIndex | None = None
 
     @property
     def heavy(self) -> HeavyKeys:

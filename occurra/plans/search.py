@@ -16,6 +16,7 @@ from occurra.operators.requests import criteria_table, query_hash
 from occurra.operators.resolve import rank_matches
 from occurra.operators.similarity import similar, substructure_screen
 from occurra.operators.skew import attach
+from occurra.operators.structures import SIMILARITY
 from occurra.operators.taxonomy import descendants
 from occurra.session import counted_stage, cut_lineage, one_row
 
@@ -59,18 +60,20 @@ def resolve_taxon(spark: SparkSession, graph: Graph, taxon: str) -> TaxonChoice:
     return TaxonChoice(best["qid"])
 
 
-def structure_hits(
-    graph: Graph, criteria: Criteria, query_bits: list[int], n_bits: int
-) -> DataFrame:
-    """The distinct compounds a structure search finds.
+def is_similarity(criteria: Criteria) -> bool:
+    """A multi-line structure is always a substructure search."""
+    return criteria.search_type == SIMILARITY and not any(mark in criteria.smiles.strip() for mark in "\r\n")
 
-    A multi-line structure is always a substructure search.
-    """
-    multiline = any(mark in criteria.smiles.strip() for mark in "\r\n")
-    if criteria.search_type == "similarity" and not multiline:
-        hits = similar(graph.fingerprints, query_bits, criteria.threshold, n_bits)
+
+def structure_hits(occ: Occurrences, criteria: Criteria, query_bits: list[int], n_bits: int) -> DataFrame:
+    """The distinct compounds a structure search finds, through the stored index where there is one."""
+    index, prints = occ.structures, occ.graph.fingerprints
+    if is_similarity(criteria):
+        hits = index.similar(query_bits, criteria.threshold) if index else similar(prints, query_bits, criteria.threshold, n_bits)
+    elif index and query_bits:
+        hits = index.screen(query_bits)
     else:
-        hits = substructure_screen(graph.fingerprints, query_bits, n_bits)
+        hits = substructure_screen(prints, query_bits, n_bits)
     return hits.select("c").distinct()
 
 
@@ -98,7 +101,7 @@ def enriched_matches(
 
     base = g.compound_ids
     if structure:
-        base = base.join(structure_hits(g, criteria, query_bits, n_bits), "c", "left_semi")
+        base = base.join(structure_hits(occ, criteria, query_bits, n_bits), "c", "left_semi")
     compounds = compound_table(g, base)
     compounds = filters.filter_mass(compounds, criteria.mass_min, criteria.mass_max)
     compounds = filters.filter_formula(compounds, criteria)

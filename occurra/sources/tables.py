@@ -26,7 +26,7 @@ def write_graph(graph: Graph, folder: str, policy: SkewPolicy = DEFAULT_POLICY,
     """Tables of a graph, and the skew profile of its statements, taken once for all searches.
 
     Fingerprints are stored with their bits packed into words and sorted by size, so a
-    similarity search packs nothing and skips row groups of other sizes.
+    similarity search packs nothing and skips row groups of other sizes; beside them lies an index by bit.
     """
     for name in TABLES:
         table = getattr(graph, name)
@@ -35,17 +35,20 @@ def write_graph(graph: Graph, folder: str, policy: SkewPolicy = DEFAULT_POLICY,
             table = table.select("c", "bits", *words, F.size("bits").alias("size")).sortWithinPartitions("size")
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
     spark = graph.statements.sparkSession
+    write_index(spark.read.parquet(f"{folder}/fingerprints"), f"{folder}/structures", n_bits)
+    spark.createDataFrame([(n_bits,)], "n_bits int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
     heavy = heavy_keys(spark.read.parquet(f"{folder}/statements"), ["c", "t", "r"], policy)
     rows = [(column, key, salts) for column, keys in heavy.salts.items() for key, salts in keys.items()]
     spark.createDataFrame(rows, PROFILE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/heavy_keys")
 
 
 def read_occurrences(spark: SparkSession, folder: str, policy: SkewPolicy = DEFAULT_POLICY) -> Occurrences:
-    """A stored graph with its stored profile: searches do not scan the statements for one."""
+    """A stored graph with its stored profile and index: searches do not scan the statements or fingerprints for them."""
     salts: dict[str, dict[str, int]] = {}
     for r in spark.read.schema(PROFILE).parquet(f"{folder}/heavy_keys").collect():  # a bounded list by its making
         salts.setdefault(r["column"], {})[r["key"]] = r["salts"]
-    return Occurrences(read_graph(spark, folder), policy, HeavyKeys(salts))
+    n_bits = spark.read.parquet(f"{folder}/settings").first()["n_bits"]
+    return Occurrences(read_graph(spark, folder), policy, HeavyKeys(salts), FingerprintIndex(spark, f"{folder}/structures", n_bits))
 
 
 def read_graph(spark: SparkSession, folder: str) -> Graph:

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from occurra.operators import requests as rq
 from occurra.operators.occurrences import Occurrences
 from occurra.operators.taxonomy import descendants, descendants_of_each
 from occurra.plans import curate as plan
-from occurra.plans.requests import search_requests
+from occurra.plans.requests import request_counters, search_requests
 from occurra.plans.search import search
 from occurra.sinks.files import export, write_results_csv
 from occurra.sources import candidates as cand
@@ -71,6 +73,101 @@ def test_requests_for_all_taxa_are_answered(spark):
     assert resolved.filter("fault IS NOT NULL").isEmpty()
 
 
+def small_graph(spark):
+    """Two-valued masses, a compound without occurrence, one without formula, a row dated late."""
+    base = star.graph(spark, SF)
+
+    def rows(data, schema):
+        return spark.createDataFrame(data, schema)
+
+    return replace(
+        base,
+        compound_ids=rows([(c, f"K{c}", "C") for c in ("Q1", "Q2", "Q3", "Q4")], "c string, inchikey string, smiles_conn string"),
+        statements=rows([("S1", "Q1", "Q71", "x", "R1"), ("S2", "Q1", "Q72", "x", "R2"), ("S3", "Q2", "Q72", "x", "R3"), ("S4", "Q3", "Q73", "x", "R9")], "statement string, c string, t string, ref string, r string"),
+        taxon_names=rows([("Q71", "Rosa"), ("Q72", "Rosa"), ("Q73", "Viola tricolor")], "t string, name string"),
+        taxon_parent=rows([("Q72", "Q71")], "child string, parent string"),
+        mass=rows([("Q1", 100.0), ("Q1", 200.0), ("Q2", 100.0), ("Q4", 100.0)], "c string, v double"),
+        formula_raw=rows([("Q1", "C2H6O"), ("Q2", "C\u2085H4Cl"), ("Q4", "C9")], "c string, v string"),
+        ref_date=base.ref_date.limit(0).unionByName(rows([("R1", 2030), ("R2", 1999)], "r string, y int").selectExpr("r", "make_timestamp(y, 1, 1, 0, 0, 0) AS v")),
+        fingerprints=rows([("Q1", [1, 2, 3]), ("Q2", [1, 2]), ("Q3", [5]), ("Q4", [1, 2, 3, 4])], "c string, bits array<int>"),
+    )
+
+
+REQUESTS = "req_id string, taxon string, smiles string, search_type string, threshold double, mass_min double, mass_max double, year_min int, year_max int, formula_exact string, c_max int, cl_state string, query_bits array<int>"
+ASKED = [
+    ("all", "*", None, None, None, None, None, None, None, None, None, None, None),
+    ("late", "*", None, None, None, None, None, 2000, None, None, None, None, None),
+    ("until", "*", None, None, None, None, None, None, 2005, None, None, None, None),
+    ("mass", "*", None, None, None, 150.0, 250.0, None, None, None, None, None, None),
+    ("none", "*", None, None, None, 9000.0, None, None, None, None, None, None, None),
+    ("exact", "*", None, None, None, None, None, None, None, "C5 H4 Cl", None, None, None),
+    ("few", "*", None, None, None, None, None, None, None, None, 4, "excluded", None),
+    ("chlorine", "Rosa", None, None, None, None, None, None, None, None, None, "required", None),
+    ("screen", "", "CCO", "substructure", None, None, None, None, None, None, None, None, [1, 2]),
+    ("like", "", "CCO", "similarity", 0.7, None, None, None, None, None, None, None, [1, 2, 3]),
+    ("lines", "", "C\nO", "similarity", 0.7, None, None, None, None, None, None, None, [1, 2, 3]),
+    ("dated", "", "CCO", "substructure", None, None, None, 1990, None, None, None, None, [1]),
+    ("inside", "Q71", "CCO", "substructure", None, 150.0, None, None, None, None, None, None, [1]),
+    ("bare", "Q71", "CCO", "substructure", None, None, None, None, None, None, None, None, None),
+    ("lost", "Nobody", None, None, None, None, None, None, None, None, None, None, None),
+]
+
+
+def test_requests_of_every_kind_equal_single_searches(spark):
+    graph = small_graph(spark)
+    asked = spark.createDataFrame(ASKED, REQUESTS)
+    rows, resolved = search_requests(Occurrences(graph), asked, 2010)
+    got = {r[0]: [] for r in ASKED}
+    for r in rows.collect():
+        got[r["req_id"]].append(repr(tuple(r)[1:]))
+    faults = {r["req_id"]: r["fault"] for r in resolved.collect()}
+    assert {k: v for k, v in faults.items() if v} == {"bare": "StructureBitsMissing", "lost": "TaxonNotFound"}
+    for req, taxon, smiles, kind, threshold, low, high, y0, y1, exact, c_max, cl, bits in ASKED:
+        if faults[req]:
+            assert got[req] == []
+            continue
+        criteria = Criteria(
+            taxon=taxon, smiles=smiles or "", search_type=kind or "substructure", threshold=threshold or 0.8, mass_min=low or 0.0, mass_max=high or 10000.0,
+            year_min=y0 or 1800, year_max=y1, formula_enabled=bool(exact or c_max or cl), formula_exact=exact or "",
+            elements={"C": (0, c_max)} if c_max else {}, halogens={"Cl": cl} if cl else {},
+        )
+        want = search(spark, graph, criteria, query_bits=bits).all_rows
+        assert sorted(got[req]) == sorted(repr(tuple(w)) for w in want.collect()), req
+    # the row dated after the year of the requests, and a row for each mass of a compound
+    assert len(got["late"]) == 2 and len(got["all"]) == 6 and len(got["mass"]) == 2 and got["none"] == []
+    assert any("Q4" in r for r in got["screen"]) and not any("Q4" in r for r in got["dated"])
+
+
+def test_counters_and_notes_of_requests(spark):
+    graph = small_graph(spark)
+    asked = spark.createDataFrame([*ASKED, ("odd", " rosa", *[None] * 11), ("tricolor", "viola__tricolor", *[None] * 11)], REQUESTS)
+    rows, resolved = search_requests(Occurrences(graph), asked, 2010)
+    found = {r["req_id"]: r for r in request_counters(rows, resolved, 2010, limit=2).collect()}
+    assert len(found) == len(ASKED) + 2
+    every = found["all"]
+    assert (every["n_entries"], every["n_entries_unique"], every["n_compounds"], every["n_taxa"], every["n_references"]) == (6, 4, 3, 3, 4)
+    assert (every["n_returned"], every["capped"]) == (2, True)
+    assert (found["none"]["n_entries"], found["none"]["capped"], found["lost"]["fault"]) == (0, False, "TaxonNotFound")
+    assert found["odd"]["note"].startswith("ambiguous taxon, using Rosa (Q71); candidates: Rosa (Q71), Rosa (Q72)")
+    assert found["tricolor"]["note"] == "taxon standardised from 'viola__tricolor' to 'Viola tricolor'"
+    single = search(spark, graph, Criteria(taxon="*", mass_min=150.0, mass_max=250.0))
+    assert found["mass"]["query_hash"] is not None and single.stats.first()["n_entries"] == found["mass"]["n_entries"]
+
+
+def test_requests_for_all_taxa_need_no_product(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.createDataFrame([(str(i), "*", 900.0 + i, 901.0 + i, "excluded") for i in range(40)], "req_id string, taxon string, mass_min double, mass_max double, cl_state string")
+        with_years = asked.selectExpr("concat('y', req_id) AS req_id", "taxon", "1990 + cast(req_id AS int) % 9 AS year_min")
+        rows, _ = search_requests(Occurrences(star.graph(spark, SF)), asked.unionByName(with_years, allowMissingColumns=True), 2025)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert rows.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_clades_of_many_roots(spark):
     edges = star.view(spark, SF, "taxon_parent")
     roots = ["Q1", "Q10", "Q101", "Q1003", "nowhere"]
