@@ -22,7 +22,7 @@ from occurra.catalog.registry import (
     s_tokens,
 )
 from occurra.operators import filters, occurrences, resolve, similarity
-from occurra.operators.taxonomy import descendants
+from occurra.operators.taxonomy import CladeIndex, descendants, descendants_of_each, write_clades
 from occurra.plans.search import any_taxon
 from occurra.session import scratch_path
 from occurra.sources import star
@@ -82,6 +82,31 @@ def taxon_descendants(spark, folder):
     return descendants(star.view(spark, folder, "taxon_parent"), "Q10")
 
 
+# a lineage of one taxon per event: long chains, with forks, and cycles at their ends
+_DEEP = """SELECT concat('E', event_id) AS child, concat('E', event_id - event_id % 500 + greatest(event_id % 500 - 1 - event_id % 3, 0)) AS parent
+FROM {events} WHERE event_id % 500 > 0
+UNION ALL SELECT concat('E', event_id), concat('E', event_id - 1) FROM {events} WHERE event_id % 500 > 0
+UNION ALL SELECT concat('E', event_id), concat('E', event_id + 499) FROM {events} WHERE event_id % 1000 = 0"""
+_DEEP_ROOTS = "SELECT DISTINCT concat('E', event_id - event_id % 500 + user_id % 500) AS root FROM {events} WHERE event_id % 500 = 7"
+_DEEP_CTES = {
+    "deep": _DEEP,
+    "deep_roots": _DEEP_ROOTS,
+    "deep_clades": "SELECT root, root AS t FROM {deep_roots} UNION SELECT deep_clades.root, p.child FROM {deep} p JOIN deep_clades ON p.parent = deep_clades.t",
+}
+
+
+@query("taxon_descendants_deep", "SELECT root, t FROM {deep_clades}", _DEEP_CTES)
+def taxon_descendants_deep(spark, folder):
+    return descendants_of_each(star.run_sql(spark, folder, _DEEP), star.run_sql(spark, folder, _DEEP_ROOTS))
+
+
+@query("taxon_descendants_stored", "SELECT t FROM {closure}", BASE_CTES)
+def taxon_descendants_stored(spark, folder):
+    path = scratch_path(spark, "lineages")
+    write_clades(star.view(spark, folder, "taxon_parent"), path)
+    return CladeIndex(spark, path).descendants("Q10")
+
+
 @query("all_compounds", "SELECT * FROM {core}", BASE_CTES)
 def all_compounds(spark, folder):
     return occ(spark, folder).core().select(

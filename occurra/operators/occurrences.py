@@ -19,6 +19,7 @@ from occurra.functions import text as tx
 from occurra.model import Graph
 from occurra.operators.skew import DEFAULT_POLICY, HeavyKeys, SkewPolicy, attach, heavy_keys
 from occurra.operators.structures import FingerprintIndex
+from occurra.operators.taxonomy import CladeIndex, descendants, descendants_of_each
 
 # Label languages in order of preference.
 LABEL_LANGUAGES = ("mul", "en")
@@ -26,12 +27,13 @@ LABEL_LANGUAGES = ("mul", "en")
 
 @dataclass
 class Occurrences:
-    """A graph with the skew profile of its statement table (taken once) and, where it is stored, the index of its structures."""
+    """A graph with the skew profile of its statement table (taken once) and, where they are stored, indexes of structures and clades."""
 
     graph: Graph
     policy: SkewPolicy = field(default=DEFAULT_POLICY)
     _heavy: HeavyKeys | None = None
     structures: FingerprintIndex | None = None
+    clades: CladeIndex | None = None
 
     @property
     def heavy(self) -> HeavyKeys:
@@ -39,6 +41,12 @@ class Occurrences:
             self._heavy = heavy_keys(self.graph.statements, ["c", "t", "r"], self.policy)
         return self._heavy
 
+    def descendants(self, root: str) -> DataFrame:
+        return descendants(self.graph.taxon_parent, root) if self.clades is None else self.clades.descendants(root)
+
+    def descendants_of_each(self, roots: DataFrame) -> DataFrame:
+        return descendants_of_each(self.graph.taxon_parent, roots) if self.clades is None else self.clades.descendants_of_each(roots)
+
     def core(
         self,
         statements: DataFrame | None = None,

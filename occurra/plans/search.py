@@ -17,7 +17,6 @@ from occurra.operators.resolve import rank_matches
 from occurra.operators.similarity import similar, substructure_screen
 from occurra.operators.skew import attach
 from occurra.operators.structures import SIMILARITY
-from occurra.operators.taxonomy import descendants
 from occurra.session import counted_stage, cut_lineage, one_row
 
 
@@ -97,7 +96,7 @@ def enriched_matches(
         raise ValueError("a structure search needs the bits of its query structure")
     if structure and qid == "*":
         qid = BIOTA
-    clade = None if qid in (None, "*") else descendants(g.taxon_parent, qid)
+    clade = None if qid in (None, "*") else occ.descendants(qid)
 
     base = g.compound_ids
     if structure:

@@ -17,6 +17,7 @@ from occurra.operators.occurrences import Occurrences
 from occurra.operators.similarity import n_words, pack
 from occurra.operators.skew import DEFAULT_POLICY, HeavyKeys, SkewPolicy, heavy_keys
 from occurra.operators.structures import FingerprintIndex, write_index
+from occurra.operators.taxonomy import CladeIndex, write_clades
 
 PROFILE = "column string, key string, salts long"
 TABLES = tuple(f.name for f in fields(Graph))
@@ -26,7 +27,8 @@ def write_graph(graph: Graph, folder: str, policy: SkewPolicy = DEFAULT_POLICY,
     """Tables of a graph, and the skew profile of its statements, taken once for all searches.
 
     Fingerprints are stored with their bits packed into words and sorted by size, so a
-    similarity search packs nothing and skips row groups of other sizes; beside them lies an index by bit.
+    similarity search packs nothing and skips row groups of other sizes; beside them lie an index by bit and,
+    unless the taxonomy is too deep for it, the lineages by ancestor.
     """
     for name in TABLES:
         table = getattr(graph, name)
@@ -36,7 +38,8 @@ def write_graph(graph: Graph, folder: str, policy: SkewPolicy = DEFAULT_POLICY,
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
     spark = graph.statements.sparkSession
     write_index(spark.read.parquet(f"{folder}/fingerprints"), f"{folder}/structures", n_bits)
-    spark.createDataFrame([(n_bits,)], "n_bits int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
+    lineages = write_clades(spark.read.parquet(f"{folder}/taxon_parent"), f"{folder}/clades")
+    spark.createDataFrame([(n_bits, lineages)], "n_bits int, lineages boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
     heavy = heavy_keys(spark.read.parquet(f"{folder}/statements"), ["c", "t", "r"], policy)
     rows = [(column, key, salts) for column, keys in heavy.salts.items() for key, salts in keys.items()]
     spark.createDataFrame(rows, PROFILE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/heavy_keys")
@@ -47,8 +50,10 @@ def read_occurrences(spark: SparkSession, folder: str, policy: SkewPolicy = DEFA
     salts: dict[str, dict[str, int]] = {}
     for r in spark.read.schema(PROFILE).parquet(f"{folder}/heavy_keys").collect():  # a bounded list by its making
         salts.setdefault(r["column"], {})[r["key"]] = r["salts"]
-    n_bits = spark.read.parquet(f"{folder}/settings").first()["n_bits"]
-    return Occurrences(read_graph(spark, folder), policy, HeavyKeys(salts), FingerprintIndex(spark, f"{folder}/structures", n_bits))
+    stored = spark.read.parquet(f"{folder}/settings").first()
+    structures = FingerprintIndex(spark, f"{folder}/structures", stored["n_bits"])
+    clades = CladeIndex(spark, f"{folder}/clades") if stored["lineages"] else None
+    return Occurrences(read_graph(spark, folder), policy, HeavyKeys(salts), structures, clades)
 
 
 def read_graph(spark: SparkSession, folder: str) -> Graph:

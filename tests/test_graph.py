@@ -1,10 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from occurra.model import Criteria
 from occurra.operators import stats
 from occurra.operators.skew import SkewPolicy
-from occurra.operators.taxonomy import ClosureTooDeep, descendants
+from occurra.operators.taxonomy import CladeIndex, ClosureTooDeep, descendants, descendants_of_each, write_clades
 from occurra.plans.search import search
 from occurra.sources import star
 from occurra.sources.tables import read_graph, write_graph
@@ -46,6 +48,74 @@ def counters(result):
     return tuple(row[c] for c in stats.COUNTERS)
 
 
+def reference(edges, roots):
+    below = {}
+    for child, parent in edges:
+        below.setdefault(parent, []).append(child)
+    found = set()
+    for root in roots:
+        todo, seen = [root], {root}
+        while todo:
+            for child in below.get(todo.pop(), []):
+                if child not in seen:
+                    seen.add(child)
+                    todo.append(child)
+        found |= {(root, t) for t in seen}
+    return found
+
+
+def writes(spark, run):
+    """Result of ``run`` and the number of tables it stores."""
+    from occurra.operators import taxonomy
+
+    before, counted = taxonomy._Rounds.store, []
+    taxonomy._Rounds.store = lambda self, *a: counted.append(1) or before(self, *a)
+    try:
+        return run(), len(counted)
+    finally:
+        taxonomy._Rounds.store = before
+
+
+def test_a_chain_of_4000_levels_takes_few_rounds(spark, table):
+    edges = table([(f"n{i + 1}", f"n{i}") for i in range(4000)], "child string, parent string")
+    found, n = writes(spark, lambda: descendants(edges, "n0"))
+    assert found.count() == 4001 and n <= 12
+    found, n = writes(spark, lambda: descendants(edges, "n3999"))
+    assert found.count() == 2 and n <= 3
+
+
+@pytest.mark.parametrize("walked", [0, 1, 2])
+def test_graphs_with_forks_and_cycles(table, walked):
+    rng = random.Random(walked)
+    for _ in range(3):
+        n = rng.choice([8, 60])
+        edges = [(f"t{rng.randrange(n)}", f"t{rng.randrange(n)}") for _ in range(rng.choice([n // 2, n, 2 * n]))] + [(f"c{i + 1}", f"c{i}") for i in range(37)] + [("c0", "c37"), ("t0", "c9")]
+        roots = ["t0", "t1", "c5", "c0", "nowhere"]
+        got = descendants_of_each(table(edges, "child string, parent string"), table([(r,) for r in roots], "root string"), walked=walked)
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == reference(edges, roots)
+    assert descendants_of_each(table(edges, "child string, parent string"), table([], "root string")).count() == 0
+
+
+def test_stored_lineages(spark, table, tmp_path):
+    rng = random.Random(5)
+    edges = [(f"t{rng.randrange(50)}", f"t{rng.randrange(50)}") for _ in range(70)] + [(f"c{i + 1}", f"c{i}") for i in range(40)]
+    df = table(edges, "child string, parent string")
+    assert write_clades(df, str(tmp_path / "clades"))
+    index = CladeIndex(spark, str(tmp_path / "clades"))
+    for root in ("t0", "t7", "c0", "c39", "nowhere"):
+        found = index.descendants(root)
+        assert sorted(r["t"] for r in found.collect()) == sorted(t for _, t in reference(edges, [root]))
+    plan = index.descendants("c0")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    roots = ["t0", "c0", "c20", "nowhere"]
+    got = [tuple(r) for r in index.descendants_of_each(table([(r,) for r in roots], "root string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == reference(edges, roots)
+    # lineages of a long chain are many: they are not stored, and a search goes without them
+    chain = table([(f"n{i + 1}", f"n{i}") for i in range(300)], "child string, parent string")
+    assert not write_clades(chain, str(tmp_path / "none"), most_pairs_per_edge=20)
+
+
 def test_golden_closure(graph):
     assert descendants(graph.taxon_parent, "Q10").count() == 21
 
