@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import replace
+from dataclasses import fields, replace
 from hashlib import md5
 
 import pandas as pd
@@ -19,9 +19,11 @@ from occurra.catalog.registry import (
     s_taxon_key,
     s_trim,
 )
+from occurra.model import Graph
 from occurra.operators import curation as cu
 from occurra.operators.merging import append_unique as append_unique_rows
 from occurra.operators.merging import merge_passes, with_row_key
+from occurra.operators.pairs import PairIndex, write_pairs
 from occurra.plans import curate as plan
 from occurra.session import scratch_path
 from occurra.sinks.files import write_statements
@@ -205,6 +207,19 @@ def new_occurrences(spark, folder):
     return cu.new_occurrences(_asked(spark, folder), star.view(spark, folder, "statements"))
 
 
+@query(
+    "new_occurrences_stored",
+    """SELECT c, t, r FROM {asked} a WHERE CASE WHEN r IS NULL THEN NOT EXISTS (SELECT 1 FROM {statements} s WHERE s.c = a.c AND s.t = a.t)
+ELSE NOT EXISTS (SELECT 1 FROM {statements} s WHERE s.c = a.c AND s.t = a.t AND s.r = a.r) END""",
+    _ASK,
+)
+def new_occurrences_stored(spark, folder):
+    """The same through the layout by (compound, taxon)."""
+    path = scratch_path(spark, "pairs")
+    write_pairs(star.view(spark, folder, "statements"), path)
+    return cu.new_occurrences(_asked(spark, folder), PairIndex(spark, path))
+
+
 # ---- K1 - K6, D7 - D9 ---------------------------------------------------------
 
 
@@ -387,9 +402,9 @@ _SECOND = {
 }
 
 
-def _second(spark, folder) -> plan.Curation:
+def _grown(spark, folder):
+    """The graph before and after the missing taxa were created, and what was added."""
     g = star.graph(spark, folder)
-    converted = _converted(spark, folder)
     created = (
         star.view(spark, folder, "candidates")
         .select(F.btrim("taxon").alias("name"))
@@ -402,7 +417,13 @@ def _second(spark, folder) -> plan.Curation:
         taxon_names=g.taxon_names.unionByName(created),
         instance_of=g.instance_of.unionByName(created.select("t")),
     )
-    return plan.second_pass(plan.curate(converted, g).results, converted, grown)
+    nothing = {f.name: getattr(g, f.name).limit(0) for f in fields(g)}
+    return g, grown, Graph(**nothing | {"taxon_names": created.select("t", "name"), "instance_of": created.select("t")})
+
+
+def _second(spark, folder) -> plan.Curation:
+    before, grown, added = _grown(spark, folder)
+    return plan.second_pass_added(plan.curate(_converted(spark, folder), before), grown, added)
 
 
 @query("second_pass", f"SELECT {_SHOWN} FROM {{merged}}", _SECOND)
@@ -410,6 +431,14 @@ def second_pass(spark, folder):
     return _shown(_second(spark, folder).results)
 
 
+@query("second_pass_whole", f"SELECT {_SHOWN} FROM {{merged}}", _SECOND)
+def second_pass_whole(spark, folder):
+    """The waiting rows looked up in the whole grown graph."""
+    before, grown, _ = _grown(spark, folder)
+    converted = _converted(spark, folder)
+    return _shown(plan.second_pass(plan.curate(converted, before).results, converted, grown).results)
+
+
 @query("second_pass_bundle", _bundle_sql("merged"), _SECOND)
 def second_pass_bundle(spark, folder):
     return _second(spark, folder).bundle

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from occurra.functions import chemistry as ch
 from occurra.functions import text as tx
 from occurra.model import TAXON_CLASS, Graph
+from occurra.operators.pairs import PairIndex
 from occurra.operators.resolve import resolve_references, taxa_only
 from occurra.operators.skew import DEFAULT_POLICY, HeavyKeys, SkewPolicy, attach, heavy_keys, keep_first
 from occurra.session import cut_lineage
@@ -80,18 +81,20 @@ def match_compounds(inchikeys: DataFrame, graph: Graph) -> DataFrame:
     )
 
 
-def known_occurrences(pairs: DataFrame, statements: DataFrame) -> DataFrame:
+def known_occurrences(pairs: DataFrame, statements: DataFrame | PairIndex) -> DataFrame:
     """Distinct ``(c, t, r)`` of the statements whose (c, t) is asked for.
 
-    One pass over the statements, which are not profiled: AQE broadcasts the asked
-    pairs when they measure small, and splits a pair with very many statements
+    An index reads the buckets of the asked pairs. A table of statements is read once and not profiled: AQE
+    broadcasts the asked pairs when they measure small, and splits a pair with very many statements
     when they do not. What is left is combined before the second shuffle.
     """
     asked = pairs.filter(F.col("c").isNotNull() & F.col("t").isNotNull()).select("c", "t").distinct()
+    if isinstance(statements, PairIndex):
+        return statements.of(asked)
     return statements.select("c", "t", "r").join(asked, ["c", "t"], "left_semi").distinct()
 
 
-def occurrence_exists(pairs: DataFrame, statements: DataFrame) -> DataFrame:
+def occurrence_exists(pairs: DataFrame, statements: DataFrame | PairIndex) -> DataFrame:
     """Distinct ``(c, t)`` with ``exists``."""
     found = known_occurrences(pairs, statements).select("c", "t").distinct().withColumn("_hit", F.lit(True))
     return pairs.select("c", "t").distinct().join(found, ["c", "t"], "left").select(
@@ -99,7 +102,7 @@ def occurrence_exists(pairs: DataFrame, statements: DataFrame) -> DataFrame:
     )
 
 
-def occurrence_exists_ref(triples: DataFrame, statements: DataFrame) -> DataFrame:
+def occurrence_exists_ref(triples: DataFrame, statements: DataFrame | PairIndex) -> DataFrame:
     """C11: distinct ``(c, t, r)`` with ``exists``."""
     found = known_occurrences(triples, statements).withColumn("_hit", F.lit(True))
     return triples.select("c", "t", "r").distinct().join(found, ["c", "t", "r"], "left").select(
@@ -118,7 +121,7 @@ def occurrence_keys(found: DataFrame) -> DataFrame:
     return found.select(F.explode(keys).alias("occurrence")).distinct()
 
 
-def new_occurrences(candidates: DataFrame, statements: DataFrame) -> DataFrame:
+def new_occurrences(candidates: DataFrame, statements: DataFrame | PairIndex) -> DataFrame:
     """Distinct ``(c, t, r)`` not in the graph; without a reference the pair decides."""
     asked = candidates.select("c", "t", "r").distinct()
     known = occurrence_keys(known_occurrences(asked, statements))
@@ -137,8 +140,8 @@ def creation_block(taxon: Column) -> Column:
     )
 
 
-def taxon_lookup(rows: DataFrame, graph: Graph) -> DataFrame:
-    """Distinct trimmed names ``(given, t)``: C6, then C7, in one join.
+def taxon_lookup(rows: DataFrame, taxa: DataFrame) -> DataFrame:
+    """Distinct trimmed names ``(given, t)`` among ``taxa`` (``t, name``): C6, then C7, in one join.
 
     Per name the spellings tried are the first one of its key in the batch,
     the name as given and its canonical form; the earliest that hits wins, and
@@ -154,7 +157,7 @@ def taxon_lookup(rows: DataFrame, graph: Graph) -> DataFrame:
     first = names.groupBy("key").agg(F.min_by("given", "seq").alias("first"))
     spellings = F.array("first", "given", tx.canonical_taxon(F.col("given")))
     tried = names.join(first, "key").select("given", F.posexplode(F.array_distinct(spellings)).alias("pref", "name"))
-    hits = tried.join(taxa_only(graph.taxon_names, graph.instance_of), "name")
+    hits = tried.join(taxa, "name")
     best = F.min_by("t", F.struct("pref", F.length("t"), "t"))
     return hits.groupBy("given").agg(best.alias("t"))
 
@@ -170,17 +173,22 @@ def resolve_dependencies(rows: DataFrame, graph: Graph, heavy: HeavyKeys = Heavy
             "doi_id": F.when(tx.clean(F.col("taxon")).isNotNull(), tx.doi_key(F.col("doi"))),
         }
     )
-    by_name = taxon_lookup(keyed, graph)
+    by_name = taxon_lookup(keyed, taxa_only(graph.taxon_names, graph.instance_of))
     by_doi = resolve_references(keyed.select(F.col("doi_id").alias("doi")), graph.ref_doi).withColumnRenamed(
         "key", "doi_id"
     )
     keyed = attach(keyed, [(by_name, "left")], "given", heavy.of("given"), F.col("seq"))
     keyed = attach(keyed, [(by_doi, "left")], "doi_id", heavy.of("doi_id"), F.col("seq"))
+    return with_dependencies(keyed)
+
+
+def with_dependencies(rows: DataFrame) -> DataFrame:
+    """``dependency_blocks`` and ``pending`` of rows with ``given``, ``doi_id``, ``t`` and ``r``."""
     has_taxon = F.col("given").isNotNull()
     no_taxon = has_taxon & F.col("t").isNull()
     no_reference = has_taxon & F.col("doi_id").isNotNull() & F.col("r").isNull()
     reference_lines = tx.clean(F.col("reference_lines")) if "reference_lines" in rows.columns else F.lit(None)
-    return keyed.withColumns(
+    return rows.withColumns(
         {
             "dependency_blocks": _lines(
                 F.when(no_taxon, creation_block(F.col("taxon"))), F.when(no_reference, reference_lines)
@@ -279,7 +287,7 @@ def with_known_compounds(rows: DataFrame, graph: Graph, heavy: HeavyKeys = Heavy
 
 
 def with_occurrence_flags(
-    rows: DataFrame, statements: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, n_rows: int = 0
+    rows: DataFrame, statements: DataFrame | PairIndex, policy: SkewPolicy = DEFAULT_POLICY, n_rows: int = 0
 ) -> DataFrame:
     """``occurs`` for rows with ``known_c``, ``t`` and ``r``.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from occurra.functions import chemistry as ch
 from occurra.functions import text as tx
 from occurra.model import Graph
+from occurra.operators.pairs import PairIndex
 from occurra.operators.skew import DEFAULT_POLICY, HeavyKeys, SkewPolicy, attach, heavy_keys
 from occurra.operators.structures import FingerprintIndex
 from occurra.operators.taxonomy import CladeIndex, descendants, descendants_of_each
@@ -27,13 +28,15 @@ LABEL_LANGUAGES = ("mul", "en")
 
 @dataclass
 class Occurrences:
-    """A graph with the skew profile of its statement table (taken once) and, where they are stored, indexes of structures and clades."""
+    """A graph with the skew profile of its statement table (taken once) and, where they are stored, indexes of structures,
+    clades and (compound, taxon) pairs."""
 
     graph: Graph
     policy: SkewPolicy = field(default=DEFAULT_POLICY)
     _heavy: HeavyKeys | None = None
     structures: FingerprintIndex | None = None
     clades: CladeIndex | None = None
+    pairs: PairIndex | None = None
 
     @property
     def heavy(self) -> HeavyKeys:

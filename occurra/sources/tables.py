@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from occurra.model import Graph
 from occurra.operators.occurrences import Occurrences
+from occurra.operators.pairs import PairIndex, write_pairs
 from occurra.operators.similarity import n_words, pack
 from occurra.operators.skew import DEFAULT_POLICY, HeavyKeys, SkewPolicy, heavy_keys
 from occurra.operators.structures import FingerprintIndex, write_index
@@ -27,7 +28,7 @@ def write_graph(graph: Graph, folder: str, policy: SkewPolicy = DEFAULT_POLICY,
     """Tables of a graph, and the skew profile of its statements, taken once for all searches.
 
     Fingerprints are stored with their bits packed into words and sorted by size, so a
-    similarity search packs nothing and skips row groups of other sizes; beside them lie an index by bit and,
+    similarity search packs nothing and skips row groups of other sizes; beside them lie an index by bit, the occurrences by (compound, taxon) and,
     unless the taxonomy is too deep for it, the lineages by ancestor.
     """
     for name in TABLES:
@@ -38,6 +39,7 @@ def write_graph(graph: Graph, folder: str, policy: SkewPolicy = DEFAULT_POLICY,
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
     spark = graph.statements.sparkSession
     write_index(spark.read.parquet(f"{folder}/fingerprints"), f"{folder}/structures", n_bits)
+    write_pairs(spark.read.parquet(f"{folder}/statements"), f"{folder}/pairs")
     lineages = write_clades(spark.read.parquet(f"{folder}/taxon_parent"), f"{folder}/clades")
     spark.createDataFrame([(n_bits, lineages)], "n_bits int, lineages boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
     heavy = heavy_keys(spark.read.parquet(f"{folder}/statements"), ["c", "t", "r"], policy)
@@ -53,7 +55,7 @@ def read_occurrences(spark: SparkSession, folder: str, policy: SkewPolicy = DEFA
     stored = spark.read.parquet(f"{folder}/settings").first()
     structures = FingerprintIndex(spark, f"{folder}/structures", stored["n_bits"])
     clades = CladeIndex(spark, f"{folder}/clades") if stored["lineages"] else None
-    return Occurrences(read_graph(spark, folder), policy, HeavyKeys(salts), structures, clades)
+    return Occurrences(read_graph(spark, folder), policy, HeavyKeys(salts), structures, clades, PairIndex(spark, f"{folder}/pairs"))
 
 
 def read_graph(spark: SparkSession, folder: str) -> Graph:

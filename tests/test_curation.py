@@ -159,3 +159,66 @@ def test_intake_stream(spark, tmp_path):
     assert run() == ["A", "B"]
     assert run() == ["A", "B"]
     assert sorted((r["added"], r["skipped"]) for r in read_log(spark, queue).collect()) == [(1, 1), (1, 1)]
+
+
+def test_a_small_batch_reads_few_buckets(spark, graph, tmp_path):
+    from occurra.operators.pairs import FEWEST_BUCKETS, PairIndex, bucket_of, write_pairs
+
+    write_pairs(graph.statements, str(tmp_path / "pairs"))
+    index = PairIndex(spark, str(tmp_path / "pairs"))
+    assert index.buckets == FEWEST_BUCKETS
+    some = graph.statements.select("c", "t").distinct().orderBy("c", "t").limit(7).collect()
+    batch = spark.createDataFrame([tuple(r) for r in some] + [("Q1", "Q2"), ("Q3", None), (None, "Q4")], "c string, t string")
+    found = cu.known_occurrences(batch, index)
+    want = cu.known_occurrences(batch, graph.statements)
+    assert sorted(found.collect()) == sorted(want.collect()) and found.count() >= 7
+    plan_text = found._jdf.queryExecution().executedPlan().toString()
+    asked = {r[0] for r in batch.filter("c IS NOT NULL AND t IS NOT NULL").select(bucket_of(index.buckets)).collect()}
+    pruned = plan_text.split("PartitionFilters: [")[1].split("]")[0]
+    assert all(str(b) in pruned for b in asked) and len(asked) <= 8
+    files = {f.split("bucket=")[1].split("/")[0] for f in index.triples.filter(F.col("bucket").isin(sorted(asked))).inputFiles()}
+    assert len(files) == FEWEST_BUCKETS  # of the table
+    read = index.triples.filter(F.col("bucket").isin(sorted(asked))).select(F.input_file_name().alias("f")).distinct().collect()
+    assert {r["f"].split("bucket=")[1].split("/")[0] for r in read} <= {str(b) for b in asked}
+
+
+def test_curation_through_the_layout_by_pair(spark, graph, tmp_path):
+    from occurra.operators.occurrences import Occurrences
+    from occurra.operators.pairs import PairIndex, write_pairs
+
+    write_pairs(graph.statements, str(tmp_path / "pairs"))
+    stored = Occurrences(graph, pairs=PairIndex(spark, str(tmp_path / "pairs")))
+    rows = star.view(spark, "/root/testdata/sf0.001", "converted")
+    want = sorted(map(str, plan.curate(rows, graph).results.collect()))
+    assert sorted(map(str, plan.curate(rows, stored).results.collect())) == want
+
+
+def test_the_delta_equals_a_second_look_at_everything(spark, graph):
+    """Taxa, references, compounds, properties and statements added between the passes."""
+    from dataclasses import replace
+
+    # one spelling a taxon: which one is tried first depends on the rows looked up together
+    rows = star.view(spark, "/root/testdata/sf0.001", "converted").withColumn("taxon", F.initcap(F.btrim("taxon")))
+    rows = rows.withColumn("taxon", F.when(F.col("taxon").startswith("Nation"), F.upper("taxon")).otherwise(F.col("taxon")))
+    before = replace(
+        graph,
+        taxon_names=graph.taxon_names.filter("t NOT LIKE '%3'"),
+        instance_of=graph.instance_of.filter("t NOT LIKE '%5'"),
+        ref_doi=graph.ref_doi.filter("r NOT LIKE '%8'"),
+        compound_ids=graph.compound_ids.filter("c NOT LIKE '%1'"),
+        mass=graph.mass.filter("c NOT LIKE '%4'"),
+        inchi=graph.inchi.filter("c NOT LIKE '%3'"),
+        statements=graph.statements.filter("statement NOT LIKE '%2'"),
+    )
+    # a pair of the graph that the second pass completes or finds added
+    first = plan.curate(rows, before)
+    assert first.results.filter(F.size("dependency_blocks") > 0).count() > 50
+    whole = plan.second_pass(first.results, rows, graph).results
+    added = plan.added_since(before, graph)
+    delta = plan.second_pass_added(first, graph, added).results
+    assert sorted(map(str, delta.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+    changed = delta.join(first.results.select("seq", F.col("dependency_blocks").alias("old")), "seq").filter("dependency_blocks <> old")
+    assert changed.count() > 5
+    # nothing added: nothing changes
+    nothing = plan.second_pass_added(first, before, plan.added_since(before, before)).results
+    assert sorted(map(str, nothing.collect())) == sorted(map(str, first.results.collect()))
