@@ -18,6 +18,7 @@ from occurra.catalog.registry import (
 )
 from occurra.model import ROW_LIMIT_DEFAULT, Criteria
 from occurra.operators import ordering, stats
+from occurra.operators.counting import counters
 from occurra.operators.filters import apply_filters, filter_year
 from occurra.operators.merging import dedup_candidates
 from occurra.operators.occurrences import Occurrences, enrich, result_rows
@@ -233,12 +234,24 @@ def filter_combined(spark, folder):
 
 @query("dataset_stats", STATS_SQL + "{all_rows}", CTES)
 def dataset_stats(spark, folder):
-    return stats.dataset_stats(result_rows(enrich(occ(spark, folder))))
+    return counters(occ(spark, folder))
 
 
 @query("clade_stats", STATS_SQL + "{clade_rows}", CTES)
 def clade_stats(spark, folder):
-    return stats.dataset_stats(search(spark, star.graph(spark, folder), CLADE).all_rows)
+    return search(spark, star.graph(spark, folder), CLADE).counted
+
+
+@query("flagship_stats", STATS_SQL + "{flagship_rows}", CTES)
+def flagship_stats(spark, folder):
+    """Counters under bounds on clade, mass, year and formula."""
+    return search(spark, star.graph(spark, folder), FLAGSHIP).counted
+
+
+@query("dataset_stats_rows", STATS_SQL + "{all_rows}", CTES)
+def dataset_stats_rows(spark, folder):
+    """The same counters from the rows, as for rows that come from a file."""
+    return stats.dataset_stats(result_rows(enrich(occ(spark, folder))))
 
 
 @query(

@@ -115,11 +115,16 @@ def capped_rows(df: DataFrame, order: list[Column], cap: int | None = None) -> D
 
 def capped_stats(df: DataFrame, cap: int | None = None) -> DataFrame:
     """D3 and D10, counters: over all rows, plus whether the cap cuts them."""
+    return with_cap(dataset_stats(df), cap)
+
+
+def with_cap(counted: DataFrame, cap: int | None = None) -> DataFrame:
+    """``n_returned`` and ``capped`` beside counters over all rows."""
     cap = row_limit(cap)
     every = F.col("n_entries_unique")
     shown = every if cap is None else F.least(every, F.lit(cap).cast("bigint"))
     return (
-        dataset_stats(df)
+        counted
         .withColumn("n_returned", shown)
         .withColumn("capped", F.col("n_entries_unique") > F.col("n_returned"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from occurra.functions import text as tx
 from occurra.model import BIOTA, Criteria, Graph
 from occurra.operators import filters, stats
+from occurra.operators.counting import counters
 from occurra.operators.occurrences import Occurrences, compound_table, result_rows
 from occurra.operators.requests import criteria_table, query_hash
 from occurra.operators.resolve import rank_matches
@@ -134,20 +135,60 @@ def any_taxon(occ: Occurrences, compounds: DataFrame) -> DataFrame:
 ENTRY_ORDER = (*stats.ENTRY_KEY, "statement", "mass", "name", "ref_title", "ref_doi", "pub_year", "smiles")
 
 
+def search_counters(occ: Occurrences, criteria: Criteria, qid: str | None, query_bits: list[int] | None = None, n_bits: int = 64) -> DataFrame | None:
+    """D1 of a search without its rows; None for structures without a taxon, whose compounds may occur nowhere."""
+    g = occ.graph
+    structure = bool(criteria.smiles.strip())
+    if structure and qid is None:
+        return None
+    if structure and qid == "*":
+        qid = BIOTA
+    clade = None if qid in (None, "*") else cut_lineage(occ.descendants(qid).select("t"), "clade")
+    compounds = g.compound_ids.select("c")
+    if structure:
+        compounds = compounds.join(structure_hits(occ, criteria, query_bits, n_bits), "c", "left_semi")
+    if criteria.mass_active:
+        compounds = compounds.join(g.mass.withColumnRenamed("v", "mass"), "c")
+        compounds = filters.filter_mass(compounds, criteria.mass_min, criteria.mass_max)
+    if criteria.formula_active:
+        compounds = filters.filter_formula(compounds.join(g.formula_raw.withColumnRenamed("v", "formula_raw"), "c"), criteria)
+    dates = filters.filter_year(g.ref_date, criteria.year_min, criteria.year_max, "v") if criteria.year_active else None
+    return counters(occ, compounds, clade, dates)
+
+
 @dataclass
 class SearchResult:
-    """One search over its matching rows; each part is planned when asked for."""
+    """One search; each part is planned when asked for.
+
+    Counters are multiplied out without the rows, unless these are stored.
+    """
 
     criteria: Criteria
     taxon: TaxonChoice
-    matches: DataFrame  # every matching row, enriched (RDF export)
-    all_rows: DataFrame  # every matching row as RESULT_ROW (other exports)
-    limit: int | None
+    occ: Occurrences
+    limit: int | None = None
+    query_bits: list[int] | None = None
+    n_bits: int = 64
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        """Every matching row, enriched (RDF export)."""
+        return enriched_matches(self.occ, self.criteria, self.taxon.qid, self.query_bits, self.n_bits)
+
+    @cached_property
+    def all_rows(self) -> DataFrame:
+        """Every matching row as RESULT_ROW (other exports)."""
+        return result_rows(self.matches)
+
+    @cached_property
+    def counted(self) -> DataFrame | None:
+        """D1 over all rows without them, where that can be."""
+        return search_counters(self.occ, self.criteria, self.taxon.qid, self.query_bits, self.n_bits)
 
     def store(self) -> "SearchResult":
         """Run the search once: rows, counters, hashes and exports then read its stored rows."""
         self.matches = cut_lineage(self.matches, "matches")
-        self.all_rows = result_rows(self.matches)
+        self.all_rows, self.counted = result_rows(self.matches), None
         return self
 
     def persist(self) -> "SearchResult":
@@ -166,11 +207,12 @@ class SearchResult:
     @cached_property
     def stats(self) -> DataFrame:
         """Counters over all rows, with ``n_returned`` and ``capped``."""
-        return stats.capped_stats(self.all_rows, self.limit)
+        counted = self.counted
+        return stats.with_cap(stats.dataset_stats(self.all_rows) if counted is None else counted, self.limit)
 
     @cached_property
     def query_hash(self) -> DataFrame:
-        spark = self.all_rows.sparkSession
+        spark = self.occ.graph.statements.sparkSession
         return query_hash(criteria_table(spark, self.criteria, self.taxon.qid)).select("query_hash")
 
     @cached_property
@@ -194,5 +236,6 @@ def search(
 ) -> SearchResult:
     occ = graph if isinstance(graph, Occurrences) else Occurrences(graph)
     choice = resolve_taxon(spark, occ.graph, criteria.taxon)
-    matches = enriched_matches(occ, criteria, choice.qid, query_bits, n_bits)
-    return SearchResult(criteria, choice, matches, result_rows(matches), limit)
+    if criteria.smiles.strip() and query_bits is None:
+        raise ValueError("a structure search needs the bits of its query structure")
+    return SearchResult(criteria, choice, occ, limit, query_bits, n_bits)
