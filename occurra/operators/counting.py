@@ -52,11 +52,16 @@ def counters(occ: Occurrences, compounds: DataFrame | None = None, clade: DataFr
     taxa = g.taxon_names.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
     taxa = taxa if clade is None else taxa.join(clade.select("t").distinct(), "t", "left_semi")
     factors = compound_factors(occ, g.compound_ids.select("c") if compounds is None else compounds)
-    triples = g.statements.groupBy("c", "t", "r").agg(F.count(F.lit(1)).alias("n"))
     spread = F.xxhash64("c", "t", "r")
-    sides = [(taxa, "t", "inner"), (factors, "c", "inner")]
-    for side, key, how in sides if clade is not None else reversed(sides):
-        triples = attach(triples, [(side, how)], key, occ.heavy.of(key), spread)
+    facts, sides = g.statements.select("c", "t", "r").withColumn("n", F.lit(1).cast("bigint")), [(factors, "c"), (taxa, "t")]
+    if clade is not None:
+        # the clade cuts most statements off before they are grouped
+        facts, sides = attach(facts, [(taxa, "inner")], "t", occ.heavy.of("t"), spread).withColumn("n", F.col("n_t")).drop("n_t"), sides[:1]
+    triples = facts.groupBy("c", "t", "r").agg(F.sum("n").alias("n"))
+    for side, key in sides:
+        triples = attach(triples, [(side, "inner")], key, occ.heavy.of(key), spread)
+    if clade is not None:
+        triples = triples.withColumn("n_t", F.lit(1))
     if dates is None:
         known = [_several(t, "r", n) for t, n in ((g.ref_date, "n_d"), (g.ref_title, "n_title"), (g.ref_doi, "n_doi"))]
         triples = attach(triples, [(k, "left") for k in known], "r", occ.heavy.of("r"), spread)
