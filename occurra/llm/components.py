@@ -54,3 +54,20 @@ def components(links: DataFrame, most: int | None = None) -> DataFrame:
         resolved = parents.join(above, "parent", "left").select("node", F.coalesce("label", "parent").alias("label"))
         labels = cut_lineage(fitted(resolved, 2 * size), "labels")
     return labels
+
+
+def joined_by(reached: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
+    """``reached`` (``node, label``, as ``components`` gives it) after ``n_links`` more links (a, b): only these are contracted.
+
+    Their ends are taken to the labels reached so far; what these then reach is put in the labels' place.
+    """
+
+    def end(x: str) -> DataFrame:
+        return reached.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+
+    ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    between = cut_lineage(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b"), "between")
+    new = components(between, n_links)
+    moved = new.select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    known = reached.join(moved, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    return cut_lineage(known.unionAll(new.join(reached.select("node"), "node", "left_anti").select("node", "label")), "reached")

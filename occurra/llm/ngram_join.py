@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from occurra.llm.common import as_bytes, ascii_lower, batch_words, key_filter, mix, passes_filter, records, small_batches, split_by_keys, window_hashes
-from occurra.llm.components import components, fitted
+from occurra.llm.components import components, fitted, joined_by
 from occurra.session import counted_stage, cut_lineage
 
 BAND_RATIO = 1.5
@@ -179,9 +179,10 @@ class Bands:
             where = np.repeat(starts[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum())
             of = np.repeat(chosen, n)
             rest = np.ones(len(where), dtype=np.int64)
-            if often.max() > bucket_rows:
-                # what is left without one shingle is frequent only where at most one is not
-                rare = np.add.reduceat((often <= bucket_rows).astype(np.int64), starts)
+            if often.max() >= bucket_rows:
+                # what is left without one shingle is frequent only where at most one is not; from ``bucket_rows`` on
+                # a content is salted, however it came about
+                rare = np.add.reduceat((often < bucket_rows).astype(np.int64), starts)
                 for j in np.flatnonzero(rare[of] <= 1):
                     others = np.delete(often[starts[of[j]] : starts[of[j]] + counts[of[j]]], where[j] - starts[of[j]])
                     rest[j] = others.min()
@@ -441,8 +442,7 @@ def ngram_jaccard_join(
         asked = _direct_pairs(unsettled, classes, percent) if last else _hub_pairs(unsettled, step)
         found, n_found = _verified(texts, classes, asked, left, width, percent)
         if n_found:
-            links, n_links = links.unionAll(found), n_links + n_found
-            reached = components(links, n_links)
+            reached = joined_by(reached, found, n_found)
         if last:
             break
     labelled = classes.join(reached, F.col("rep") == F.col("node"), "left").select(

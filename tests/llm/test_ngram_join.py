@@ -134,3 +134,45 @@ def test_odd_rows(odd_documents):
 
 def test_no_rows(documents):
     assert ngram_jaccard_join(documents([])).collect() == []
+
+
+def test_salts_agree_where_a_frequency_equals_the_limit():
+    """One content, one bucket: salted or not alike, be it a whole segment of a set or what a deletion leaves of one."""
+    import numpy as np
+
+    limit = 50
+    bands = Bands(80)
+    rng = np.random.default_rng(9)
+    met = 0
+    for often in (limit - 1, limit, limit + 1, 2 * limit):
+        for size in [*range(10, 60), 150]:
+            x = np.unique(rng.integers(0, 2**64, size=size, dtype=np.uint64))
+            sets = [x, *[np.delete(x, i) for i in rng.choice(len(x), size=5, replace=False)]]
+            frequent = (x, np.where(rng.random(len(x)) < 0.9, often, 1).astype(np.int64))
+            parts, salts_of = {}, {}
+            for of, sig, _, salts in bands.signatures(sets, frequent, {}, limit):
+                for i, one, n in zip(of.tolist(), sig.tolist(), salts.tolist(), strict=True):
+                    parts.setdefault(one, set()).add(i)
+                    salts_of.setdefault(one, set()).add(n)
+            assert all(len(n) == 1 for n in salts_of.values()), (often, size)
+            met += sum(len(i) > 1 for i in parts.values())
+    assert met > 1000
+
+
+def test_components_grow_by_links(spark):
+    import random
+
+    from occurra.llm.components import components, joined_by
+
+    rng = random.Random(4)
+    for _ in range(3):
+        links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+        first, more = links[:15], links[15:]
+        schema = "a long, b long"
+        whole = {tuple(r) for r in components(spark.createDataFrame(links, schema)).collect()}
+        grown = joined_by(components(spark.createDataFrame(first, schema)), spark.createDataFrame(more, schema), len(more))
+        assert {tuple(r) for r in grown.collect()} == whole
+        again = joined_by(grown, spark.createDataFrame(more, schema), len(more))
+        assert {tuple(r) for r in again.collect()} == whole
+        none = joined_by(components(spark.createDataFrame([], schema)), spark.createDataFrame(links, schema), len(links))
+        assert {tuple(r) for r in none.collect()} == whole
