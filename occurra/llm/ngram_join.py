@@ -430,7 +430,7 @@ def ngram_jaccard_join(
     unsettled = members.select("sig", "id", "look").unionAll(hubs).distinct()
     for step in range(1, HUB_ROUNDS + 2):
         by_id = classes.join(reached, F.col("rep") == F.col("node"), "left").select(
-            _short(F.col("ida")).alias("id"), F.coalesce("label", "rep").alias("comp")
+            _short(F.col("ida")).alias("id"), F.coalesce("label", "rep").alias("comp"), "n", *_folded(F.col("sketch"))
         )
         unsettled, left = counted_stage(fitted(_unsettled(unsettled.select("sig", "id", "look"), by_id), n_members), "unsettled")
         if not left:
@@ -439,7 +439,7 @@ def ngram_jaccard_join(
         of_sig = of_comp.groupBy("sig").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs"))
         pairs = of_sig.agg(F.sum("pairs")).first()[0] / 2
         last = step > HUB_ROUNDS or pairs <= DIRECT_PAIRS * n_members
-        asked = _direct_pairs(unsettled, classes, percent) if last else _hub_pairs(unsettled, step)
+        asked = _direct_pairs(unsettled, percent) if last else _hub_pairs(unsettled, step, percent)
         found, n_found = _verified(texts, classes, asked, left, width, percent)
         if n_found:
             reached = joined_by(reached, found, n_found)
@@ -455,9 +455,12 @@ def ngram_jaccard_join(
 
 
 def _unsettled(rows: DataFrame, by_id: DataFrame) -> DataFrame:
-    """``sig, id, look, comp`` of the buckets whose members are not all in one component. A bucket of two has met."""
+    """``sig, id, look, comp``, size and folded sketch of the buckets whose members are not all in one component.
+
+    A bucket of two has met.
+    """
     bucket = Window.partitionBy("sig")
-    seen = rows.join(by_id, "id").select("sig", "id", "look", "comp")
+    seen = rows.join(by_id, "id").select("sig", "id", "look", "comp", "n", *_WORDS)
     marked = seen.select(
         "*",
         (F.min("comp").over(bucket) < F.max("comp").over(bucket)).alias("mixed"),
@@ -480,30 +483,34 @@ def _may_link(percent: int, size_x: Column, sketch_x: Column, size_y: Column, sk
     return (100 * F.least(size_x, size_y) >= percent * F.greatest(size_x, size_y)) & (apart <= most)
 
 
-def _hub_pairs(unsettled: DataFrame, step: int) -> DataFrame:
-    """A new hub per bucket against the members of other components."""
+#: Columns of a folded sketch.
+_WORDS = [f"w{i}" for i in range(FOLD_WORDS)]
+
+
+def _folded_may_link(percent: int, x, y) -> Column:
+    """False only where sizes or folded sketches rule a link out; ``x`` and ``y`` give the columns of either side."""
+    apart = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in _WORDS), F.lit(0))
+    sizes = 100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (x("n") + y("n")))
+
+
+def _hub_pairs(unsettled: DataFrame, step: int, percent: int) -> DataFrame:
+    """A new hub per bucket against the members of other components, but those that sizes or folded sketches rule out."""
     rank = F.xxhash64("id", F.lit(step))
-    hubs = unsettled.filter("look").groupBy("sig").agg(F.min(F.struct(rank.alias("rank"), "id", "comp")).alias("h"))
+    hubs = unsettled.filter("look").groupBy("sig").agg(F.min(F.struct(rank.alias("rank"), "id", "comp", "n", *_WORDS)).alias("h"))
     met = unsettled.join(hubs, "sig").filter(F.col("h.comp") != F.col("comp"))
-    return met.select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
+    near = met.filter(_folded_may_link(percent, F.col, lambda c: F.col(f"h.{c}")))
+    return near.select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _direct_pairs(unsettled: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _direct_pairs(unsettled: DataFrame, percent: int) -> DataFrame:
     """What the hubs left: members of different components of which one looks the bucket up.
 
     Sizes and folded sketches are part of the join condition, so a pair that they rule out is never written.
     """
-    folded = classes.select(_short(F.col("ida")).alias("id"), "n", *_folded(F.col("sketch")))
-    words = [f"w{i}" for i in range(FOLD_WORDS)]
-    rows = unsettled.join(folded, "id")
-    one, two = rows.alias("x"), rows.alias("y")
+    one, two = unsettled.alias("x"), unsettled.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    apart = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in words), F.lit(0))
-    on = (
-        (x("sig") == y("sig")) & (x("id") < y("id")) & (x("comp") != y("comp")) & (x("look") | y("look"))
-        & (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n")))
-        & ((100 + percent) * apart <= (100 - percent) * (x("n") + y("n")))
-    )
+    on = (x("sig") == y("sig")) & (x("id") < y("id")) & (x("comp") != y("comp")) & (x("look") | y("look")) & _folded_may_link(percent, x, y)
     return one.join(two, on).select(x("id").alias("a"), y("id").alias("b")).distinct()
 
 
