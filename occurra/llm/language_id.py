@@ -22,8 +22,9 @@ ORDERS = (2, 3)
 BUCKETS = 1 << 15
 #: Cells of the matrix; with very many languages the buckets (a power of two) shrink to keep to it.
 MOST_CELLS = 1 << 21
-#: Expected number of labelled texts to learn from; chosen by a hash of the text.
-TRAIN_ROWS = 20_000
+#: Expected number of labelled texts of every language to learn from; chosen by a hash of id and text.
+TRAIN_ROWS = 5_000
+_DRAW = 1 << 40
 #: Code points worked on at once; longer texts go on with their next piece.
 PIECE = 1 << 17
 UNKNOWN = "und"
@@ -99,19 +100,23 @@ class Model:
         return names, scores
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, id_col: str | None = "doc_id") -> Model:
     """Learn from the rows of ``docs`` with a text and a language.
 
-    About ``rows`` of them, by a hash of the text; all if there are fewer. Class frequencies are those of
+    About ``rows`` of every language, by a hash of id and text; all of a language that has no more, so a rare one is
+    learned however large the table. Without ``id_col`` equal texts are drawn together. Class frequencies are those of
     the sample.
     """
-    labelled = small_batches(docs).select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter(
-        "text IS NOT NULL AND lang IS NOT NULL"
+    own = F.col(f"`{id_col}`") if id_col else F.lit(None).cast("long")
+    labelled = small_batches(docs).select(
+        F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(own, f"`{text_col}`").alias("draw")
     )
-    there = docs.filter(F.col(f"`{lang_col}`").isNotNull()).count()
-    steps = 1_000_000
-    share = steps if there <= rows else rows * steps // there
-    sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(steps)) < share)
+    # one number per language
+    there = docs.groupBy(F.col(f"`{lang_col}`").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).filter("lang IS NOT NULL").collect()
+    if not there:
+        return Model((), np.zeros((1, 0), dtype=np.float32), np.zeros(0))
+    share = F.create_map(*[F.lit(x) for r in there for x in (r["lang"], min(1.0, rows / r["n"]))])[F.col("lang")]
+    sample = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.pmod("draw", F.lit(_DRAW)) < share * _DRAW).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in records(batches):

@@ -48,6 +48,21 @@ def test_language_of_odd_rows(odd_documents):
     assert not language_id.has_letter("12 ²½ #") and language_id.has_letter("1 ß")
 
 
+def test_a_rare_language_is_learned_beside_a_very_frequent_one(spark, documents):
+    rows = [(i, f"the house and the garden number {i} are there") for i in range(3000)]
+    base = documents(rows).withColumn("lang", F.lit("en"))
+    rare = documents([(10_000 + i, f"das haus und der garten nummer {i} sind schön") for i in range(12)]).withColumn("lang", F.lit("de"))
+    # one text with a third of the rows is drawn row by row
+    same = documents([(20_000 + i, "again and again the same words") for i in range(1500)]).withColumn("lang", F.lit("en"))
+    docs = base.unionByName(rare).unionByName(same)
+    model = language_id.train(docs, rows=100)
+    assert model.languages == ("de", "en")
+    share = np.exp(model.prior)
+    assert 0.04 < share[0] < 0.25  # all 12 of about 100 + 12
+    assert model.predict(["und das haus", "and the house"])[0] == ["de", "en"]
+
+
+
 # ---- substring dedup ----
 
 
