@@ -238,7 +238,7 @@ def test_key_filter_loses_nothing(spark):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_queries_with_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = catalog.queries()[name](spark, sf_dir)
     cursor = db.execute(catalog.oracle_sql()[name])
@@ -251,7 +251,7 @@ def test_queries_with_sql(spark, sf_dir, name):
 
 def test_all_queries_are_registered():
     names = set(contract.queries())
-    assert {n for n in names if n.startswith("op")} == set(catalog.queries()) and len(catalog.queries()) == 10
+    assert {n for n in names if n.startswith("op")} == set(catalog.queries()) and len(catalog.queries()) == 13
     assert "pipeline" in names
 
 
