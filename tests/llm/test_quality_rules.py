@@ -48,6 +48,17 @@ def test_labelled_rows_are_told_apart(given):
     assert sum(bad) <= 0.25 * len(bad)
 
 
+def test_bad_rows_outside_the_labels_are_found(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r for r in quality_rules(docs, labels.filter("crc32(CAST(doc_id AS STRING)) % 2 = 0")).collect()}
+    held_out = labels.filter("crc32(CAST(doc_id AS STRING)) % 2 = 1").collect()
+    good = [rows[r.doc_id].kept for r in held_out if r.quality == 1 and not rows[r.doc_id].base_failed]
+    bad = [rows[r.doc_id].kept for r in held_out if r.quality == 0]
+    assert len(good) > 1000 and sum(good) >= 0.995 * len(good)
+    assert len(bad) > 200 and sum(bad) <= 0.05 * len(bad)
+
+
 def test_filter_agrees_with_the_verdicts(given):
     docs, labels, rows = given
     kept = keep_good(docs, labels)
