@@ -10,6 +10,8 @@ budget. The benchmark goes to the texts in blocks of bounded size; texts are nev
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ ERROR_RATE = 0.08
 BLOCK_CHARS = 8_000_000
 #: Code points of a text worked on at once; the next piece starts early enough to hold a passage that was cut.
 PIECE = 1 << 18
+#: Shared q-grams held at once, one row per place in a text and place in an item.
+SLOTS = 1 << 22
 _BITS = 20
 
 
@@ -50,7 +54,7 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """Q-grams of a block of items. Blank items match nothing; items shorter than ``q`` match as they are."""
+    """Q-grams of a block of items. Blank items match nothing; items shorter than ``q`` match as whole words, unchanged."""
 
     def __init__(self, items: list[tuple[object, str | None]], q: int = Q, rate: float = ERROR_RATE):
         kept = [(key, normal(text)) for key, text in items]
@@ -82,8 +86,10 @@ class Index:
         for key, item in self.short:
             at = whole.find(item)
             while at >= 0:
-                found.append((key, at, at + len(item), 0))
-                at = whole.find(item, at + len(item))
+                past = at + len(item)
+                if _apart(whole, at) and _apart(whole, past):
+                    found.append((key, at, past, 0))
+                at = whole.find(item, at + 1)
         reach = 2 * self.longest
         start = 0
         while self.keys and start < len(whole):
@@ -100,23 +106,24 @@ class Index:
         where = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
         hit = self.grams[where] == grams[at]
         at, where = at[hit], where[hit]
-        times = self.times[where]
-        total = int(times.sum())
-        if not total:
+        shared = np.zeros(len(self.keys), dtype=np.int64)
+        for item, _ in self._shared(at, where):
+            shared += np.bincount(item, minlength=len(shared))
+        enough = shared >= self.bound
+        if not enough.any():
             return []
-        # one row per shared q-gram: place in the text, item, place in the item
-        slot = np.repeat(self.first[where] - np.cumsum(times) + times, times) + np.arange(total)
-        item, diagonal = self.item[slot], np.repeat(at, times) - self.place[slot]
-        enough = np.bincount(item, minlength=len(self.keys)) >= self.bound
-        rows = enough[item]
-        if not rows.any():
-            return []
-        item, diagonal = item[rows], diagonal[rows]
-        width = self.budget[item] + 1
-        half = (diagonal + self.longest) // width
         span = len(text) + 2 * self.longest + 2
-        # each q-gram counts in the two bands that overlap on its diagonal
-        key, count = np.unique(np.concatenate([item * span + half + 1, item * span + half]), return_counts=True)
+        keys, counts = [], []
+        for item, diagonal in self._shared(at, where):
+            rows = enough[item]
+            item, diagonal = item[rows], diagonal[rows]
+            half = (diagonal + self.longest) // (self.budget[item] + 1)
+            # each q-gram counts in the two bands that overlap on its diagonal
+            key, count = np.unique(np.concatenate([item * span + half + 1, item * span + half]), return_counts=True)
+            keys.append(key)
+            counts.append(count)
+        key, slot = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(slot, weights=np.concatenate(counts), minlength=len(key))
         item, half = key // span, key % span - 1
         out, done = [], set()
         for i, b in zip(item[count >= self.bound[item]], half[count >= self.bound[item]], strict=True):
@@ -133,6 +140,19 @@ class Index:
                 out.append((self.keys[i], *region))
         return out
 
+    def _shared(self, at: np.ndarray, where: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Item and diagonal of every shared q-gram, about ``SLOTS`` at a time."""
+        part = np.cumsum(self.times[where]) // SLOTS
+        for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+            times = self.times[where[cut]]
+            slot = np.repeat(self.first[where[cut]] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+            yield self.item[slot], np.repeat(at[cut], times) - self.place[slot]
+
+
+def _apart(text: str, at: int) -> bool:
+    """Whether no word of the text goes on across ``at``."""
+    return not (0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum())
+
 
 def _align(item: np.ndarray, text: np.ndarray, low: int, wide: int, budget: int) -> tuple[int, int, int] | None:
     """Best (start, end, edits) of the whole item along ``wide`` diagonals of the text from ``low`` on."""
@@ -162,9 +182,14 @@ def _align(item: np.ndarray, text: np.ndarray, low: int, wide: int, budget: int)
 
 
 def _best(found: list[tuple[object, int, int, int]]) -> list[tuple[object, int, int, int]]:
+    """Regions by fewest edits, without those that overlap a better one of the same item."""
     kept: list[tuple[object, int, int, int]] = []
+    taken: dict[object, list[tuple[int, int]]] = defaultdict(list)  # disjoint and in order, per item
     for key, start, end, edits in sorted(set(found), key=lambda r: (r[3], r[1], r[2], str(r[0]))):
-        if not any(key == k and start < e and s < end for k, s, e, _ in kept):
+        own = taken[key]
+        at = bisect_left(own, (end,))  # regions from here on begin at the end of this one or later
+        if not at or own[at - 1][1] <= start:
+            insort(own, (start, end))
             kept.append((key, start, end, edits))
     return sorted(kept, key=lambda r: (r[1], r[2], str(r[0])))
 
@@ -212,7 +237,11 @@ def contaminated_regions(
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of ``docs`` in which no item of the benchmark is found, unchanged."""
+    """The rows of ``docs`` in which no item of the benchmark is found, unchanged.
+
+    NULL and empty texts stay, as do repeated rows and rows without ids; further columns pass through. An empty
+    benchmark, or one of blank items, drops nothing.
+    """
     docs = small_batches(docs)
     for index in _blocks(benchmark, q, rate):
         docs = docs.filter(_clean(index)(F.col("text").cast("string")))

@@ -1,4 +1,5 @@
 import random
+import time
 
 from occurra.llm import decontamination
 from occurra.llm.decontamination import Index, contaminated_regions, normal, without_contaminated
@@ -88,3 +89,42 @@ def test_odd_rows(spark, odd_documents):
     assert without_contaminated(odd_documents, odd).count() == 6
     assert without_contaminated(odd_documents, odd.limit(0)).count() == 9
     assert contaminated_regions(odd_documents.limit(0), odd).collect() == []
+
+
+def test_short_items_are_whole_words():
+    index = Index([(1, "no"), (2, "a-b"), (3, "né")])
+    assert index.regions("Do you know another way? Nobody knows now.") == []
+    assert [(k, s) for k, s, _, _ in index.regions("No, a-b or xa-b, né; née. (no)")] == [(1, 0), (2, 4), (3, 17), (1, 27)]
+    assert [r[1] for r in Index([(1, "x x")]).regions("x x x x")] == [0, 4]
+
+
+def test_one_item_very_often_in_a_long_text():
+    rng = random.Random(8)
+    item = words(rng, 12)
+    text = f"{item} zz " * 6000
+    began = time.perf_counter()
+    found = Index([(1, item), (2, item)]).regions(text)
+    assert len(found) == 12000 and all(r[3] == 0 for r in found)
+    assert time.perf_counter() - began < 30
+
+
+def test_best_regions_against_all_pairs():
+    rng = random.Random(9)
+    for _ in range(200):
+        found = [(rng.randrange(2), s := rng.randrange(40), s + rng.randint(1, 9), rng.randrange(3)) for _ in range(30)]
+        kept = []
+        for r in sorted(set(found), key=lambda r: (r[3], r[1], r[2], str(r[0]))):
+            if not any(r[0] == k[0] and r[1] < k[2] and k[1] < r[2] for k in kept):
+                kept.append(r)
+        assert decontamination._best(found) == sorted(kept, key=lambda r: (r[1], r[2], str(r[0])))
+
+
+def test_frequent_grams_in_slices(monkeypatch):
+    rng = random.Random(10)
+    items = [(i, words(rng, 9)) for i in range(30)]
+    text = " ".join(changed(rng, t, 1) for _, t in items)
+    want = Index(items).regions(text)
+    assert len(want) >= 25
+    for slots in (1, 50):
+        monkeypatch.setattr(decontamination, "SLOTS", slots)
+        assert Index(items).regions(text) == want
