@@ -7,15 +7,18 @@ generated code.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from occurra.operators.skew import DEFAULT_POLICY, SkewPolicy, attach, heavy_keys
-from occurra.session import cut_lineage
+from occurra.session import counted_stage, cut_lineage
 
-BLOCK_ROWS = 20_000  # rows per block of a token's posting list
+BLOCK_ROWS = 20_000  # rows that may come to one key before it is split
+LEVELS = 3  # tokens in a key
+NO_CELL = -1  # of a key that is not split by size band
 
 
 def n_words(n_bits: int) -> int:
@@ -120,83 +123,117 @@ def _rarity_rank(groups: DataFrame, n_bits: int) -> list[int]:
     return rank
 
 
+def _ranked(groups: DataFrame, threshold: float, n_bits: int) -> DataFrame:
+    """``(rep, n, size, least, band, tokens, w0..wk)``: bits as tokens, rarest first, in the words too.
+
+    A pair at the threshold shares at least ``least`` tokens of either side, and lies in the same size band or in
+    neighbouring ones.
+    """
+    rank = _rarity_rank(groups, n_bits)
+    width = -math.log(threshold) + 1e-6  # a little wide, so that rounding never parts a pair by two bands
+    size = F.size("bits")
+    ranked = groups.select(
+        "rep",
+        "n",
+        size.alias("size"),
+        F.ceil(size * threshold - 1e-9).cast("int").alias("least"),
+        F.floor(F.ln(size) / width).cast("int").alias("band"),
+        F.array_sort(F.transform("bits", lambda b: F.get(F.array(*map(F.lit, rank)), b))).alias("tokens"),
+    )
+    return ranked.select("*", *[pack(F.col("tokens"), i).alias(f"w{i}") for i in range(n_words(n_bits))])
+
+
+def _extended(postings: DataFrame, level: int, n_bits: int) -> DataFrame:
+    """Keys of ``level - 1`` tokens with every token that may be the next one that a pair shares.
+
+    The first ``level`` shared tokens lie among the first ``size - least + level`` of each side. ``n_bits`` stands
+    for no further token, which only rows that need fewer than ``level`` shared ones can mean.
+    """
+    length = F.greatest(F.col("size") - F.col("least") + level - F.col("at"), F.lit(0))
+    following = F.slice("tokens", F.col("at") + 1, length)
+    none = F.when(F.col("least") < level, F.array(F.lit(n_bits))).otherwise(F.array().cast("array<int>"))
+    found = postings.withColumn("token", F.explode(F.concat(following, none)))
+    return found.withColumns(
+        {
+            "key": F.col("key") * (n_bits + 1) + F.col("token"),
+            "at": F.array_position("tokens", F.col("token")).cast("int"),
+            "level": F.lit(level),
+        }
+    )
+
+
+def similarity_postings(rows: DataFrame, n_bits: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows of ``_ranked`` under the keys ``(level, key, cell, row, col)`` at which pairs can meet.
+
+    A key starts as one token. One that more than ``block_rows`` rows come to is split by size band (``cell``), then by
+    the next tokens that a pair shares, up to ``LEVELS`` tokens; the number of copies of a row depends on its
+    own tokens and not on the length of a list. What is still too long after that is cut into ``g`` blocks.
+    """
+    start = rows.withColumns({"key": F.lit(0).cast("bigint"), "at": F.lit(0), "cell": F.lit(NO_CELL)})
+    postings = _extended(start, 1, n_bits)
+    parts = []
+    for level in range(LEVELS + 1):
+        counted = postings.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("long"))
+        heavy, n = counted_stage(counted.filter(F.col("long") > block_rows), "long_lists")
+        if not n:
+            parts.append(postings.withColumn("g", F.lit(1)))
+            break
+        marked = postings.join(heavy, ["key", "cell"], "left")
+        splits = F.col("long").isNotNull() & F.lit(level < LEVELS)
+        if level:
+            splits = splits & (F.col("token") < n_bits)
+        blocks = F.coalesce(F.ceil(F.col("long") / block_rows), F.lit(1)).cast("int")
+        parts.append(marked.filter(~splits).withColumn("g", blocks).drop("long"))
+        rest = marked.filter(splits).drop("long")
+        if level == 0:
+            postings = rest.withColumn("cell", F.explode(F.array("band", F.col("band") + 1)))
+        elif level < LEVELS:
+            postings = _extended(rest, level + 1, n_bits)
+    return reduce(DataFrame.unionByName, parts).drop("tokens", "least", "at")
+
+
 def similar_pairs(
     fingerprints: DataFrame, threshold: float, n_bits: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Exact pairs ``(a, b, similarity, n_a, n_b)`` of distinct fingerprints.
 
     Two sets at or above the threshold share a token among the rarest
-    ``size - ceil(t * size) + 1`` of each. Rows meet on such a token; a pair is
-    kept only at its first shared token and only once verified, both inside
+    ``size - ceil(t * size) + 1`` of each. Rows meet on the first tokens they share, within
+    neighbouring size bands (``similarity_postings``); a pair is
+    kept only at its first shared tokens and only once verified, both inside
     the join condition, so no candidate pair is ever written or shuffled.
-
-    Rows of a frequent token are cut into ``g`` blocks and meet in the cells
-    of the upper triangle of a ``g x g`` grid: each cell is its own join key
-    and holds about two blocks, whatever the length of the posting list.
     """
     groups = cut_lineage(fingerprint_groups(fingerprints).filter(F.size("bits") > 0), "prints")
-    rank = _rarity_rank(groups, n_bits)
+    rows = cut_lineage(_ranked(groups, threshold, n_bits), "packed")
     words = range(n_words(n_bits))
 
-    ranked = groups.withColumn(
-        "tokens", F.array_sort(F.transform("bits", lambda b: F.get(F.array(*map(F.lit, rank)), b)))
-    )
-    size = F.size("bits")
-    keep = (size - F.ceil(size * threshold - 1e-9) + 1).cast("int")
-    rows = ranked.select(
-        "rep",
-        "n",
-        size.alias("size"),
-        *[pack(F.col("bits"), i).alias(f"w{i}") for i in words],
-        F.slice("tokens", 1, keep).alias("prefix"),
-    )
-    rows = cut_lineage(rows.select("*", *[pack(F.col("prefix"), i).alias(f"p{i}") for i in words]), "packed")
-
-    postings = {
-        r["token"]: r["n"]
-        for r in rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()
-    }  # at most n_bits rows
-    blocks = [max(1, -(-postings.get(t, 0) // block_rows)) for t in range(n_bits)]
-
-    spread = rows.withColumn("token", F.explode("prefix")).drop("prefix")
-    if max(blocks) > 1:
-        grid = F.get(F.array(*map(F.lit, blocks)), F.col("token"))
-        spread = spread.withColumn("g", grid).withColumn(
-            "block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
-        )
-        left = spread.withColumn("cell", F.explode(F.expr("sequence(block, g - 1)"))).withColumnRenamed("block", "row")
-        right = spread.withColumn("row", F.explode(F.expr("sequence(0, block)"))).withColumnRenamed("block", "cell")
-        same_block = F.col("l.row") == F.col("l.cell")
-        meet = ["token", "row", "cell"]
-    else:
-        left = right = spread
-        same_block = F.lit(True)
-        meet = ["token"]
-
-    a, b = left.alias("l"), right.alias("r")
+    postings = similarity_postings(rows, n_bits, block_rows)
+    block = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    # the side of the larger band stands in its own cell only
+    a = postings.filter((F.col("cell") == F.col("band")) | (F.col("cell") == NO_CELL)).withColumn("row", block).withColumn("col", every).alias("l")
+    b = postings.withColumn("col", block).withColumn("row", every).alias("r")
+
     token = F.col("l.token")
-    shared = [F.col(f"l.p{i}").bitwiseAND(F.col(f"r.p{i}")) for i in words]
-    earlier = [
+    shared = [F.col(f"l.w{i}").bitwiseAND(F.col(f"r.w{i}")) for i in words]
+    below = [
         F.when(token >= 64 * (i + 1), F.lit(-1).cast("bigint"))
         .when(token <= 64 * i, F.lit(0).cast("bigint"))
         .otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), token - 64 * i)))
         for i in words
     ]
-    first_shared = reduce(
-        lambda x, y: x & y, [s.bitwiseAND(e) == 0 for s, e in zip(shared, earlier)]
-    )
-    common = _total([F.bit_count(F.col(f"l.w{i}").bitwiseAND(F.col(f"r.w{i}"))) for i in words])
-    score = tanimoto(common, F.col("l.size"), F.col("r.size"))
-    on = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in meet])
+    first_shared = _total([F.bit_count(s.bitwiseAND(m)) for s, m in zip(shared, below)]) == F.col("l.level") - 1
+    score = tanimoto(_total([F.bit_count(s) for s in shared]), F.col("l.size"), F.col("r.size"))
+    on = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("level", "key", "cell", "row", "col")])
     small, large = F.least("l.size", "r.size"), F.greatest("l.size", "r.size")
+    ordered = F.col("l.rep") < F.col("r.rep")
     condition = (
         on
         & (small >= large * threshold - 1e-9)
-        & (~same_block | (F.col("l.rep") < F.col("r.rep")))
+        & (((F.col("l.cell") != NO_CELL) & (F.col("l.band") > F.col("r.band"))) | ordered)
         & first_shared
         & (score >= threshold)
     )
-    ordered = F.col("l.rep") < F.col("r.rep")
     return a.join(b, condition).select(
         F.when(ordered, F.col("l.rep")).otherwise(F.col("r.rep")).alias("a"),
         F.when(ordered, F.col("r.rep")).otherwise(F.col("l.rep")).alias("b"),

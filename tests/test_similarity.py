@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -43,6 +44,32 @@ def test_pairs_equal_brute_force(frame, prints, threshold, block_rows):
         assert r["similarity"] == pytest.approx(jaccard(named[r["a"]], named[r["b"]]))
 
 
+@pytest.mark.parametrize("threshold, block_rows", [(0.3, 3), (0.5, 40), (0.6, 3)])
+def test_small_sets_that_share_few_bits(spark, threshold, block_rows):
+    sets = [frozenset(s) for n in (1, 2, 3) for s in itertools.combinations(range(9), n)]
+    frame = spark.createDataFrame([(f"c{i:03d}", sorted(s)) for i, s in enumerate(sets)], "c string, bits array<int>")
+    got = [(r["a"], r["b"]) for r in sim.similar_pairs(frame, threshold, 9, block_rows).collect()]
+    named = {f"c{i:03d}": s for i, s in enumerate(sets)}
+    assert sorted(got) == sorted((a, b) for a in named for b in named if a < b and jaccard(named[a], named[b]) >= threshold)
+
+
+def test_postings_grow_with_the_rows(spark):
+    rng = random.Random(3)
+
+    def copies(n, block_rows=50):
+        sets = set()
+        while len(sets) < n:
+            sets.add(frozenset(rng.sample(range(64), 8)))
+        frame = spark.createDataFrame([(f"c{i:05d}", sorted(s)) for i, s in enumerate(sets)], "c string, bits array<int>")
+        rows = sim._ranked(sim.fingerprint_groups(frame), 0.7, 64)
+        return sim.similarity_postings(rows, 64, block_rows).selectExpr("sum(g)", "max(g)").first()
+
+    small, large = copies(400), copies(4000)
+    assert large[1] == 1
+    # a row has three keys of one token, or in two cells six of two or ten of three, however long the lists are
+    assert small[0] <= 20 * 400 and large[0] <= 20 * 4000
+
+
 def test_copies_are_listed_once_each(frame, prints):
     members = sim.fingerprint_members(frame).collect()
     assert len(members) == len(prints)
