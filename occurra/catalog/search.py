@@ -19,12 +19,13 @@ from occurra.catalog.registry import (
 from occurra.model import ROW_LIMIT_DEFAULT, Criteria
 from occurra.operators import ordering, stats
 from occurra.operators.counting import counters
+from occurra.operators.digests import DigestTree
 from occurra.operators.filters import apply_filters, filter_year
 from occurra.operators.merging import dedup_candidates
 from occurra.operators.occurrences import Occurrences, enrich, result_rows
 from occurra.plans.requests import request_counters, resolve_requests, search_requests
 from occurra.plans.search import ENTRY_ORDER, search
-from occurra.session import scratch_path
+from occurra.session import cut_lineage, scratch_path
 from occurra.sources import star
 
 FLAGSHIP = Criteria(
@@ -296,17 +297,27 @@ def result_hash(spark, folder):
     return search(spark, star.graph(spark, folder), criteria).result_hash
 
 
-@query(
-    "result_digest",
-    f"""SELECT sha256(coalesce(string_agg(digest, '|' ORDER BY bucket), '')) AS result_digest FROM
+_DIGEST_SQL = f"""SELECT sha256(coalesce(string_agg(digest, '|' ORDER BY bucket), '')) AS result_digest FROM
 (SELECT bucket, sha256(string_agg(id, '|' ORDER BY id)) AS digest FROM
 (SELECT id, ('0x' || substr(sha256(id), 1, 8))::bigint % {stats.DIGEST_BUCKETS} AS bucket
-FROM (SELECT DISTINCT c AS id FROM {{statements}}) i) b GROUP BY bucket) d""",
-)
+FROM (SELECT DISTINCT c AS id FROM {{statements}}) i) b GROUP BY bucket) d"""
+
+
+@query("result_digest", _DIGEST_SQL)
 def result_digest(spark, folder):
     return stats.result_digest(star.view(spark, folder, "statements"), "c")
 
 
+@query("result_digest_added", _DIGEST_SQL)
+def result_digest_added(spark, folder):
+    """The same digest when the statements of other taxa come first and those of the clade are added to them."""
+    statements, clade = star.view(spark, folder, "statements"), cut_lineage(occ(spark, folder).descendants("Q10").select("t"), "clade")
+    tree = DigestTree(spark, scratch_path(spark, "digest_tree"))
+    tree.write(statements.join(clade, "t", "left_anti"), "c")
+    tree.add(statements.join(clade, "t", "left_semi"), 1, "c")
+    return tree.digest(1)
+
+
 # ---- sorting and paging -----------------------------------------------------
 
 

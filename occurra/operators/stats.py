@@ -157,12 +157,21 @@ def result_digest(df: DataFrame, compound: str = "compound_qid", buckets: int =
     Ids fall into a fixed number of buckets by their own SHA-256, so no group
     depends on one key and the last step joins at most ``buckets`` digests.
     """
+    return whole_digest(bucket_digests(digest_ids(df, compound, buckets)))
+
+
+def digest_ids(df: DataFrame, compound: str = "compound_qid", buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """Distinct ``(id, bucket)``."""
     ids = df.select(F.col(compound).alias("id")).filter(F.col("id").isNotNull()).distinct()
     prefix = F.conv(F.substr(F.sha2(F.col("id"), 256), F.lit(1), F.lit(8)), 16, 10).cast("bigint")
-    parts = (
-        ids.withColumn("bucket", prefix % buckets)
-        .groupBy("bucket")
-        .agg(F.expr("sha2(listagg(id, '|') WITHIN GROUP (ORDER BY id), 256)").alias("digest"))
-    )
+    return ids.withColumn("bucket", prefix % buckets)
+
+
+def bucket_digests(ids: DataFrame) -> DataFrame:
+    """``(bucket, digest)`` over the sorted ids of every bucket that has some."""
+    return ids.groupBy("bucket").agg(F.expr("sha2(listagg(id, '|') WITHIN GROUP (ORDER BY id), 256)").alias("digest"))
+
+
+def whole_digest(parts: DataFrame) -> DataFrame:
     whole = F.expr("listagg(digest, '|') WITHIN GROUP (ORDER BY bucket)")
     return parts.agg(F.sha2(F.coalesce(whole, F.lit("")).cast("binary"), 256).alias("result_digest"))

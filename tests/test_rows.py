@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from occurra.operators import filters, ordering, resolve, stats
+from occurra.operators.digests import DigestTree
 from occurra.operators.occurrences import Occurrences, pick_label
 from occurra.plans.search import TaxonNotFound, any_taxon, resolve_taxon
 from occurra.sources import star
@@ -70,6 +71,30 @@ def test_result_hash_and_digest(table):
     assert stats.result_digest(df).first() != stats.result_digest(df.filter("compound_qid = 'Q1'")).first()
 
 
+def test_digest_tree_follows_added_rows(spark, table, tmp_path):
+    names = [(f"Q{i}",) for i in range(3000)]
+    day = [("Q5",), (None,), ("Q9001",), ("Q9001",), ("Q9002",)]
+    tree = DigestTree(spark, str(tmp_path / "tree"))
+    tree.write(table(names, "compound_qid string"))
+    want = [stats.result_digest(table(rows, "compound_qid string")).first() for rows in (names, names + day)]
+    assert tree.digest(0).first() == want[0]
+    for _ in range(2):  # a repeated run leaves the same
+        tree.add(table(day, "compound_qid string"), 1)
+        assert tree.digest(1).first() == want[1]
+    # buckets without new ids keep their digests, and only the folders of the offered ids are read
+    changed = tree.digests(1).join(tree.digests(0), ["bucket", "digest"], "left_anti").count()
+    assert 1 <= changed <= 2
+    plan = tree._ids(1, [3, 7])._jdf.queryExecution().executedPlan().toString()
+    assert "part" in plan.split("PartitionFilters: [")[1].split("]")[0] and "IN (3,7)" in plan.split("PartitionFilters: [")[1]
+    tree.add(table(day, "compound_qid string").filter("false"), 2)
+    assert tree.digest(2).first() == want[1]
+    none = DigestTree(spark, str(tmp_path / "none"))
+    none.write(table(day, "compound_qid string").filter("false"))
+    assert none.digest(0).first()[0] == stats.result_digest(table(day, "compound_qid string").filter("false")).first()[0]
+    none.add(table(names, "compound_qid string"), 1)
+    assert none.digest(1).first() == want[0]
+
+
 @pytest.mark.parametrize("values", [["Gamma", "Alpha", "Beta"], ["Zeta", None, "Alpha"], [None, None, "x"], ["b", "B", "b"]])
 def test_sort_and_its_reverse(table, values):
     df = table([(v, i) for i, v in enumerate(values)], "name string, pos int")
