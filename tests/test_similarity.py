@@ -94,3 +94,16 @@ def test_high_bits_survive_packing(spark):
     df = spark.sql("SELECT 'x' AS c, array(63, 64, 127) AS bits")
     row = sim.packed(df, 128).first()
     assert [row["w0"], row["w1"]] == sim.literal_words([63, 64, 127], 128)
+
+
+def test_dense_fingerprints_meet_in_a_grid_once(spark, monkeypatch):
+    """Half of 64 bits set: the lists of tokens would make more candidates than there are pairs."""
+    rng = random.Random(5)
+    prints = {f"c{i:03d}": frozenset(rng.sample(range(64), rng.randint(24, 40))) for i in range(150)}
+    prints |= {f"d{i:03d}": b ^ {rng.randrange(64)} for i, b in enumerate(list(prints.values())[:40])}
+    frame = spark.createDataFrame([(c, sorted(b)) for c, b in prints.items()], "c string, bits array<int>")
+    monkeypatch.setattr(sim, "similarity_postings", None)
+    want = {(a, b) for a, b in itertools.combinations(sorted(prints), 2) if jaccard(prints[a], prints[b]) >= 0.6}
+    for block_rows in (20_000, 30):
+        got = [(r["a"], r["b"]) for r in sim.similar_pairs(frame, 0.6, 64, block_rows).collect()]
+        assert len(got) == len(want) >= 40 and set(got) == want
