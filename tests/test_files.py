@@ -132,3 +132,11 @@ def test_gzip_export(spark, tmp_path):
     files.write_results_csv(df, str(tmp_path / "c"), gzip=True)
     files.write_results_json(df, str(tmp_path / "j"), gzip=True)
     assert list((tmp_path / "c").glob("*.csv.gz")) and list((tmp_path / "j").glob("*.json.gz"))
+
+
+def test_texts_are_trimmed_once(spark):
+    raw = spark.createDataFrame([(" Q5 ",)], "compound string")
+    plain = res.normalize_result_rows(raw.select("compound", *[F.col("compound").alias(h) for h in res.RESULT_HEADERS[1:]]))
+    text = plain._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert text.count("trim") <= 40  # one per text, three more per id, and those of the filter by compound
+    assert plain.first()["compound_qid"] == "Q5"
