@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,22 @@ def test_texts_are_trimmed_once(spark):
     text = plain._jdf.queryExecution().optimizedPlan().toString().lower()
     assert text.count("trim") <= 40  # one per text, three more per id, and those of the filter by compound
     assert plain.first()["compound_qid"] == "Q5"
+
+
+def test_long_terms_are_not_shuffled(spark):
+    """Terms are shuffled for compounds and references only, of which there are fewer than rows."""
+    schema = (
+        "c string, inchikey string, smiles_conn string, smiles_iso string, mass double, formula_raw string, label string, "
+        "label_lang string, statement string, t string, ref string, r string, taxon_name string, ref_title string, "
+        "ref_doi string, ref_date timestamp"
+    )
+    plain = ("Q1", "K", "C", None, 1.5, "C2", "a", "en")
+    low = ("Q1", "K", "C", None, 1.5, "C₂", "a", "en")
+    at = [datetime(2001, 2, 3, 4, 5, 6), datetime(2001, 2, 3, 4, 5, 6, 700)]
+    rest = [("S1", "Q2", "R1", "Q3", "Rosa", "T", "10.1/X", d) for d in at] + [("S1", "Q2", "R1", "Q4", "Rosa", None, None, None), ("S1", "Q5", "R2", None, "Tilia", None, None, None)]
+    rows = spark.createDataFrame([c + r for c in (plain, low) for r in rest] * 2, schema)
+    triples = rdf.to_triples(rows)
+    text = triples._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(s#") == 2
+    got = [tuple(r) for r in triples.collect()]
+    assert len(got) == len(set(got)) == 5 + 5 + 2 + 2 + 3
