@@ -176,3 +176,29 @@ def test_components_grow_by_links(spark):
         assert {tuple(r) for r in again.collect()} == whole
         none = joined_by(components(spark.createDataFrame([], schema)), spark.createDataFrame(links, schema), len(links))
         assert {tuple(r) for r in none.collect()} == whole
+
+
+def test_long_texts_with_a_passage_in_common_are_not_paired(documents, monkeypatch):
+    """Sketches of 512 bits rule out nothing for long texts; the pairs of a bucket are not written for all that."""
+    rng = random.Random(11)
+
+    def words(n):
+        return [f"w{rng.randrange(10**7)}" for _ in range(n)]
+
+    rows = []
+    for _ in range(5):
+        passage = words(900)
+        group = [words(1100) + passage + words(1100) for _ in range(6)]
+        copy = list(group[3])
+        copy[50] = copy[2500] = "changed"
+        rows += [" ".join(text) for text in [*group, copy]]
+    direct, asked = ngram_join._direct_pairs, []
+
+    def counted(*args):
+        pairs = direct(*args)
+        asked.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_direct_pairs", counted)
+    assert found(ngram_jaccard_join(documents(rows))) == brute(list(enumerate(rows)))
+    assert asked and max(asked) <= 5
