@@ -175,3 +175,10 @@ def test_stored_graph_gives_the_same_search(spark, tmp_path):
 def test_scan(table):
     triples = table([("a", "p", "1", None), ("b", "q", "2", None)], "s string, p string, o string, lang string")
     assert [tuple(r) for r in scan(triples, "q", "k", "v").collect()] == [("b", "2")]
+
+
+def test_a_task_holds_the_triples_of_one_predicate(spark):
+    """So they are written without another shuffle, in few files."""
+    triples = graph_triples(star.graph(spark, SF))
+    held = triples.select(F.spark_partition_id().alias("task"), "p").distinct().groupBy("task").count()
+    assert {r["count"] for r in held.collect()} == {1}
