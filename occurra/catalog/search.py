@@ -340,7 +340,8 @@ def _placed(rows):
     sizes = stored.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("file", before.alias("before"))
-    return stored.join(offsets, "file").select("statement", (F.col("before") + F.col("at") + 1).alias("place"))
+    # one row per file: the stored rows stay where they are
+    return stored.join(F.broadcast(offsets), "file").select("statement", (F.col("before") + F.col("at") + 1).alias("place"))
 
 
 def _placed_sql(order: str) -> str:

@@ -186,3 +186,16 @@ def test_compounds_without_occurrence_survive(spark):
     alone = rows.filter("statement IS NULL").collect()
     assert [r["c"] for r in alone] == ["Q1000002"]
     assert rows.filter("c = 'Q1000001'").count() == few.statements.count()
+
+
+def test_places_need_no_shuffle_of_the_rows(spark):
+    from occurra.catalog.search import _placed
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = _placed(spark.range(1000).selectExpr("concat('S', id) AS statement", "id").orderBy(F.col("id").desc()))
+        assert "SortMergeJoin" not in placed._jdf.queryExecution().executedPlan().toString()
+        assert {r["place"]: r["statement"] for r in placed.collect()} == {i + 1: f"S{999 - i}" for i in range(1000)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
