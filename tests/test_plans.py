@@ -154,6 +154,25 @@ def test_counters_and_notes_of_requests(spark):
     assert found["mass"]["query_hash"] is not None and single.stats.first()["n_entries"] == found["mass"]["n_entries"]
 
 
+def test_requests_of_several_ways_enrich_the_rows_once(spark, monkeypatch):
+    made, enriched = [], Occurrences.enriched
+    monkeypatch.setattr(Occurrences, "enriched", lambda self, *a, **b: made.append(a) or enriched(self, *a, **b))
+    asked = spark.createDataFrame([r for r in ASKED if r[0] in ("all", "late", "mass", "chlorine")], REQUESTS)
+    rows, resolved = search_requests(Occurrences(small_graph(spark)), asked, 2010)
+    assert len(made) == 1
+    # no row is repeated for each of the distinct counts
+    assert "Expand" not in request_counters(rows, resolved, 2010)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counters_of_requests_cope_with_gaps(spark):
+    resolved = spark.createDataFrame([(k, None, None) for k in "ab"], "req_id string, note string, fault string")
+    resolved = rq.fill_defaults(resolved, 2010).withColumn("t", F.lit(None).cast("string"))
+    rows = [("a", "Q1", "Q5", "Q9"), ("a", "Q1", "Q5", "Q9"), ("a", "Q1", None, None), ("a", None, "Q5", None), (None, "Q2", "Q6", "Q8"), ("a", "Q3", "", "Q9")]
+    rows = spark.createDataFrame(rows, "req_id string, compound_qid string, taxon_qid string, reference_qid string")
+    found = {r["req_id"]: tuple(r)[1:6] for r in request_counters(rows, resolved, 2010).collect()}
+    assert found == {"a": (5, 4, 2, 1, 1), "b": (0, 0, 0, 0, 0)}
+
+
 def test_requests_for_all_taxa_need_no_product(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
