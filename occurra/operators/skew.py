@@ -54,6 +54,13 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def broadcasts(df: DataFrame) -> bool:
+    """Whether the planner takes ``df`` for small enough to send it to every task of a join."""
+    if not hasattr(df, "_jdf"):
+        return False
+    return estimated_bytes(df) <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def heavy_keys(
     df: DataFrame, columns: list[str], policy: SkewPolicy = DEFAULT_POLICY, rows: int | None = None
 ) -> HeavyKeys:

@@ -1,5 +1,6 @@
 """What is shuffled on the way to enriched rows and entries."""
 
+import re
 from datetime import datetime
 
 import pytest
@@ -11,6 +12,7 @@ from occurra.operators.occurrences import Occurrences, enrich, result_rows
 from occurra.operators.stats import dedup_entries
 from occurra.plans import requests as plan
 from occurra.plans.search import COMPOUND, search
+from occurra.sources import star
 
 TABLES = {
     "compound_ids": ("c string, inchikey string, smiles_conn string", [("Q1", "K1", "C"), ("Q2", "K2", "N"), (None, "K3", "O")]),
@@ -91,3 +93,17 @@ def test_grids_of_another_table(spark):
     known = ranges.grids(spark.range(20, 90).selectExpr("id AS v"), ["v"])
     both = [sorted((r["id"], r["k"]) for r in ranges.range_join(points, asked, dims, inside, F.xxhash64("id"), known=k).collect()) for k in (None, known)]
     assert both[0] == both[1] and len(both[0]) == 6 + 5
+
+
+def test_names_that_are_broadcast_are_joined_last(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    tops = []
+    try:
+        for threshold in ("10m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            plan = enrich(Occurrences(star.graph(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().optimizedPlan().toString()
+            top = next(line for line in plan.splitlines() if "Join " in line)
+            tops.append(re.search(r"\((\w+)#\d+ = \w+#\d+\)", top)[1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert tops == ["t", "c"]
