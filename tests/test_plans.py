@@ -138,6 +138,34 @@ def test_requests_of_every_kind_equal_single_searches(spark):
     assert any("Q4" in r for r in got["screen"]) and not any("Q4" in r for r in got["dated"])
 
 
+def test_requests_by_compound_count_the_listed_rows(spark):
+    graph, structures = small_graph(spark), [r for r in ASKED if r[2]]
+    # a request with bounds on formula and year, and a key that repeats
+    more = [
+        ("formula", "", "CCO", "similarity", 0.3, None, None, None, 2040, None, 4, None, [1, 2, 3]),
+        ("dated", "Q71", "CCO", "substructure", None, 150.0, None, None, None, None, None, None, [1]),
+    ]
+    asked = spark.createDataFrame([*structures, *more], REQUESTS)
+    listed, _ = search_requests(Occurrences(graph), asked, 2010)
+    total = F.sum(F.col("mass").cast("decimal(18, 3)")).cast("double")
+    want = listed.groupBy("req_id", "compound_qid").agg(F.count(F.lit(1)), F.min("statement"), total).collect()
+    found, _ = search_requests(Occurrences(graph), asked, 2010, by_compound=True)
+    got = found.select("req_id", "compound_qid", "n_rows", "first_statement", F.col("total_mass").cast("double")).collect()
+    assert len(want) > 1 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+
+
+def test_structures_by_compound_meet_groups_of_rows(spark):
+    """A hundred rows that no request tells apart meet the requests as one."""
+    graph = small_graph(spark)
+    many = spark.range(100).selectExpr("concat('S', id) AS statement", "'Q1' AS c", "'Q71' AS t", "'x' AS ref", "'R1' AS r")
+    asked = spark.createDataFrame([("a", "", "CCO", [1]), ("b", "Q71", "CCO", [1, 2])], "req_id string, taxon string, smiles string, query_bits array<int>")
+    found, _ = search_requests(Occurrences(replace(graph, statements=many)), asked, 2010, by_compound=True)
+    assert {(r["req_id"], r["n_rows"], r["first_statement"]) for r in found.filter("compound_qid = 'Q1'").collect()} == {("a", 200, "S0"), ("b", 200, "S0")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # statements are read into stored groups beforehand, and only these meet the hits
+    assert "statement" not in plan.replace("first_statement", "")
+
+
 def test_counters_and_notes_of_requests(spark):
     graph = small_graph(spark)
     asked = spark.createDataFrame([*ASKED, ("odd", " rosa", *[None] * 11), ("tricolor", "viola__tricolor", *[None] * 11)], REQUESTS)

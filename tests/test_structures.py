@@ -74,3 +74,25 @@ def test_batch_is_one_join_over_the_bits_asked_for(spark, index, prints):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "PartitionFilters: [bit" in plan
+
+
+@pytest.mark.parametrize("n_bits", [64, 130])
+def test_queries_with_long_postings_meet_each_fingerprint_once(spark, tmp_path, n_bits):
+    rng = random.Random(n_bits)
+    rows = [(f"c{i:03d}", sorted(rng.sample(range(n_bits), rng.randint(n_bits // 3, 2 * n_bits // 3)))) for i in range(120)]
+    rows += [("first", [0, 1]), ("last", [n_bits - 1]), ("c000", rows[1][1])]
+    write_index(spark.createDataFrame(rows, "c string, bits array<int>"), str(tmp_path), n_bits)
+    index = FingerprintIndex(spark, str(tmp_path), n_bits)
+    assert index.counted == (123, 122)
+    asked = [(f"q{i}", rows[i][1], "similarity", 0.3 + i / 100) for i in range(40)] + [("few", [0, 1], "similarity", 0.9), ("end", [n_bits - 1], "similarity", 0.5), ("screen", rows[3][1][:5], "substructure", 0.3)]
+    joined = index.batch(spark.createDataFrame(asked, "key string, bits array<int>, kind string, threshold double"))
+    want = sorted(
+        (key, c)
+        for key, q, kind, threshold in asked
+        for c, bits in rows
+        if (len(set(q) & set(bits)) / len(set(q) | set(bits)) >= threshold if kind == "similarity" else set(q) <= set(bits))
+    )
+    assert sorted((r["key"], r["c"]) for r in joined.collect()) == want and len(want) > 500
+    # before, such a query had a row for each of its chosen bits and size bands
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert index.first_postings.count() == len(rows)
