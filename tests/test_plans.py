@@ -4,13 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from occurra.model import Criteria
-from occurra.operators import ordering, stats
+from occurra.operators import ordering, stats, taxonomy
 from occurra.operators import requests as rq
 from occurra.operators.occurrences import Occurrences
 from occurra.operators.taxonomy import descendants, descendants_of_each
 from occurra.plans import curate as plan
 from occurra.plans.requests import request_counters, search_requests
 from occurra.plans.search import search
+from occurra.session import cut_lineage
 from occurra.sinks.files import export, write_results_csv
 from occurra.sources import candidates as cand
 from occurra.sources import star
@@ -166,6 +167,43 @@ def test_structures_by_compound_meet_groups_of_rows(spark):
     assert "statement" not in plan.replace("first_statement", "")
 
 
+def test_structures_by_compound_send_no_table_of_properties_to_every_task(spark, monkeypatch):
+    """Properties of compounds that no request found are left out before they are joined, and many rows are shuffled."""
+    graph, stored = small_graph(spark), {}
+    asked = spark.createDataFrame([("a", "", "CCO", [1]), ("b", "Q71", "CCO", [1, 2])], "req_id string, taxon string, smiles string, query_bits array<int>")
+
+    def spy(df, label="stage"):
+        stored.setdefault(label, df._jdf.queryExecution())
+        return cut_lineage(df, label)
+
+    monkeypatch.setattr("occurra.plans.requests.cut_lineage", spy)
+    want = sorted(map(repr, search_requests(Occurrences(graph), asked, 2010, by_compound=True)[0].collect()))
+    # compounds, statements, mass, formula, smiles and two labels are cut to the compounds found
+    assert stored.pop("groups").optimizedPlan().toString().count("LeftSemi") == 7
+    stored.clear()
+    monkeypatch.setattr("occurra.operators.skew.BROADCAST_ROWS", 0)
+    got = sorted(map(repr, search_requests(Occurrences(graph), asked, 2010, by_compound=True)[0].collect()))
+    joins = [line for line in stored["groups"].sparkPlan().toString().split("\n") if "BroadcastHashJoin" in line]
+    # references alone, whose tables the planner sizes itself
+    assert got == want and joins and all("[r#" in line for line in joins)
+
+
+def test_closure_does_not_broadcast_many_members(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(40)] + [("n9", "m"), ("m", "n2")], "child string, parent string")
+    roots, plans = spark.createDataFrame([("n0",), ("m",)], "root string"), []
+    want = sorted(map(tuple, descendants_of_each(edges, roots).collect()))
+    store = taxonomy._Rounds.store
+
+    def spy(self, members, hops=None):
+        plans.append(members._jdf.queryExecution().executedPlan().toString())
+        return store(self, members, hops)
+
+    monkeypatch.setattr(taxonomy._Rounds, "store", spy)
+    monkeypatch.setattr("occurra.operators.skew.BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, descendants_of_each(edges, roots).collect())) == want and len(want) > 70
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in plan for plan in plans)
+
+
 def test_counters_and_notes_of_requests(spark):
     graph = small_graph(spark)
     asked = spark.createDataFrame([*ASKED, ("odd", " rosa", *[None] * 11), ("tricolor", "viola__tricolor", *[None] * 11)], REQUESTS)

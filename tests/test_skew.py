@@ -48,6 +48,12 @@ def test_attach_spreads_the_hot_key(spark, facts):
     assert largest < 1000 / 8 * 1.5
 
 
+def test_many_counted_rows_are_not_broadcast(spark, facts):
+    few = spark.sql("SELECT concat('k', id) AS k FROM range(50)")
+    plans = [facts.join(skew.by_rows(few, rows).select("k"), "k", "left_semi")._jdf.queryExecution().executedPlan().toString() for rows in (skew.BROADCAST_ROWS, skew.BROADCAST_ROWS + 1)]
+    assert ["BroadcastHashJoin" in plan for plan in plans] == [True, False]
+
+
 def test_keep_first_limits_groups_before_the_shuffle(facts):
     first = skew.keep_first(facts.filter("k IS NOT NULL"), ["k"], [F.col("seq").desc()])
     assert first.filter("k = 'hot'").first()["seq"] == 2997
