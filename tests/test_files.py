@@ -114,6 +114,40 @@ def test_triples_are_a_set_without_absent_values(spark):
     assert (f"<{rdf.REFERENCE}R1>", f"<{rdf.REF_VALUE}P248>", f"<{rdf.ENTITY}Q3>") in lines
 
 
+def test_sets_of_triples_are_formed_of_ids(spark):
+    schema = (
+        "c string, inchikey string, smiles_conn string, smiles_iso string, mass double, formula_raw string, label string, "
+        "label_lang string, statement string, t string, ref string, r string, taxon_name string, ref_title string, "
+        "ref_doi string, ref_date timestamp"
+    )
+    day = datetime(2001, 2, 3, 4, 5, 6)
+    rows = [
+        ("Q1", "K", "C", "I", 1.5, "C₂", "a", "en", "S1", "Q2", "R1", "Q3", "Rosa", "T", "D", day),
+        # the same statement with other values, and values that read alike
+        ("Q4", "K", "C", None, 2.5, "C2", "a", "en", "S1", "Q5", "R2", "Q3", "Viola", "T", "E", day.replace(microsecond=7)),
+        ("Q1", "K", "C", "I", 1.5, "C2", "a", "mul", "S1", "Q2", "R2", "Q3", "Rosa", "U", "D", None),
+        (None, "K", None, None, None, None, None, None, "S2", None, "R1", "Q6", None, None, None, None),
+        ("Q1", None, None, None, None, None, None, None, None, "Q2", None, "Q3", "Rosa", None, None, None),
+    ]
+    triples = rdf.to_triples(spark.createDataFrame(rows * 3, schema))
+    e, d = (lambda x: f"<{rdf.ENTITY}{x}>"), (lambda p: f"<{rdf.DIRECT}{p}>")
+    stamp = f'"2001-02-03T04:05:06Z"^^<{rdf.XSD}dateTime>'
+    want = {(e(c), d(p), f'"{v}"') for c in ("Q1", "Q4") for p, v in (("P235", "K"), ("P233", "C"), ("P274", "C2"))}
+    want |= {(e("Q1"), d("P2017"), '"I"'), (e("Q3"), d("P1476"), '"T"'), (e("Q3"), d("P1476"), '"U"'), (e("Q3"), d("P577"), stamp)}
+    want |= {(e(c), d("P2067"), f'"{m}"^^<{rdf.XSD}double>') for c, m in (("Q1", 1.5), ("Q4", 2.5))}
+    want |= {(e(c), f"<{rdf.LABEL}>", f'"a"@{lang}') for c, lang in (("Q1", "en"), ("Q4", "en"), ("Q1", "mul"))}
+    want |= {(e("Q3"), d("P356"), f'"{doi}"') for doi in "DE"} | {(e("Q2"), d("P225"), '"Rosa"'), (e("Q5"), d("P225"), '"Viola"')}
+    s, node = (lambda x: f"<{rdf.STATEMENT}{x}>"), (lambda x: f"<{rdf.REFERENCE}{x}>")
+    want |= {(e(c), f"<{rdf.NODE}P703>", s("S1")) for c in ("Q1", "Q4")} | {(s("S1"), f"<{rdf.VALUE}P703>", e(t)) for t in ("Q2", "Q5")}
+    want |= {(s(x), f"<{rdf.DERIVED_FROM}>", node(r)) for x, r in (("S1", "R1"), ("S1", "R2"), ("S2", "R1"))}
+    want |= {(node(n), f"<{rdf.REF_VALUE}P248>", e(r)) for n, r in (("R1", "Q3"), ("R2", "Q3"), ("R1", "Q6"))}
+    got = [tuple(r) for r in triples.collect()]
+    assert len(got) == len(want) and set(got) == want
+    # terms are several times as long as ids: no shuffle, hash table or sort holds them
+    plan = triples._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate(keys=[id#" in plan and "keys=[s#" not in plan and "hashpartitioning(s#" not in plan
+
+
 def test_metadata(spark):
     stats = capped_stats(spark.createDataFrame([("Q1", "t", "r")], "compound_qid string, taxon_qid string, reference_qid string"))
     plain = json.loads(dataset_metadata(stats, Criteria(taxon="Rosa"), "Q5", "qh", "rh", "2025-01-01").first()[0])
