@@ -10,7 +10,7 @@ from occurra.operators.taxonomy import CladeIndex, ClosureTooDeep, descendants,
 from occurra.plans.search import search
 from occurra.sources import star
 from occurra.sources.tables import read_graph, write_graph
-from occurra.sources.triples import graph_tables, graph_triples, scan
+from occurra.sources.triples import OPEN_FILES, graph_tables, graph_triples, scan, write_triples
 
 SF = "/root/testdata/sf0.01"
 
@@ -182,3 +182,22 @@ def test_a_task_holds_the_triples_of_one_predicate(spark):
     triples = graph_triples(star.graph(spark, SF))
     held = triples.select(F.spark_partition_id().alias("task"), "p").distinct().groupBy("task").count()
     assert {r["count"] for r in held.collect()} == {1}
+
+
+def test_triples_of_statements_are_shuffled_once(spark, graph, tmp_path):
+    rows = [("S1", "Q1", "T1", "R1", "P1"), ("S1", "Q1", "T1", "R2", "P1"), ("S1", "Q2", "T1", "R1", "P2"), ("S2", None, "T1", None, "P1"), (None, "Q1", "T2", "R1", None)]
+    few = spark.createDataFrame(rows * 2, "statement string, c string, t string, ref string, r string")
+    triples = graph_triples(type(graph)(**{**graph.__dict__, "statements": few})).filter(F.col("p").isin("p:P703", "ps:P703", "prov:wasDerivedFrom", "pr:P248"))
+    got = [(r["s"], r["p"], r["o"], r["lang"]) for r in triples.collect()]
+    found = {("Q1", "S1"), ("Q2", "S1"), (None, "S2")}
+    values, derived, stated = {("S1", "T1"), ("S2", "T1"), (None, "T2")}, {("S1", "R1"), ("S1", "R2"), (None, "R1")}, {("R1", "P1"), ("R2", "P1"), ("R1", "P2"), (None, "P1")}
+    want = [(s, p, o, None) for p, pairs in zip(("p:P703", "ps:P703", "prov:wasDerivedFrom", "pr:P248"), (found, values, derived, stated), strict=True) for s, o in pairs]
+    assert len(got) == len(want) and set(got) == set(want)
+    plan = triples._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("ReusedExchange [statement#") == 2
+    before = spark.conf.get(OPEN_FILES)
+    whole = graph_triples(type(graph)(**{**graph.__dict__, "statements": few}))
+    write_triples(whole, str(tmp_path / "triples"), by_predicate=True)
+    assert spark.conf.get(OPEN_FILES) == before
+    stored = spark.read.parquet(str(tmp_path / "triples")).select(*whole.columns)
+    assert stored.exceptAll(whole).isEmpty() and whole.exceptAll(stored).isEmpty()
